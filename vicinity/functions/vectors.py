@@ -56,6 +56,19 @@ def sqdist_sql(a: str, b: str, dim: int | None = None) -> str:
     return f"aggregate(zip_with({a}, {b}, (x, y) -> (x - y) * (x - y)), 0D, (acc, x) -> acc + x)"
 
 
+def sqdist_const_sql(a: str, center, dim: int) -> str:
+    """SQL text of the squared distance from ``a`` to a constant vector, unrolled.
+
+    The constant is written into each term, so the expression needs no
+    array lookups on the constant side and compiles to straight-line code.
+    """
+    terms = []
+    for i in range(dim):
+        c = double_sql(center[i])
+        terms.append(f"({a}[{i}] - {c}) * ({a}[{i}] - {c})")
+    return "(" + " + ".join(terms) + ")"
+
+
 def sqnorm_sql(a: str, dim: int | None = None) -> str:
     if _unroll(dim):
         return "(" + " + ".join(f"{a}[{i}] * {a}[{i}]" for i in range(dim)) + ")"

@@ -23,10 +23,18 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from vicinity.functions.vectors import as_array, checked_width, sqdist_sql, vector_sql
+from pyspark.sql.window import Window
+
+from vicinity.functions.vectors import (
+    MAX_UNROLLED_WIDTH,
+    as_array,
+    checked_width,
+    sqdist_const_sql,
+    sqdist_sql,
+    vector_sql,
+)
 from vicinity.plans.checks import bounded_collect, check_literal_size
-from vicinity.session import ensure_checkpoint_dir
+from vicinity.session import materialize
 
 DEFAULT_MAX_CELLS = 50
 DEFAULT_BLOCK_ROWS = 50_000
@@ -35,6 +43,16 @@ DEFAULT_BLOCK_ROWS = 50_000
 DEFAULT_FIT_ROWS = 1_000_000
 DEFAULT_SEED = 17
 MAX_CELLS_LIMIT = 100_000
+# k-means sample per cell: plenty for centres that only steer the search.
+FIT_ROWS_PER_CELL = 1_000
+# Per cell, the smallest NEAR_RANKS member distances to the centre are kept;
+# they give a tight bound on the k-th neighbour distance for k <= NEAR_RANKS.
+NEAR_RANKS = 32
+# Above this many unrolled terms (cells x width) distances to centres are
+# folded with higher-order functions instead of written out: whole-stage
+# codegen inlines a projection into one Java method, and past roughly this
+# size that method no longer compiles (Spark then falls back to slower code).
+MAX_UNROLLED_TERMS = 480
 
 
 def cell_count(n: int, cap: int = DEFAULT_MAX_CELLS) -> int:
@@ -60,6 +78,7 @@ class Cell:
     radius: float  # largest member distance, not squared
     n: int
     blocks: int
+    near: tuple = ()  # smallest member distances to the centre, ascending (at most NEAR_RANKS)
 
 
 @dataclass
@@ -92,8 +111,21 @@ def centers_sql(centers: list[tuple[int, tuple]]) -> str:
     ) + ")"
 
 
+def unrolled(n_centers: int, dim: int) -> bool:
+    return 0 < dim <= MAX_UNROLLED_WIDTH and n_centers * dim <= MAX_UNROLLED_TERMS
+
+
 def nearest_center(vec: str, centers: list[tuple[int, tuple]], dim: int) -> Column:
-    """``struct(d2, cell)`` of the nearest centre to column ``vec``; the smallest cell id wins ties."""
+    """``struct(d2, cell)`` of the nearest centre to column ``vec``; the smallest cell id wins ties.
+
+    Written out centre by centre with the centre values as constants, so it
+    runs as generated code; very many centres fall back to ``transform``.
+    """
+    if unrolled(len(centers), dim):
+        items = ", ".join(
+            f"named_struct('d2', {sqdist_const_sql(f'`{vec}`', c, dim)}, 'cell', {int(cid)})" for cid, c in centers
+        )
+        return F.expr(f"array_min(array({items}))")
     d2 = sqdist_sql(f"`{vec}`", "c.center", dim)
     return F.expr(f"array_min(transform({centers_sql(centers)}, c -> named_struct('d2', {d2}, 'cell', c.cell)))")
 
@@ -113,8 +145,9 @@ def fit_centers(
     larger; the centres only steer the search.
     """
     data = points.select(array_to_vector(F.col(vec_col)).alias("v"))
-    if n_rows is not None and n_rows > fit_rows:
-        data = data.sample(withReplacement=False, fraction=min(1.0, 1.5 * fit_rows / n_rows), seed=seed)
+    want = min(fit_rows, FIT_ROWS_PER_CELL * n_cells)
+    if n_rows is not None and n_rows > want:
+        data = data.sample(withReplacement=False, fraction=min(1.0, 1.2 * want / n_rows), seed=seed)
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="v").fit(data)
     centers = model.clusterCenters()
     if len(centers) > n_cells:
@@ -156,6 +189,20 @@ def cell_stats(assigned: DataFrame) -> DataFrame:
     )
 
 
+def near_distances(assigned: DataFrame, ranks: int = NEAR_RANKS) -> DataFrame:
+    """``(cell, near array<double>)``: each cell's ``ranks`` smallest member distances, ascending.
+
+    ``row_number() <= ranks`` per cell: Catalyst keeps ``ranks`` rows per cell
+    in each task before the shuffle (partial ``WindowGroupLimit``), so the
+    gathered group is bounded by ``ranks``.
+    """
+    w = Window.partitionBy("cell").orderBy("t_dist", "t_id")
+    top = assigned.select("cell", "t_id", "t_dist").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= ranks)
+    return top.groupBy("cell").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_r", "t_dist"))), lambda x: x["t_dist"]).alias("near")
+    )
+
+
 def _blocks_for(n: int, block_rows: int) -> int:
     return max(1, -(-n // block_rows))
 
@@ -215,9 +262,9 @@ def build_index(
     list ``[(cell, center)]`` of given centres.
 
     With ``checkpoint=True`` (default) the assigned points are written once
-    to the shared checkpoint folder (``spark.checkpoint.dir``): later
-    searches read that table instead of recomputing the assignment, its
-    lineage is cut, and a lost executor only costs re-reading a file.
+    as parquet to the shared checkpoint folder (``spark.checkpoint.dir``):
+    later searches read that table instead of recomputing the assignment,
+    its lineage is cut, and a lost executor only costs re-reading a file.
     """
     if block_rows < 1:
         raise ValueError("block_rows must be at least 1")
@@ -245,13 +292,14 @@ def build_index(
 
     assigned = assign(pts, center_list, dim)
     if checkpoint:
-        ensure_checkpoint_dir(df.sparkSession)
-        assigned = assigned.checkpoint(eager=True)
+        assigned = materialize(assigned, "cell-index")
     stats = bounded_collect(cell_stats(assigned), len(center_list), "cell stats")
+    near = {int(r["cell"]): tuple(r["near"]) for r in bounded_collect(near_distances(assigned), len(center_list), "near distances")}
     by_id = dict(center_list)
     cells = sorted(
         (
-            Cell(int(r["cell"]), by_id[int(r["cell"])], float(r["radius"]), int(r["n"]), _blocks_for(int(r["n"]), block_rows))
+            Cell(int(r["cell"]), by_id[int(r["cell"])], float(r["radius"]), int(r["n"]),
+                 _blocks_for(int(r["n"]), block_rows), near.get(int(r["cell"]), ()))
             for r in stats
         ),
         key=lambda c: c.cell,

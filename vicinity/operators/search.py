@@ -33,8 +33,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vicinity.functions.vectors import as_array, checked_width, double_sql, sqdist, sqdist_sql, vector_sql
-from vicinity.operators.cells import CellIndex
+from vicinity.functions.vectors import (
+    as_array,
+    checked_width,
+    double_sql,
+    sqdist,
+    sqdist_const_sql,
+    sqdist_sql,
+    vector_sql,
+)
+from vicinity.operators.cells import CellIndex, unrolled
 
 SEARCH_MODES = ("pruned", "exact", "single_cell")
 # Relative slack on the pruning bounds, far above double rounding error.
@@ -67,33 +75,70 @@ def cells_sql(index: CellIndex) -> str:
     ) + ")"
 
 
+def _bound_terms(index: CellIndex, kb: int) -> list[str]:
+    """``dc_i + rho_i`` per cell holding at least ``kb`` points, ``rho_i`` its ``kb``-th smallest member distance."""
+    return [
+        f"_dc[{i}] + {double_sql(c.near[kb - 1])}"
+        for i, c in enumerate(index.cells)
+        if c.n >= kb and len(c.near) >= kb
+    ]
+
+
 def _with_bounds(q: DataFrame, index: CellIndex, kb: int, search: str, slack: float) -> DataFrame:
-    """Append ``_u`` (bound on the k-th distance, null = none) and ``_keep`` (cells to search)."""
-    dc = f"sqrt({sqdist_sql('q_vec', 'c.center', index.dim)})"
-    out = q.withColumn(
-        "_b",
-        F.expr(
-            f"transform({cells_sql(index)}, c -> named_struct("
-            f"'ub', {dc} + c.radius, 'lb', {dc} - c.radius, 'dc', {dc}, "
-            f"'n', c.n, 'cell', c.cell, 'blocks', c.blocks))"
-        ),
-    )
+    """Append ``_u`` (bound on the k-th distance, null = none) and ``_keep`` (cells to search).
+
+    Two sound bounds, the smaller wins:
+
+    * near rule: a cell with at least ``kb`` points has ``kb`` of them within
+      ``dc + rho`` of the query, ``rho`` being its ``kb``-th smallest member
+      distance to the centre;
+    * cumulative rule: the least ``ub = dc + radius`` such that cells with
+      ``ub`` at most that hold ``kb`` points together. Only cells with ``ub``
+      below the near bound can lower it, so only those are sorted.
+    """
+    dim = index.dim
+    cells = index.cells
+    if unrolled(len(cells), dim):
+        dcs = ", ".join(f"sqrt({sqdist_const_sql('q_vec', c.center, dim)})" for c in cells)
+        out = q.withColumn("_dc", F.expr(f"array({dcs})"))
+        items = ", ".join(
+            f"named_struct('ub', _dc[{i}] + {double_sql(c.radius)}, 'lb', _dc[{i}] - {double_sql(c.radius)}, "
+            f"'dc', _dc[{i}], 'n', {int(c.n)}L, 'cell', {int(c.cell)}, 'blocks', {int(c.blocks)})"
+            for i, c in enumerate(cells)
+        )
+        out = out.withColumn("_b", F.expr(f"array({items})"))
+    else:
+        dc = f"sqrt({sqdist_sql('q_vec', 'c.center', dim)})"
+        out = q.withColumn("_dc", F.expr(f"transform({cells_sql(index)}, c -> {dc})"))
+        out = out.withColumn(
+            "_b",
+            F.expr(
+                f"transform({cells_sql(index)}, (c, i) -> named_struct("
+                f"'ub', _dc[i] + c.radius, 'lb', _dc[i] - c.radius, 'dc', _dc[i], "
+                f"'n', c.n, 'cell', c.cell, 'blocks', c.blocks))"
+            ),
+        )
     if search == "exact":
-        return out.withColumn("_u", F.lit(None).cast("double")).withColumnRenamed("_b", "_keep")
+        return out.withColumn("_u", F.lit(None).cast("double")).withColumnRenamed("_b", "_keep").drop("_dc")
     if search == "single_cell":
         best = (
             "array_min(transform(_b, x -> named_struct('ub', x.ub, 'cell', x.cell, 'lb', x.lb, "
             "'dc', x.dc, 'n', x.n, 'blocks', x.blocks)))"
         )
-        return out.withColumn("_u", F.lit(None).cast("double")).withColumn("_keep", F.expr(f"array({best})")).drop("_b")
-    bound = (
-        "aggregate(array_sort(_b), named_struct('cum', 0L, 'u', CAST(NULL AS DOUBLE)), "
+        return out.withColumn("_u", F.lit(None).cast("double")).withColumn("_keep", F.expr(f"array({best})")).drop("_b", "_dc")
+
+    terms = _bound_terms(index, kb)
+    near_bound = f"least({', '.join(terms)})" if len(terms) > 1 else (terms[0] if terms else "CAST(NULL AS DOUBLE)")
+    out = out.withColumn("_un", F.expr(near_bound))
+    cumulative = (
+        "aggregate(array_sort(filter(_b, x -> _un IS NULL OR x.ub <= _un)), "
+        "named_struct('cum', 0L, 'u', CAST(NULL AS DOUBLE)), "
         "(acc, x) -> named_struct('cum', acc.cum + x.n, 'u', "
         f"CASE WHEN acc.u IS NULL AND acc.cum + x.n >= {int(kb)} THEN x.ub ELSE acc.u END)).u"
     )
-    out = out.withColumn("_u", F.expr(bound))
+    out = out.withColumn("_u", F.expr(f"least({cumulative}, _un)"))
     keep = f"filter(_b, x -> _u IS NULL OR x.lb <= _u + {double_sql(slack)} * (1D + _u))"
-    return out.withColumn("_keep", F.expr(keep)).drop("_b")
+    return out.withColumn("_keep", F.expr(keep)).drop("_b", "_dc", "_un")
 
 
 def candidates(q: DataFrame, index: CellIndex, kb: int, search: str = "pruned", slack: float = SLACK) -> DataFrame:

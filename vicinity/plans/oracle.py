@@ -72,12 +72,18 @@ SQL: dict[str, str] = {
     "nearest_cell": f"""WITH {E}, {_label_cells('e')} SELECT id, cell, round(dist, 6) AS dist FROM asg""",
     "cell_stats": f"""WITH {E}, {_label_cells('e')} SELECT cell, n, round(radius, 6) AS radius FROM cst""",
     "candidate_cells": f"""WITH {E}, {TRAIN}, {QRY}, {_label_cells('tr')},
-        b AS (SELECT q.id AS q_id, c.cell, sqrt({_d2('q.v', 'cen.center')}) AS dc, c.radius, c.n
-              FROM qr q, cst c JOIN cen ON cen.cell = c.cell),
+        rho AS (SELECT cell, dist AS rho FROM (SELECT cell, dist,
+                  row_number() OVER (PARTITION BY cell ORDER BY dist, id) AS r FROM asg) WHERE r = {K}),
+        b AS (SELECT q.id AS q_id, c.cell, sqrt({_d2('q.v', 'cen.center')}) AS dc, c.radius, c.n, rho.rho
+              FROM qr q, cst c JOIN cen ON cen.cell = c.cell LEFT JOIN rho ON rho.cell = c.cell),
         b2 AS (SELECT *, dc + radius AS ub, dc - radius AS lb,
                       sum(n) OVER (PARTITION BY q_id ORDER BY dc + radius, cell ROWS UNBOUNDED PRECEDING) AS cum FROM b),
-        u AS (SELECT q_id, min(ub) AS u FROM b2 WHERE cum >= {K} GROUP BY q_id)
-        SELECT b2.q_id, b2.cell FROM b2 LEFT JOIN u ON b2.q_id = u.q_id
+        ua AS (SELECT q_id, min(ub) AS ua FROM b2 WHERE cum >= {K} GROUP BY q_id),
+        ub AS (SELECT q_id, min(dc + rho) AS ub FROM b2 WHERE rho IS NOT NULL GROUP BY q_id),
+        u AS (SELECT b.q_id, CASE WHEN ua.ua IS NULL THEN ub.ub WHEN ub.ub IS NULL THEN ua.ua
+                                  ELSE least(ua.ua, ub.ub) END AS u
+              FROM (SELECT DISTINCT q_id FROM b2) b LEFT JOIN ua ON ua.q_id = b.q_id LEFT JOIN ub ON ub.q_id = b.q_id)
+        SELECT b2.q_id, b2.cell FROM b2 JOIN u ON b2.q_id = u.q_id
         WHERE u.u IS NULL OR b2.lb <= u.u + 1e-9 * (1 + u.u)""",
     "cell_count": """SELECT count(*) AS n, greatest(2, least(50, floor(sqrt(count(*) // 2))))::INT AS cells FROM embeddings""",
     "class_count": """SELECT (max(label::DOUBLE)::INT + 1)::BIGINT AS num_classes FROM embeddings""",

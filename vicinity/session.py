@@ -73,3 +73,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{os.urandom(6).hex()}"
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()``, but computes the plan once (an
+    un-cached ``checkpoint()`` computes it twice) and stores a columnar,
+    compressed table that any executor can re-read after a loss.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

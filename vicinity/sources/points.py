@@ -52,9 +52,9 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_id", start
     place in the partition. The per-partition table has one row per
     partition, so it is safe to broadcast.
 
-    The result should be written out (``checkpoint``) before reuse, since a
-    re-sort of rows that tie on every ``order`` column may place them
-    differently.
+    The result should be written out (:func:`vicinity.session.materialize`)
+    before reuse, since a re-sort of rows that tie on every ``order`` column
+    may place them differently.
     """
     ordered = df.orderBy(*order).select(
         "*",
@@ -80,9 +80,12 @@ def ensure_id(df: DataFrame, id_col: str) -> DataFrame:
     """``df`` with a stable unique id column.
 
     Returns ``df`` unchanged when the column exists. Otherwise a
-    ``monotonically_increasing_id`` is added and written to the checkpoint
-    folder once, so recomputation after a lost executor sees the same ids.
+    ``monotonically_increasing_id`` is added and the table is written once to
+    the checkpoint folder, so recomputation after a lost executor sees the
+    same ids.
     """
     if id_col in df.columns:
         return df
-    return df.withColumn(id_col, F.monotonically_increasing_id()).checkpoint(eager=True)
+    from vicinity.session import materialize
+
+    return materialize(df.withColumn(id_col, F.monotonically_increasing_id()), "with-id")
