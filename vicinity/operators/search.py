@@ -16,6 +16,10 @@ Plan, per query batch (``search="pruned"``):
    attract many queries.
 4. Before the full distance, pairs failing ``|dc - t_dist| <= U`` (triangle
    inequality) are dropped.
+
+``U`` is tightened first by a cheap phase that searches only each query's
+best cell: the ``k``-th distance found there belongs to real points, so it
+bounds the answer too and usually lets step 4 drop most pairs.
 5. ``row_number() over (partition by q_id order by d2, t_id) <= k``:
    Catalyst plans a partial ``WindowGroupLimit`` ahead of the shuffle on
    ``q_id``, so at most ``k`` rows per query leave each task.
@@ -128,6 +132,8 @@ def _with_bounds(q: DataFrame, index: CellIndex, kb: int, search: str, slack: fl
         return out.withColumn("_u", F.lit(None).cast("double")).withColumn("_keep", F.expr(f"array({best})")).drop("_b", "_dc")
 
     terms = _bound_terms(index, kb)
+    if "_u1" in q.columns:
+        terms.append("_u1")
     near_bound = f"least({', '.join(terms)})" if len(terms) > 1 else (terms[0] if terms else "CAST(NULL AS DOUBLE)")
     out = out.withColumn("_un", F.expr(near_bound))
     cumulative = (
@@ -142,7 +148,10 @@ def _with_bounds(q: DataFrame, index: CellIndex, kb: int, search: str, slack: fl
 
 
 def candidates(q: DataFrame, index: CellIndex, kb: int, search: str = "pruned", slack: float = SLACK) -> DataFrame:
-    """``(q_id, q_vec, _u, dc, lb, ub, cell, blocks)``: one row per query and cell to search."""
+    """``(q_id, q_vec, _u, dc, lb, ub, cell, blocks)``: one row per query and cell to search.
+
+    A ``_u1`` column on ``q`` (a known bound per query) joins the bounds.
+    """
     bounded = _with_bounds(q, index, kb, search, slack)
     # inline_outer, not inline: for a plain generator Catalyst infers a
     # ``size(_keep) > 0`` filter and pushes it below the projections,
@@ -159,6 +168,7 @@ def _search(
     exclude_self: bool,
     keep_vectors: bool,
     slack: float,
+    two_phase: bool = True,
 ) -> DataFrame:
     spark = q.sparkSession
     cols = ["q_id", "t_id", "label", "d2", "rank"] + (["t_vec"] if keep_vectors else [])
@@ -166,6 +176,16 @@ def _search(
         schema = KNN_SCHEMA + (", t_vec array<double>" if keep_vectors else "")
         return spark.createDataFrame([], schema)
 
+    if search == "pruned" and two_phase and len(index.cells) > 1:
+        # Phase 1: search each query's best cell only. When it yields all
+        # ``places`` neighbours, the farthest of them bounds the final
+        # answer (those points exist), usually far tighter than the cell bounds.
+        first = _search(q, index, places, kb, "single_cell", exclude_self, False, slack, False)
+        u1 = first.groupBy("q_id").agg(
+            F.when(F.count(F.lit(1)) >= places, F.sqrt(F.max("d2"))).alias("_u1")
+        )
+        q = q.join(u1, "q_id", "left")
+
     cand = candidates(q, index, kb, search, slack)
     if all(c.blocks == 1 for c in index.cells):
         cand = cand.select("q_id", "q_vec", "_u", "dc", "cell", F.lit(0).alias("block"))
@@ -175,6 +195,12 @@ def _search(
             F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         )
 
+    # Hash-partition the candidate rows on the join key. Besides placing
+    # them for the join, the exchange makes the bound columns concrete
+    # values: without it, whole-stage codegen may evaluate ``_u`` lazily
+    # inside a broadcast join's match loop, once per pair instead of once
+    # per query.
+    cand = cand.repartition("cell", "block")
     pairs = cand.join(index.points, ["cell", "block"])
     if search == "pruned":
         limit = F.col("_u") + F.lit(slack) * (F.lit(1.0) + F.col("_u"))
