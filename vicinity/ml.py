@@ -77,7 +77,7 @@ class _KNNParams(HasFeaturesCol, HasPredictionCol, HasSeed):
             self.getOrDefault(self.idCol),
             self.getOrDefault(self.featuresCol),
             label_col,
-            centers="single" if search == "exact" else "kmeans",
+            centers="single" if search == "exact" else "auto",
             max_cells=self.getOrDefault(self.maxCells),
             seed=self.getOrDefault(self.seed),
             block_rows=self.getOrDefault(self.blockRows),

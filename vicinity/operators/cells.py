@@ -53,6 +53,10 @@ NEAR_RANKS = 32
 # codegen inlines a projection into one Java method, and past roughly this
 # size that method no longer compiles (Spark then falls back to slower code).
 MAX_UNROLLED_TERMS = 480
+# centers="auto" fits k-means cells up to this width and uses one cell (brute
+# force through the same blocked join) above it: in many dimensions the
+# triangle-inequality bounds of k-means cells rarely exclude a cell.
+AUTO_PRUNE_MAX_DIM = 16
 
 
 def cell_count(n: int, cap: int = DEFAULT_MAX_CELLS) -> int:
@@ -247,7 +251,7 @@ def build_index(
     id_col: str = "id",
     features_col: str = "features",
     label_col: str | None = "label",
-    centers: str | DataFrame | list = "kmeans",
+    centers: str | DataFrame | list = "auto",
     max_cells: int = DEFAULT_MAX_CELLS,
     seed: int = DEFAULT_SEED,
     block_rows: int = DEFAULT_BLOCK_ROWS,
@@ -258,8 +262,9 @@ def build_index(
     """Build the search index over training rows.
 
     ``centers``: ``"kmeans"`` (fit :func:`cell_count` cells), ``"single"``
-    (one cell, for brute-force search), a DataFrame ``(cell, center)`` or a
-    list ``[(cell, center)]`` of given centres.
+    (one cell, for brute-force search), ``"auto"`` (k-means up to
+    ``AUTO_PRUNE_MAX_DIM`` wide, else single), a DataFrame ``(cell, center)``
+    or a list ``[(cell, center)]`` of given centres.
 
     With ``checkpoint=True`` (default) the assigned points are written once
     as parquet to the shared checkpoint folder (``spark.checkpoint.dir``):
@@ -275,6 +280,8 @@ def build_index(
         return CellIndex([], empty, 0, 0, has_label, block_rows)
     pts = pts.withColumn("t_vec", checked_width(F.col("t_vec"), dim))
 
+    if isinstance(centers, str) and centers == "auto":
+        centers = "kmeans" if dim <= AUTO_PRUNE_MAX_DIM else "single"
     if isinstance(centers, str) and centers == "kmeans":
         center_list = fit_centers(pts, cell_count(n, max_cells), seed=seed, max_iter=max_iter, fit_rows=fit_rows, n_rows=n)
     elif isinstance(centers, str) and centers == "single":

@@ -52,7 +52,7 @@ def _r(name: str, digits: int = 6):
     return F.round(F.col(name), digits).alias(name)
 
 
-def _nn(spark: SparkSession, sf: str, search: str = "pruned", centers="kmeans") -> DataFrame:
+def _nn(spark: SparkSession, sf: str, search: str = "pruned", centers="auto") -> DataFrame:
     q, t = _split(spark, sf)
     index = build_index(t, "vec_id", "embedding", "label", centers=centers, seed=SEED)
     return knn_join(q, index, K, "vec_id", "embedding", search=search)
@@ -127,7 +127,7 @@ def q_knn_join(spark, sf):
 
 
 def q_knn_join_pruned(spark, sf):
-    return _nn_out(_nn(spark, sf, search="pruned"))
+    return _nn_out(_nn(spark, sf, search="pruned", centers="kmeans"))
 
 
 def q_knn_join_single_cell(spark, sf):
@@ -137,7 +137,7 @@ def q_knn_join_single_cell(spark, sf):
 
 
 def q_knn_self_join(spark, sf):
-    index = build_index(_emb(spark, sf), "vec_id", "embedding", "label", seed=SEED)
+    index = build_index(_emb(spark, sf), "vec_id", "embedding", "label", centers="kmeans", seed=SEED)
     return knn_self_join(index, K_SELF).select("q_id", "t_id", _r("d2"), "rank")
 
 
@@ -166,7 +166,7 @@ def q_cell_count(spark, sf):
 
 
 def q_kmeans_cells(spark, sf):
-    index = build_index(_emb(spark, sf), "vec_id", "embedding", "label", seed=SEED)
+    index = build_index(_emb(spark, sf), "vec_id", "embedding", "label", centers="kmeans", seed=SEED)
     return index.points.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.max("t_dist"), 6).alias("radius")
     )
