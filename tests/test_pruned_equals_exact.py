@@ -77,3 +77,20 @@ def test_lineitem_four_wide(spark):
     want = brute(qi, qv, ti, tv, 10)
     idx = build_index(df, label_col=None, seed=11, block_rows=500)
     assert as_lists(knn_join(q, idx, 10)) == want
+
+
+@pytest.mark.parametrize("count_self", [False, True])
+def test_grid_split_of_hot_cells(spark, monkeypatch, count_self):
+    # a tiny pair budget forces many query blocks per cell, and small point
+    # blocks many point blocks: every (cell, block, qblock) key is bounded
+    from vicinity.operators import search as S
+
+    monkeypatch.setattr(S, "TARGET_PAIRS", 50)
+    part = read_table(spark, SF_SMALL, "part")
+    df = assemble(part, ["p_size", F.length("p_type")], "features").select(F.col("p_partkey").alias("id"), "features")
+    ids, vecs = _np(df)
+    k = 3
+    want = brute(ids, vecs, ids, vecs, k + 1 if count_self else k, exclude_self=not count_self)
+    idx = build_index(df, label_col=None, max_cells=3, seed=4, block_rows=20)
+    for search in ("pruned", "exact"):
+        assert as_lists(knn_self_join(idx, k, count_self=count_self, search=search)) == want

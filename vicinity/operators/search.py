@@ -47,6 +47,7 @@ from vicinity.functions.vectors import (
     vector_sql,
 )
 from vicinity.operators.cells import CellIndex, unrolled
+from vicinity.plans.checks import bounded_collect
 
 SEARCH_MODES = ("pruned", "exact", "single_cell")
 # Relative slack on the pruning bounds, far above double rounding error.
@@ -158,6 +159,68 @@ def candidates(q: DataFrame, index: CellIndex, kb: int, search: str = "pruned",
     # inlining the whole bound computation into it.
     return bounded.select("q_id", "q_vec", "_u", F.inline_outer("_keep")).where(F.col("cell").isNotNull())
 
+# Work bound per join key: candidate queries x points of one (cell, block)
+# are split so that no key pairs more than about this many rows.
+TARGET_PAIRS = 4_000_000
+
+
+def _grid_join(cand: DataFrame, index: CellIndex, target_pairs: int | None = None) -> DataFrame:
+    """Join (query, cell) candidates with the points of that cell, split into bounded keys.
+
+    Points are already split into hash blocks of at most about
+    ``block_rows``. Queries are split per cell too: one small aggregate
+    counts the candidate queries of each cell (at most ``max_cells`` rows,
+    fetched under that bound), each cell gets ``qblocks`` so that a key holds
+    at most about ``target_pairs`` pairs, query rows go to one ``qblock`` by
+    hash and are repeated for every point block, point rows are repeated for
+    every ``qblock``. Every key ``(cell, block, qblock)`` then has a bounded
+    number of points and of queries, however many queries crowd one cell.
+
+    The candidates are hash-partitioned on the key into a fixed number of
+    partitions. AQE would otherwise merge partitions by their (small) input
+    size although the join multiplies them into many pairs. The exchange
+    also turns the bound columns into plain values before the join, so
+    generated code cannot evaluate them once per pair.
+    """
+    spark = cand.sparkSession
+    target = target_pairs or TARGET_PAIRS
+    counts = {
+        int(r["cell"]): int(r["n"])
+        for r in bounded_collect(cand.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), len(index.cells), "candidates per cell")
+    }
+    by_cell = {c.cell: c for c in index.cells}
+    qblocks = {}
+    for cell, nq in counts.items():
+        c = by_cell[cell]
+        per_block = -(-c.n // c.blocks)
+        qblocks[cell] = max(1, -(-nq * per_block // target))
+    keys = sum(by_cell[cell].blocks * qb for cell, qb in qblocks.items())
+
+    def per_cell(mapping: dict) -> Column:
+        if all(v == 1 for v in mapping.values()):
+            return F.lit(1)
+        return F.element_at(F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))]), F.col("cell"))
+
+    nqb = per_cell(qblocks)
+    if all(v == 1 for v in qblocks.values()):
+        cand = cand.withColumn("qblock", F.lit(0))
+        pts = index.points.withColumn("qblock", F.lit(0))
+    else:
+        cand = cand.withColumn("qblock", F.pmod(F.xxhash64("q_id"), nqb.cast("long")).cast("int"))
+        pts = index.points.withColumn(
+            "qblock", F.explode(F.sequence(F.lit(0), F.coalesce(nqb, F.lit(1)) - 1))
+        )
+    if all(c.blocks == 1 for c in index.cells):
+        cand = cand.withColumn("block", F.lit(0))
+    else:
+        cand = cand.withColumn("block", F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cand = cand.drop("blocks")
+
+    parallel = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = max(1, min(keys, parallel))
+    cand = cand.repartition(parts, "cell", "block", "qblock")
+    return cand.join(pts, ["cell", "block", "qblock"])
+
 
 def _search(
     q: DataFrame,
@@ -169,6 +232,7 @@ def _search(
     keep_vectors: bool,
     slack: float,
     two_phase: bool = True,
+    target_pairs: int | None = None,
 ) -> DataFrame:
     spark = q.sparkSession
     cols = ["q_id", "t_id", "label", "d2", "rank"] + (["t_vec"] if keep_vectors else [])
@@ -180,28 +244,14 @@ def _search(
         # Phase 1: search each query's best cell only. When it yields all
         # ``places`` neighbours, the farthest of them bounds the final
         # answer (those points exist), usually far tighter than the cell bounds.
-        first = _search(q, index, places, kb, "single_cell", exclude_self, False, slack, False)
+        first = _search(q, index, places, kb, "single_cell", exclude_self, False, slack, False, target_pairs)
         u1 = first.groupBy("q_id").agg(
             F.when(F.count(F.lit(1)) >= places, F.sqrt(F.max("d2"))).alias("_u1")
         )
         q = q.join(u1, "q_id", "left")
 
-    cand = candidates(q, index, kb, search, slack)
-    if all(c.blocks == 1 for c in index.cells):
-        cand = cand.select("q_id", "q_vec", "_u", "dc", "cell", F.lit(0).alias("block"))
-    else:
-        cand = cand.select(
-            "q_id", "q_vec", "_u", "dc", "cell",
-            F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        )
-
-    # Hash-partition the candidate rows on the join key. Besides placing
-    # them for the join, the exchange makes the bound columns concrete
-    # values: without it, whole-stage codegen may evaluate ``_u`` lazily
-    # inside a broadcast join's match loop, once per pair instead of once
-    # per query.
-    cand = cand.repartition("cell", "block")
-    pairs = cand.join(index.points, ["cell", "block"])
+    cand = candidates(q, index, kb, search, slack).select("q_id", "q_vec", "_u", "dc", "cell", "blocks")
+    pairs = _grid_join(cand, index, target_pairs)
     if search == "pruned":
         limit = F.col("_u") + F.lit(slack) * (F.lit(1.0) + F.col("_u"))
         pairs = pairs.where(F.col("_u").isNull() | (F.abs(F.col("dc") - F.col("t_dist")) <= limit))
