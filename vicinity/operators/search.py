@@ -48,6 +48,7 @@ from vicinity.functions.vectors import (
 )
 from vicinity.operators.cells import CellIndex, unrolled
 from vicinity.plans.checks import bounded_collect
+from vicinity.session import materialize
 
 SEARCH_MODES = ("pruned", "exact", "single_cell")
 # Relative slack on the pruning bounds, far above double rounding error.
@@ -160,8 +161,11 @@ def candidates(q: DataFrame, index: CellIndex, kb: int, search: str = "pruned",
     return bounded.select("q_id", "q_vec", "_u", F.inline_outer("_keep")).where(F.col("cell").isNotNull())
 
 # Work bound per join key: candidate queries x points of one (cell, block)
-# are split so that no key pairs more than about this many rows.
+# are split so that no key pairs more than about this many rows ...
 TARGET_PAIRS = 4_000_000
+# ... and, when the whole join is small, into about two keys per core, but
+# not below this many pairs per key.
+MIN_PAIRS_PER_KEY = 100_000
 
 
 def _grid_join(cand: DataFrame, index: CellIndex, target_pairs: int | None = None) -> DataFrame:
@@ -171,7 +175,8 @@ def _grid_join(cand: DataFrame, index: CellIndex, target_pairs: int | None = Non
     ``block_rows``. Queries are split per cell too: one small aggregate
     counts the candidate queries of each cell (at most ``max_cells`` rows,
     fetched under that bound), each cell gets ``qblocks`` so that a key holds
-    at most about ``target_pairs`` pairs, query rows go to one ``qblock`` by
+    at most about ``target_pairs`` pairs (fewer when the whole join is small,
+    so that every core gets keys), query rows go to one ``qblock`` by
     hash and are repeated for every point block, point rows are repeated for
     every ``qblock``. Every key ``(cell, block, qblock)`` then has a bounded
     number of points and of queries, however many queries crowd one cell.
@@ -183,12 +188,17 @@ def _grid_join(cand: DataFrame, index: CellIndex, target_pairs: int | None = Non
     generated code cannot evaluate them once per pair.
     """
     spark = cand.sparkSession
-    target = target_pairs or TARGET_PAIRS
+    # Written once: the counts below and the join read the same rows, and
+    # nothing upstream (bounds, a first search phase) runs twice.
+    cand = materialize(cand, "knn-candidates")
+    parallel = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     counts = {
         int(r["cell"]): int(r["n"])
         for r in bounded_collect(cand.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), len(index.cells), "candidates per cell")
     }
     by_cell = {c.cell: c for c in index.cells}
+    total = sum(nq * by_cell[cell].n for cell, nq in counts.items())
+    target = min(target_pairs or TARGET_PAIRS, max(MIN_PAIRS_PER_KEY, total // (2 * parallel)))
     qblocks = {}
     for cell, nq in counts.items():
         c = by_cell[cell]
@@ -216,7 +226,6 @@ def _grid_join(cand: DataFrame, index: CellIndex, target_pairs: int | None = Non
         cand = cand.withColumn("block", F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cand = cand.drop("blocks")
 
-    parallel = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     parts = max(1, min(keys, parallel))
     cand = cand.repartition(parts, "cell", "block", "qblock")
     return cand.join(pts, ["cell", "block", "qblock"])
