@@ -53,6 +53,9 @@ from vicinity.session import materialize
 SEARCH_MODES = ("pruned", "exact", "single_cell")
 # Relative slack on the pruning bounds, far above double rounding error.
 SLACK = 1e-9
+# The first search phase (best cell only) runs when some cell holds more
+# points than this; with small cells the cell bounds are already local.
+TWO_PHASE_MIN_CELL = 2048
 
 KNN_SCHEMA = "q_id long, t_id long, label double, d2 double, rank int"
 
@@ -249,7 +252,8 @@ def _search(
         schema = KNN_SCHEMA + (", t_vec array<double>" if keep_vectors else "")
         return spark.createDataFrame([], schema)
 
-    if search == "pruned" and two_phase and len(index.cells) > 1:
+    big_cells = max(c.n for c in index.cells) > TWO_PHASE_MIN_CELL
+    if search == "pruned" and two_phase and big_cells and len(index.cells) > 1:
         # Phase 1: search each query's best cell only. When it yields all
         # ``places`` neighbours, the farthest of them bounds the final
         # answer (those points exist), usually far tighter than the cell bounds.

@@ -52,14 +52,21 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_id", start
     place in the partition. The per-partition table has one row per
     partition, so it is safe to broadcast.
 
-    The result should be written out (:func:`vicinity.session.materialize`)
-    before reuse, since a re-sort of rows that tie on every ``order`` column
-    may place them differently.
+    The sorted rows are written once to the checkpoint folder before they are
+    counted, so a re-sort (of rows that tie on every ``order`` column, or
+    after a lost executor) cannot place them differently.
     """
-    ordered = df.orderBy(*order).select(
-        "*",
-        F.spark_partition_id().alias("_part"),
-        F.monotonically_increasing_id().alias("_mono"),
+    from vicinity.session import materialize
+
+    # Sorted once and written to the checkpoint folder: the per-partition
+    # counts and the numbering read the same rows in the same places.
+    ordered = materialize(
+        df.orderBy(*order).select(
+            "*",
+            F.spark_partition_id().alias("_part"),
+            F.monotonically_increasing_id().alias("_mono"),
+        ),
+        "numbered",
     )
     # monotonically_increasing_id puts the partition index in the upper 31 bits
     # and the row's place in the partition in the lower 33.
