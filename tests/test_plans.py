@@ -1,25 +1,32 @@
 """Plan shape: top-k cut before the shuffle, no cross product, no Python, pruned scans."""
 
-from vicinity import build_index, knn_join, read_table
+from vicinity import build_index, candidate_cells, knn_join, read_table
 from vicinity.plans.checks import plan_text
 
 from conftest import SF_SMALL
 
 
-def _plan(spark):
+def _index(spark):
     emb = read_table(spark, SF_SMALL, "embeddings")
-    idx = build_index(emb.where("vec_id % 5 <> 0"), "vec_id", "embedding", "label")
-    nn = knn_join(emb.where("vec_id % 5 = 0"), idx, 5, "vec_id", "embedding")
-    return plan_text(nn, "formatted")
+    return emb, build_index(emb.where("vec_id % 5 <> 0"), "vec_id", "embedding", "label")
 
 
 def test_knn_plan_shape(spark):
-    text = _plan(spark)
+    emb, idx = _index(spark)
+    text = plan_text(knn_join(emb.where("vec_id % 5 = 0"), idx, 5, "vec_id", "embedding"), "formatted")
     assert "WindowGroupLimit" in text
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "collect_list"):
         assert bad not in text
-    # the query side reads only the two columns it needs
+
+
+def test_query_scan_is_pruned(spark):
+    emb, idx = _index(spark)
+    text = plan_text(candidate_cells(emb.where("vec_id % 5 = 0"), idx, 5, "vec_id", "embedding"), "formatted")
+    # the query side reads only the two columns it needs, and the split reaches the scan
     assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in text
+    assert "((vec_id#" in text and "% 5) = 0)" in text
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Exchange"):
+        assert bad not in text
 
 
 def test_registered_queries_have_no_python_stage(spark):
