@@ -35,3 +35,16 @@ def test_registered_queries_have_no_python_stage(spark):
     for name in ("knn_classify", "knn_regress", "knn_indegree"):
         text = plan_text(entry.queries()[name](spark, SF_SMALL), "formatted")
         assert "EvalPython" not in text and "CartesianProduct" not in text, name
+
+
+def test_replicated_points_are_not_broadcast(spark, monkeypatch):
+    # with query blocks the points are repeated per block; the static planner
+    # must not broadcast them on an estimate that ignores the repetition
+    from vicinity.operators import search as S
+
+    monkeypatch.setattr(S, "TARGET_PAIRS", 50)
+    monkeypatch.setattr(S, "MIN_PAIRS_PER_KEY", 50)
+    emb, idx = _index(spark)
+    text = plan_text(knn_join(emb.where("vec_id % 5 = 0"), idx, 5, "vec_id", "embedding"), "formatted")
+    join_lines = [line for line in text.splitlines() if "Join Inner" in line]
+    assert join_lines and all("SortMergeJoin" in line for line in join_lines), join_lines

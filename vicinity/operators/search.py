@@ -231,6 +231,11 @@ def _grid_join(cand: DataFrame, index: CellIndex, target_pairs: int | None = Non
 
     parts = max(1, min(keys, parallel))
     cand = cand.repartition(parts, "cell", "block", "qblock")
+    if any(v > 1 for v in qblocks.values()):
+        # Points are repeated per qblock by a generator whose size the static
+        # planner does not multiply: no broadcast from that estimate. (AQE may
+        # still choose one from the measured shuffle sizes.)
+        pts = pts.hint("merge")
     return cand.join(pts, ["cell", "block", "qblock"])
 
 
