@@ -43,6 +43,7 @@ def test_replicated_points_are_not_broadcast(spark, monkeypatch):
     from vicinity.operators import search as S
 
     monkeypatch.setattr(S, "TARGET_PAIRS", 50)
+    monkeypatch.setattr(S, "BROADCAST_CANDIDATE_BYTES", 0)
     monkeypatch.setattr(S, "MIN_PAIRS_PER_KEY", 50)
     emb, idx = _index(spark)
     text = plan_text(knn_join(emb.where("vec_id % 5 = 0"), idx, 5, "vec_id", "embedding"), "formatted")

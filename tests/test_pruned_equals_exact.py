@@ -86,6 +86,7 @@ def test_grid_split_of_hot_cells(spark, monkeypatch, count_self):
     from vicinity.operators import search as S
 
     monkeypatch.setattr(S, "TARGET_PAIRS", 50)
+    monkeypatch.setattr(S, "BROADCAST_CANDIDATE_BYTES", 0)
     part = read_table(spark, SF_SMALL, "part")
     df = assemble(part, ["p_size", F.length("p_type")], "features").select(F.col("p_partkey").alias("id"), "features")
     ids, vecs = _np(df)
@@ -94,3 +95,18 @@ def test_grid_split_of_hot_cells(spark, monkeypatch, count_self):
     idx = build_index(df, label_col=None, max_cells=3, seed=4, block_rows=20)
     for search in ("pruned", "exact"):
         assert as_lists(knn_self_join(idx, k, count_self=count_self, search=search)) == want
+
+
+def test_broadcast_and_grid_paths_agree(spark, monkeypatch):
+    # small counted candidates are broadcast; above the bound the grid is used
+    from vicinity.operators import search as S
+
+    df = _part(spark)
+    q, t = df.where("id % 4 = 0"), df.where("id % 4 <> 0")
+    idx = build_index(t, max_cells=7, seed=3, block_rows=40)
+    broadcast = as_lists(knn_join(q, idx, 5))
+    monkeypatch.setattr(S, "BROADCAST_CANDIDATE_BYTES", 0)
+    assert as_lists(knn_join(q, idx, 5)) == broadcast
+    qi, qv = _np(q)
+    ti, tv = _np(t)
+    assert broadcast == brute(qi, qv, ti, tv, 5)

@@ -57,6 +57,8 @@ MAX_UNROLLED_TERMS = 480
 # force through the same blocked join) above it: in many dimensions the
 # triangle-inequality bounds of k-means cells rarely exclude a cell.
 AUTO_PRUNE_MAX_DIM = 16
+# Rows per file of the written index.
+POINTS_PER_FILE = 1_000_000
 
 
 def cell_count(n: int, cap: int = DEFAULT_MAX_CELLS) -> int:
@@ -299,7 +301,9 @@ def build_index(
 
     assigned = assign(pts, center_list, dim)
     if checkpoint:
-        assigned = materialize(assigned, "cell-index")
+        # Spread over enough files that a scan of the index runs in parallel.
+        files = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // POINTS_PER_FILE))
+        assigned = materialize(assigned.repartition(files, "t_id"), "cell-index")
     stats = bounded_collect(cell_stats(assigned), len(center_list), "cell stats")
     near = {int(r["cell"]): tuple(r["near"]) for r in bounded_collect(near_distances(assigned), len(center_list), "near distances")}
     by_id = dict(center_list)

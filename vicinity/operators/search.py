@@ -169,6 +169,10 @@ TARGET_PAIRS = 4_000_000
 # ... and, when the whole join is small, into about two keys per core, but
 # not below this many pairs per key.
 MIN_PAIRS_PER_KEY = 100_000
+# Candidate rows are broadcast (the points then stream where they lie, no
+# shuffle of the points) only when their counted size is under this many
+# bytes; otherwise both sides are shuffled on the bounded grid keys.
+BROADCAST_CANDIDATE_BYTES = 32 * 1024 * 1024
 
 
 def _grid_join(cand: DataFrame, index: CellIndex, target_pairs: int | None = None) -> DataFrame:
@@ -200,6 +204,15 @@ def _grid_join(cand: DataFrame, index: CellIndex, target_pairs: int | None = Non
         for r in bounded_collect(cand.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), len(index.cells), "candidates per cell")
     }
     by_cell = {c.cell: c for c in index.cells}
+    n_cand = sum(counts.values())
+    max_blocks = max((by_cell[cell].blocks for cell in counts), default=1)
+    cand_bytes = n_cand * max_blocks * (8 * index.dim + 64)  # counted rows x block copies x row size
+    if cand_bytes <= BROADCAST_CANDIDATE_BYTES:
+        if max_blocks > 1:
+            cand = cand.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        else:
+            cand = cand.withColumn("block", F.lit(0))
+        return F.broadcast(cand.drop("blocks")).join(index.points, ["cell", "block"])
     total = sum(nq * by_cell[cell].n for cell, nq in counts.items())
     target = min(target_pairs or TARGET_PAIRS, max(MIN_PAIRS_PER_KEY, total // (2 * parallel)))
     qblocks = {}
