@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from vicinity.llm import quality
+from vicinity.llm import mixing, quality
 
 QUERIES = {
     "op4_quality_cascade": quality.op4_quality_cascade,
+    "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 SQL = {
     "op4_quality_cascade": quality.SQL,
+    "op10_mix_sources": mixing.SQL,
 }
