@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vicinity.llm import mixing, quality
+from vicinity.llm import bpe, mixing, quality
 
 QUERIES = {
     "op4_quality_cascade": quality.op4_quality_cascade,
+    "op7_bpe": bpe.op7_bpe,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
