@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from vicinity.llm import bpe, mixing, quality
+from vicinity.llm import bpe, mixing, pii, quality
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
     "op4_quality_cascade": quality.op4_quality_cascade,
     "op7_bpe": bpe.op7_bpe,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 SQL = {
+    "op2_pii": pii.SQL,
     "op4_quality_cascade": quality.SQL,
     "op10_mix_sources": mixing.SQL,
 }
