@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +78,39 @@ def map_texts(df: DataFrame, text_col: str, out: str, fn: TextsFn, carry: Sequen
     return source.mapInArrow(run, schema)
 
 
+#: Broadcast a counted table up to this many bytes; beyond it the join shuffles.
+BROADCAST_BYTES = 16 << 20
+
+
+def small_or_shuffled(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (a written table, so counting is cheap) marked for broadcast if its counted size allows."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Tables of consecutive rows with equal ``keys`` (not null), from rows sorted by them."""
+    kept: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        table = pa.Table.from_batches([batch])
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            key = tuple(c[lo] for c in columns)
+            if kept and key != last:
+                yield pa.concat_tables(kept)
+                kept = []
+            last = key
+            kept.append(table.slice(lo, hi - lo))
+    if kept:
+        yield pa.concat_tables(kept)
+
+
 def running_total(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column | str], value: str, name: str) -> DataFrame:
     """Add ``name``: the sum of ``value`` over the rows of the same ``keys`` that come before.
 

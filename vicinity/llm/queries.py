@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vicinity.llm import bpe, mixing, pii, quality
+from vicinity.llm import bpe, minhash, mixing, pii, quality
 
 QUERIES = {
+    "op1_near_duplicates": minhash.op1_near_duplicates,
     "op2_pii": pii.op2_pii,
     "op4_quality_cascade": quality.op4_quality_cascade,
     "op7_bpe": bpe.op7_bpe,
