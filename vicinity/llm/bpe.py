@@ -34,12 +34,13 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,8 +49,11 @@ from vicinity.sources.points import read_table
 
 #: Longest document that one task encodes in one piece, longest run of symbols merged without a tree.
 SPLIT_CHARS, LEAF_SYMBOLS = 1 << 15, 64
-#: Words whose ids a Python worker remembers.
-CACHE_WORDS = 500_000
+#: Words of each generation whose ids a Python worker remembers.
+CACHE_WORDS = 150_000
+#: Longest word that is remembered.
+CACHE_CHARS = 64
+NEVER = 1 << 60
 #: Texts of code points below this take the rules compiled here; others take the library's normaliser and splitter.
 PLAIN = 0x180
 
@@ -67,26 +71,34 @@ def _plain_class(kind: str) -> str:
 
 
 class Words(dict):
-    """Word -> its ids as int32 bytes; a missing word is encoded."""
+    """Word -> its ids as int32 bytes; a missing word is encoded.
+
+    Two generations: when the new one is full it becomes the old one, and what
+    is met again moves up, so frequent words stay and memory is bounded.
+    """
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.encode(word)
+        ids = self.old.get(word)
+        self[word] = ids = self.encode(word) if ids is None else ids
         return ids
 
+    def turn(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+
 
 class Bpe:
     """Merges, vocabulary and splitting rules of one tokenizer file (BPE with word ends)."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
+        self._path, self._library = path, None
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
@@ -99,26 +111,38 @@ class Bpe:
         white = r"\t-\r \x85\xa0"
         self.word = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{white}{letter}{number}]+")
         self.odd = re.compile(f"[^\\x00-{chr(PLAIN - 1)}]|\u0130")
-        self.words = Words(lambda w: self.ids("".join([self.symbol[b] for b in w.encode()])))
+        table = {b: x for b, x in enumerate(self.symbol)}
+        self.words = Words(lambda w: self.ids(w.encode().decode("latin-1").translate(table)))
         self.mapped = Words(self.ids)
         names = {**{i: t for t, i in self.vocab.items()}, **{i: t for t, i in self.special.items()}}
         self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
 
+    @property
+    def library(self):
+        """The library's normaliser and splitter, for texts beyond the plain code points."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        return self._library
+
     def merge(self, symbols: list[str]) -> list[str]:
         """Merge by rank, leftmost first among equals."""
-        ranks = self.ranks
         if len(symbols) > LEAF_SYMBOLS:
             return self._merge_heap(symbols)
-        s = symbols
-        while len(s) > 1:
-            best, at = None, -1
-            for i in range(len(s) - 1):
-                r = ranks.get((s[i], s[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+        s, rank = list(symbols), self.ranks.get
+        due = [rank(p, NEVER) for p in zip(s, s[1:], strict=False)]
+        while due:
+            low = min(due)
+            if low == NEVER:
                 break
-            s = [*s[:at], s[at] + s[at + 1], *s[at + 2 :]]
+            i = due.index(low)
+            s[i] += s.pop(i + 1)
+            del due[i]
+            if i:
+                due[i - 1] = rank((s[i - 1], s[i]), NEVER)
+            if i < len(due):
+                due[i] = rank((s[i], s[i + 1]), NEVER)
         return s
 
     def _merge_heap(self, symbols: list[str]) -> list[str]:
@@ -171,13 +195,12 @@ class Bpe:
         """int32 bytes of the ids of one split word, given in byte symbols."""
         symbols = [*word[:-1], word[-1] + self.end]
         tokens = self.tree(symbols) if len(symbols) > LEAF_SYMBOLS else self.merge(symbols)
-        return np.array([self.vocab[t] for t in tokens if t in self.vocab], dtype=np.int32).tobytes()
+        return array("i", [self.vocab[t] for t in tokens if t in self.vocab]).tobytes()
 
     def _look_up(self, cache: Words, words: list[str]) -> bytes:
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        if any(len(w) > 256 for w in words):
-            return b"".join([cache[w] if len(w) <= 256 else cache.encode(w) for w in words])
+        cache.turn()
+        if words and max(map(len, words)) > CACHE_CHARS:
+            return b"".join([cache[w] if len(w) <= CACHE_CHARS else cache.encode(w) for w in words])
         return b"".join(map(cache.__getitem__, words))
 
     def encode_part(self, text: str) -> bytes:
@@ -217,6 +240,26 @@ def _ids_array(parts: Sequence[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
 
 
+def _decoded(bpe: Bpe, lists: pa.ListArray) -> pa.Array:
+    """Texts of lists of ids: tokens joined by a space."""
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(bpe.names)))
+    tokens = pc.take(bpe.names, pc.if_else(known, flat, None))
+    if tokens.null_count:
+        there = tokens.is_valid().to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(there)])[offsets]
+        tokens = tokens.filter(pa.array(there))
+    # A few million tokens at a time, far from the 2 GB that one Arrow array of texts can hold.
+    texts, lo = [], 0
+    while lo < len(lists):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (1 << 22), side="right")) - 1)
+        hi = min(hi, len(lists))
+        part = pa.ListArray.from_arrays(pa.array(offsets[lo : hi + 1] - offsets[lo], pa.int32()), tokens.slice(offsets[lo], offsets[hi] - offsets[lo]))
+        texts.append(pc.binary_join(part, " "))
+        lo = hi
+    return pa.concat_arrays(texts) if texts else pa.array([], pa.string())
+
+
 WHITE = " \t\n\v\f\r"
 
 
@@ -240,21 +283,29 @@ def _join_leaves(bpe: Bpe, leaves: Sequence[tuple[str, bytes | None, str]]) -> b
     return b"".join([*out, bpe.encode("".join(open_text))])
 
 
-def encode(df: DataFrame, path: str | None = None, text_col: str = "text", carry: Sequence[str] | None = None, split_chars: int = SPLIT_CHARS) -> DataFrame:
-    """``df`` (or its columns ``carry``) with ``ids array<int>``."""
+def encode(
+    df: DataFrame, path: str | None = None, text_col: str = "text", carry: Sequence[str] | None = None, split_chars: int = SPLIT_CHARS, decoded: str | None = None
+) -> DataFrame:
+    """``df`` (or its columns ``carry``) with ``ids array<int>``, and their text as ``decoded`` if a name is given."""
     path = path or default_path()
     ship(df.sparkSession)
     text = F.col(quoted([text_col])[0])
-    carry = [c for c in (df.columns if carry is None else carry) if c.lower() != "ids"]
+    made = ["ids", *([decoded] if decoded else [])]
+    carry = [c for c in (df.columns if carry is None else carry) if c.lower() not in {m.lower() for m in made}]
+    out = "ids array<int>" + (f", {quoted([decoded])[0]} string" if decoded else "")
+
+    def results(bpe: Bpe, parts: list[bytes]) -> list[pa.Array]:
+        ids = _ids_array(parts)
+        return [ids, _decoded(bpe, ids)] if decoded else [ids]
 
     def whole(texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
         bpe = load(path)
         for lo in range(0, len(texts), 512):
             part = texts.slice(lo, 512).to_pylist()
-            yield lo, lo + len(part), [_ids_array([bpe.encode(t) if t else b"" for t in part])]
+            yield lo, lo + len(part), results(bpe, [bpe.encode(t) if t else b"" for t in part])
 
     long = F.coalesce(F.char_length(text), F.lit(0)) > split_chars
-    short = map_texts(df.where(~long), text_col, "ids array<int>", whole, carry)
+    short = map_texts(df.where(~long), text_col, out, whole, carry)
 
     # Long texts: each distinct one once, its leaves spread over tasks.
     key = free_name(df, "_key")
@@ -274,14 +325,15 @@ def encode(df: DataFrame, path: str | None = None, text_col: str = "text", carry
     encoded = map_texts(spread, "piece", "head string, part binary, tail string", leaf, ["key", "leaf"])
 
     def tree(table: pa.Table) -> pa.Table:
+        bpe = load(path)
         rows = sorted(table.to_pylist(), key=lambda r: r["leaf"])
-        ids = _join_leaves(load(path), [(r["head"], r["part"], r["tail"]) for r in rows])
-        return pa.table({"key": [rows[0]["key"]], "ids": _ids_array([ids])})
+        ids = _join_leaves(bpe, [(r["head"], r["part"], r["tail"]) for r in rows])
+        return pa.Table.from_arrays([pa.array([rows[0]["key"]]), *results(bpe, [ids])], ["key", *made])
 
-    joined = encoded.groupBy("key").applyInArrow(tree, "key string, ids array<int>").withColumnRenamed("key", key)
+    joined = encoded.groupBy("key").applyInArrow(tree, f"key string, {out}").withColumnRenamed("key", key)
     # Sort-merge: a text that many rows share is a hot key, which Spark can split there.
-    rest = df.where(long).select(*quoted(carry), F.sha2(text, 256).alias(key)).join(joined.hint("merge"), key).drop(key)
-    return short.unionByName(rest.select(*quoted(carry), "ids"))
+    rest = df.where(long).select(*quoted(carry), F.sha2(text, 256).alias(key)).join(joined.hint("merge"), key)
+    return short.unionByName(rest.select(*quoted([*carry, *made])))
 
 
 def decode(df: DataFrame, path: str | None = None, ids_col: str = "ids", name: str = "decoded", carry: Sequence[str] | None = None) -> DataFrame:
@@ -294,30 +346,13 @@ def decode(df: DataFrame, path: str | None = None, ids_col: str = "ids", name: s
     schema = T.StructType([*[f for f in source.schema if f.name != at], T.StructField(name, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = load(path).names
         for batch in batches:
-            lists = batch.column(0)
-            flat, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            tokens = pc.take(names, pc.if_else(pc.and_kleene(pc.greater_equal(flat, 0), pc.less(flat, len(names))), flat, None))
-            if tokens.null_count:
-                there = tokens.is_valid().to_numpy(zero_copy_only=False)
-                offsets = np.concatenate([[0], np.cumsum(there)])[offsets]
-                tokens = tokens.filter(pa.array(there))
-            # 32-bit offsets in Arrow's join: cut the batch so that no piece nears 2 GB.
-            texts, lo = [], 0
-            while lo < len(lists):
-                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (1 << 22), side="right")) - 1)
-                hi = min(hi, len(lists))
-                sub = pa.ListArray.from_arrays(pa.array(offsets[lo : hi + 1] - offsets[lo], pa.int32()), tokens.slice(offsets[lo], offsets[hi] - offsets[lo]))
-                texts.append(pc.binary_join(sub, " "))
-                lo = hi
-            text = pa.concat_arrays(texts) if texts else pa.array([], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], text], [f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], _decoded(load(path), batch.column(0))], [f.name for f in schema])
 
     return source.mapInArrow(run, schema)
 
 
-def digests(df: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded") -> list:
+def digests(ids_col: str = "ids", decoded_col: str = "decoded") -> list[Column]:
     """Columns ``n_tokens``, ``ids_sha256``, ``decoded_sha256``."""
     return [
         F.size(ids_col).cast("long").alias("n_tokens"),
@@ -329,5 +364,4 @@ def digests(df: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded") -
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded text of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs, carry=["doc_id"]))
-    return both.select("doc_id", *digests(both))
+    return encode(docs, carry=["doc_id"], decoded="decoded").select("doc_id", *digests())
