@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from vicinity.llm import bpe, minhash, mixing, pii, quality
+from vicinity.llm import bpe, lattice, minhash, mixing, pii, quality
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
     "op2_pii": pii.op2_pii,
+    "op3_embedding_links": lattice.op3_embedding_links,
     "op4_quality_cascade": quality.op4_quality_cascade,
     "op7_bpe": bpe.op7_bpe,
     "op10_mix_sources": mixing.op10_mix_sources,
@@ -14,6 +15,7 @@ QUERIES = {
 
 SQL = {
     "op2_pii": pii.SQL,
+    "op3_embedding_links": lattice.SQL,
     "op4_quality_cascade": quality.SQL,
     "op10_mix_sources": mixing.SQL,
 }
