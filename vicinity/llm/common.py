@@ -65,14 +65,17 @@ def map_texts(df: DataFrame, text_col: str, out: str, fn: TextsFn, carry: Sequen
     names = {f.name.lower() for f in made}
     kept = [c for c in (df.columns if carry is None else carry) if c.lower() not in names]
     at = free_name(df, "_text")
-    source = df.select(F.col(quoted([text_col])[0]).cast("string").alias(at), *quoted(kept))
+    # A text that goes along is sent to Python once.
+    own = text_col in kept and isinstance(df.schema[text_col].dataType, T.StringType)
+    source = df.select(*quoted(kept), *([] if own else [F.col(quoted([text_col])[0]).cast("string").alias(at)]))
     schema = T.StructType([f for f in source.schema if f.name != at] + list(made))
     columns = [f.name for f in schema]
+    place = kept.index(text_col) if own else len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, arrays in fn(batch.column(0)):
-                rest = [batch.column(k + 1).slice(lo, hi - lo) for k in range(len(kept))]
+            for lo, hi, arrays in fn(batch.column(place)):
+                rest = [batch.column(k).slice(lo, hi - lo) for k in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*rest, *arrays], columns)
 
     return source.mapInArrow(run, schema)
