@@ -157,7 +157,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         return near.where("a <> b").distinct()
 
     def mark(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") / 1024)).first())
+        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
     e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     seen = mark(e)
