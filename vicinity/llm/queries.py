@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vicinity.llm import bpe, lattice, minhash, mixing, pii, quality
+from vicinity.llm import bpe, lattice, minhash, mixing, pii, quality, toxicity
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_embedding_links": lattice.op3_embedding_links,
     "op4_quality_cascade": quality.op4_quality_cascade,
     "op7_bpe": bpe.op7_bpe,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
