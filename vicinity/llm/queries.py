@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vicinity.llm import bpe, lattice, minhash, mixing, pii, quality, toxicity
+from vicinity.llm import bpe, lattice, minhash, mixing, pii, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
     "op2_pii": pii.op2_pii,
     "op3_embedding_links": lattice.op3_embedding_links,
     "op4_quality_cascade": quality.op4_quality_cascade,
+    "op5_token_counts": token_counts.op5_token_counts,
     "op7_bpe": bpe.op7_bpe,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mix_sources": mixing.op10_mix_sources,
