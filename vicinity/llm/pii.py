@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinity.llm.common import free_name, quoted
+from vicinity.llm.spans import let, matches
 from vicinity.sources.points import read_table
 
 BASE = ("email", "ip", "card", "phone")
@@ -84,29 +85,7 @@ CUES = {
 }
 ANTI_CUES = "isbn|issn|doi|order|invoice|version|part|sku|page"
 CONTEXT = 40
-EM_ROUNDS, BLOCK, CHUNK = 30, 64, 4096
-
-
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
-
-
-def _starts(parts: Column, found: Column) -> Column:
-    """Start of each match, from the pieces between matches; sums go by blocks, so many matches stay cheap."""
-    n = F.size(found)
-    index = F.sequence(F.lit(0), n - 1)
-    lens = F.transform(index, lambda i: (F.char_length(F.get(parts, i)) + F.char_length(F.get(found, i))).cast("long"))
-
-    def with_lens(ls: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: _total(F.slice(ls, b * BLOCK + 1, F.lit(BLOCK))))
-        return _let(blocks, lambda bl: F.transform(index, lambda i: _total(F.slice(bl, F.lit(1), F.floor(i / BLOCK).cast("int"))) + _total(F.slice(ls, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)) + F.char_length(F.get(parts, i))))
-
-    return F.when(n > 0, _let(lens, with_lens)).otherwise(F.array().cast("array<bigint>"))
+EM_ROUNDS, CHUNK = 30, 4096
 
 
 def _check(kind: str, t: Column) -> Column:
@@ -114,7 +93,7 @@ def _check(kind: str, t: Column) -> Column:
     digits = F.regexp_replace(t, "[^0-9]", "")
     if kind == "ip":
         # A part of more than 9 digits has leading zeros at best: strip them before comparing.
-        return F.forall(F.split(t, r"\."), lambda p: _let(F.ltrim(p, F.lit("0")), lambda q: (F.char_length(q) <= 3) & (F.coalesce(F.expr("0") + q.try_cast("int"), F.lit(0)) <= 255)))
+        return F.forall(F.split(t, r"\."), lambda p: let(F.ltrim(p, F.lit("0")), lambda q: (F.char_length(q) <= 3) & (F.coalesce(F.expr("0") + q.try_cast("int"), F.lit(0)) <= 255)))
     if kind == "card":
         return F.char_length(digits).between(16, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
@@ -123,22 +102,8 @@ def _check(kind: str, t: Column) -> Column:
 
 
 def _matches(df: DataFrame, kind: str, text: str, name: str) -> DataFrame:
-    """Add ``name``: array of ``(start, end, text, before, ok)`` of the raw matches of ``kind``."""
-    f, p, s = f"{name}_f", f"{name}_p", f"{name}_s"
-    has = F.rlike(text, F.lit(NEEDS[kind]))
-    none = F.array().cast("array<string>")
-    df = df.withColumn(f, F.when(has, F.regexp_extract_all(text, F.lit(PATTERN[kind]), F.lit(0))).otherwise(none))
-    df = df.withColumn(p, F.when(F.size(f) > 0, F.split(text, PATTERN[kind], -1)).otherwise(none))
-    df = df.withColumn(s, _starts(F.col(p), F.col(f)))
-
-    def one(m: Column, i: Column) -> Column:
-        start = F.get(s, i)
-        return F.struct(
-            start.alias("s"), (start + F.char_length(m)).alias("e"), m.alias("t"),
-            F.right(F.get(p, i), F.lit(CONTEXT)).alias("b"), _check(kind, m).alias("ok"),
-        )
-
-    return df.withColumn(name, F.transform(F.col(f), one)).drop(f, p, s)
+    """Add ``name``: array of ``(s, e, t, b, a, ok)`` of the raw matches of ``kind``."""
+    return matches(df, PATTERN[kind], NEEDS[kind], text, name, lambda m: _check(kind, m), CONTEXT)
 
 
 def _votes(kind: str, m: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vicinity.llm import bpe, lattice, minhash, mixing, pii, quality, token_counts, toxicity
+from vicinity.llm import bpe, lattice, minhash, mixing, pii, quality, secret_scan, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_embedding_links": lattice.op3_embedding_links,
     "op4_quality_cascade": quality.op4_quality_cascade,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_warc_derivatives": warc.op6_warc_derivatives,
     "op7_bpe": bpe.op7_bpe,
+    "op8_secrets": secret_scan.op8_secrets,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
