@@ -21,6 +21,8 @@ TextsFn = Callable[[pa.Array], Iterator[tuple[int, int, list[pa.Array]]]]
 
 
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch that goes to a Python worker; long texts would fill memory at the default.
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -28,7 +30,9 @@ def ship(spark: SparkSession) -> None:
 
     ``addPyFile`` is Spark's way to do so: the driver serves the archive, and
     every executor (also one that starts later) fetches it before its tasks.
+    The session's Arrow batches are bounded in bytes, too.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return

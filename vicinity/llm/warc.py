@@ -48,7 +48,7 @@ OUT = (
 )
 NAMES = [c.split()[0] for c in OUT.split(", ")]
 
-HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|head)\b.*?(?:</\1\s*>|$)")
+HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|head|title)\b.*?(?:</\1\s*>|$)")
 BLOCK_TAG = re.compile(r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|thead|tbody|article|section|header|footer|nav|aside|main|form|blockquote|pre|figure|title|body|html)\b[^>]*>")
 CELL_TAG = re.compile(r"(?i)</?t[dh]\b[^>]*>")
 ANY_TAG = re.compile(r"</?[A-Za-z!?][^>]*(?:>|$)")
