@@ -133,6 +133,12 @@ def checked_width(a: Column, dim: int) -> Column:
     )
 
 
+def usable(name: str) -> Column:
+    """The vector is there and all its elements are finite numbers."""
+    bad = f"exists(`{name}`, x -> x IS NULL OR isnan(x) OR abs(x) = CAST('Infinity' AS DOUBLE))"
+    return F.expr(f"`{name}` IS NOT NULL AND NOT coalesce({bad}, true)")
+
+
 def double_sql(x: float) -> str:
     """A double literal in Spark SQL text that parses back to exactly ``x``."""
     x = float(x)
@@ -147,7 +153,3 @@ def vector_sql(values) -> str:
     """SQL text of a constant ``array<double>``."""
     return "array(" + ", ".join(double_sql(v) for v in values) + ")"
 
-
-def vector_literal(values) -> Column:
-    """A constant ``array<double>`` column."""
-    return F.expr(vector_sql(values)) if len(values) else F.expr("CAST(array() AS array<double>)")

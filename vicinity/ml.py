@@ -21,9 +21,10 @@ from vicinity.operators.cells import DEFAULT_BLOCK_ROWS, DEFAULT_MAX_CELLS, DEFA
 from vicinity.operators.outliers import indegree, outliers
 from vicinity.operators.predict import (
     attach,
+    check_class_labels,
     class_count,
     classify_predictions,
-    probability_predictions,
+    raw_predictions,
     regress_predictions,
 )
 from vicinity.operators.search import SEARCH_MODES, knn_join
@@ -62,6 +63,9 @@ class _KNNParams(HasFeaturesCol, HasPredictionCol, HasSeed):
     def setPredictionCol(self, value: str):
         return self._set(predictionCol=value)
 
+    def setSeed(self, value: int):
+        return self._set(seed=value)
+
     def _validate(self) -> None:
         k = self.getOrDefault(self.k)
         if k < 1:
@@ -70,14 +74,17 @@ class _KNNParams(HasFeaturesCol, HasPredictionCol, HasSeed):
             raise ValueError(f"search must be one of {SEARCH_MODES}")
 
     def _build(self, dataset: DataFrame, label_col: str | None) -> CellIndex:
+        """The index of the training rows; without ``idCol`` they are numbered, rows without a label are left out."""
         self._validate()
         search = self.getOrDefault(self.search)
+        if label_col is not None:
+            dataset = dataset.where(F.col(label_col).isNotNull())
         return build_index(
-            dataset,
+            ensure_id(dataset, self.getOrDefault(self.idCol)),
             self.getOrDefault(self.idCol),
             self.getOrDefault(self.featuresCol),
             label_col,
-            centers="single" if search == "exact" else "auto",
+            centers={"exact": "single", "single_cell": "kmeans", "pruned": "auto"}[search],
             max_cells=self.getOrDefault(self.maxCells),
             seed=self.getOrDefault(self.seed),
             block_rows=self.getOrDefault(self.blockRows),
@@ -89,36 +96,54 @@ class _KNNModelBase(Model, _KNNParams):
         super().__init__()
         self.index = index
 
-    def _neighbours(self, dataset: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    def _predict(self, dataset: DataFrame, predictions, output_cols: list[str]) -> DataFrame:
+        """``dataset`` with ``output_cols`` of ``predictions(neighbours)`` after its own columns.
+
+        Rows are matched by a key of our own, so ids of the input may be
+        missing, null or repeated.
+        """
         self._validate()
-        id_col = self.getOrDefault(self.idCol)
-        added = id_col not in dataset.columns
-        ds = ensure_id(dataset, id_col)
-        nn = knn_join(ds, self.index, self.getOrDefault(self.k), id_col, self.getOrDefault(self.featuresCol),
+        if not output_cols:
+            return dataset
+        clash = [c for c in output_cols if c in dataset.columns]
+        if clash:
+            raise ValueError(f"output column(s) {clash} already exist")
+        key = "_knn_row"
+        while key in dataset.columns:
+            key = f"_{key}"
+        ds = ensure_id(dataset, key)
+        nn = knn_join(ds, self.index, self.getOrDefault(self.k), key, self.getOrDefault(self.featuresCol),
                       search=self.getOrDefault(self.search))
-        return ds, nn, added
-
-    def _finish(self, ds: DataFrame, preds: DataFrame, added: bool, cols: list[str]) -> DataFrame:
-        id_col = self.getOrDefault(self.idCol)
-        out = attach(ds, preds, id_col, cols)
-        return out.drop(id_col) if added else out
+        return attach(ds, predictions(nn), key, output_cols).drop(key)
 
 
 class KNNClassifier(Estimator, _KNNParams, HasLabelCol):
     """k-NN classification by majority vote; ties go to the smallest label."""
 
     probabilityCol = Param(Params._dummy(), "probabilityCol", "vote-share column; empty for none", typeConverter=TypeConverters.toString)
+    rawPredictionCol = Param(Params._dummy(), "rawPredictionCol", "column of votes per class; empty for none", typeConverter=TypeConverters.toString)
 
     @keyword_only
     def __init__(self, *, k=1, featuresCol="features", labelCol="label", predictionCol="prediction",
-                 idCol="id", probabilityCol="", search="pruned", maxCells=DEFAULT_MAX_CELLS,
+                 idCol="id", probabilityCol="", rawPredictionCol="", search="pruned", maxCells=DEFAULT_MAX_CELLS,
                  blockRows=DEFAULT_BLOCK_ROWS, seed=DEFAULT_SEED):
         super().__init__()
-        self._setDefault(labelCol="label", probabilityCol="")
+        self._setDefault(labelCol="label", probabilityCol="", rawPredictionCol="")
         self._set(**self._input_kwargs)
 
+    def setLabelCol(self, value: str):
+        return self._set(labelCol=value)
+
+    def setProbabilityCol(self, value: str):
+        return self._set(probabilityCol=value)
+
+    def setRawPredictionCol(self, value: str):
+        return self._set(rawPredictionCol=value)
+
     def _fit(self, dataset: DataFrame) -> "KNNClassificationModel":
         label = self.getOrDefault(self.labelCol)
+        if self.getOrDefault(self.probabilityCol) or self.getOrDefault(self.rawPredictionCol):
+            check_class_labels(dataset, label)
         index = self._build(dataset, label)
         model = KNNClassificationModel(index, class_count(dataset, label))
         return self._copyValues(model)
@@ -126,23 +151,25 @@ class KNNClassifier(Estimator, _KNNParams, HasLabelCol):
 
 class KNNClassificationModel(_KNNModelBase, HasLabelCol):
     probabilityCol = KNNClassifier.probabilityCol
+    rawPredictionCol = KNNClassifier.rawPredictionCol
 
     def __init__(self, index: CellIndex | None = None, num_classes: int = 0):
         super().__init__(index)
-        self._setDefault(labelCol="label", probabilityCol="")
+        self._setDefault(labelCol="label", probabilityCol="", rawPredictionCol="")
         self.numClasses = num_classes
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        ds, nn, added = self._neighbours(dataset)
-        pred_col = self.getOrDefault(self.predictionCol)
-        preds = classify_predictions(nn).withColumnRenamed("prediction", pred_col)
-        cols = [pred_col]
-        prob_col = self.getOrDefault(self.probabilityCol)
-        if prob_col:
-            probs = probability_predictions(nn, self.numClasses).withColumnRenamed("probability", prob_col)
-            preds = preds.join(probs, "q_id")
-            cols.append(prob_col)
-        return self._finish(ds, preds, added, cols)
+        """Append the prediction, and votes and vote shares per class where their columns are named."""
+        names = {"prediction": self.predictionCol, "raw": self.rawPredictionCol, "probability": self.probabilityCol}
+        names = {k: self.getOrDefault(p) for k, p in names.items() if self.getOrDefault(p)}
+
+        def predictions(nn: DataFrame) -> DataFrame:
+            out = classify_predictions(nn)
+            if len({"raw", "probability"} & names.keys()):
+                out = out.join(raw_predictions(nn, self.numClasses), "q_id")
+            return out.select("q_id", *[F.col(k).alias(v) for k, v in names.items()])
+
+        return self._predict(dataset, predictions, list(names.values()))
 
 
 class KNNRegressor(Estimator, _KNNParams, HasLabelCol):
@@ -159,6 +186,9 @@ class KNNRegressor(Estimator, _KNNParams, HasLabelCol):
         self._setDefault(labelCol="label", exactMatch="mean", power=2.0)
         self._set(**self._input_kwargs)
 
+    def setLabelCol(self, value: str):
+        return self._set(labelCol=value)
+
     def _fit(self, dataset: DataFrame) -> "KNNRegressionModel":
         index = self._build(dataset, self.getOrDefault(self.labelCol))
         return self._copyValues(KNNRegressionModel(index))
@@ -173,10 +203,13 @@ class KNNRegressionModel(_KNNModelBase, HasLabelCol):
         self._setDefault(labelCol="label", exactMatch="mean", power=2.0)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        ds, nn, added = self._neighbours(dataset)
         pred_col = self.getOrDefault(self.predictionCol)
-        preds = regress_predictions(nn, self.getOrDefault(self.exactMatch), self.getOrDefault(self.power))
-        return self._finish(ds, preds.withColumnRenamed("prediction", pred_col), added, [pred_col])
+
+        def predictions(nn: DataFrame) -> DataFrame:
+            out = regress_predictions(nn, self.getOrDefault(self.exactMatch), self.getOrDefault(self.power))
+            return out.withColumnRenamed("prediction", pred_col)
+
+        return self._predict(dataset, predictions, [pred_col] if pred_col else [])
 
 
 class KNNOutlierDetector(Estimator, _KNNParams):
@@ -204,8 +237,12 @@ class KNNOutlierDetector(Estimator, _KNNParams):
     def _fit(self, dataset: DataFrame) -> "KNNOutlierModel":
         if self.getOrDefault(self.threshold) < 0:
             raise ValueError("threshold must be at least 0")
-        ds = ensure_id(dataset, self.getOrDefault(self.idCol))
-        return self._copyValues(KNNOutlierModel(self._build(ds, None)))
+        id_col = self.getOrDefault(self.idCol)
+        if id_col in dataset.columns:
+            n, known, ids = dataset.agg(F.count(F.lit(1)), F.count(id_col), F.count_distinct(id_col)).first()
+            if not n == known == ids:
+                raise ValueError(f"{id_col!r} must name every row once; drop it and rows are numbered")
+        return self._copyValues(KNNOutlierModel(self._build(dataset, None)))
 
 
 class KNNOutlierModel(_KNNModelBase):
@@ -235,19 +272,25 @@ class KNNOutlierModel(_KNNModelBase):
         return outliers(self.indegrees(), self.getOrDefault(self.threshold))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        """Append the in-degree and ``prediction`` (1.0 = outlier) to training rows, matched by id or by vector."""
+        """Append the in-degree and ``prediction`` (1.0 = outlier) to training rows.
+
+        Rows are matched by id, or by vector where they have none (or for
+        ``key="value"``); rows of equal vectors then take the largest
+        in-degree among them. Empty column names add no column.
+        """
         deg_col = self.getOrDefault(self.indegreeCol)
         pred_col = self.getOrDefault(self.predictionCol)
-        clash = [c for c in (deg_col, pred_col) if c in dataset.columns]
+        named = [c for c in (deg_col, pred_col) if c]
+        clash = [c for c in named if c in dataset.columns]
         if clash:
             raise ValueError(f"output column(s) {clash} already exist")
         deg = self.indegrees()
-        t = self.getOrDefault(self.threshold)
-        if self.getOrDefault(self.key) == "id":
-            id_col = self.getOrDefault(self.idCol)
-            out = dataset.join(deg.select(F.col("id").alias(id_col), F.col("indegree").alias(deg_col)), id_col, "left")
+        id_col = self.getOrDefault(self.idCol)
+        if self.getOrDefault(self.key) == "id" and id_col in dataset.columns:
+            out = dataset.join(deg.select(F.col("id").alias(id_col), F.col("indegree").alias("_degree")), id_col, "left")
         else:
-            feats = self.getOrDefault(self.featuresCol)
-            keyed = dataset.withColumn("_fv", as_array(dataset, feats))
-            out = keyed.join(deg.select(F.col("features").alias("_fv"), F.col("indegree").alias(deg_col)), "_fv", "left").drop("_fv")
-        return out.withColumn(pred_col, (F.col(deg_col) <= t).cast("double"))
+            deg = deg.groupBy(F.col("features").alias("_fv")).agg(F.max("indegree").alias("_degree"))
+            keyed = dataset.withColumn("_fv", as_array(dataset, self.getOrDefault(self.featuresCol)))
+            out = keyed.join(deg, "_fv", "left")
+        made = {deg_col: F.col("_degree"), pred_col: (F.col("_degree") <= self.getOrDefault(self.threshold)).cast("double")}
+        return out.select(*dataset.columns, *[made[c].alias(c) for c in named])

@@ -31,23 +31,18 @@ from vicinity.functions.vectors import (
     checked_width,
     sqdist_const_sql,
     sqdist_sql,
+    usable,
     vector_sql,
 )
 from vicinity.plans.checks import bounded_collect, check_literal_size
-from vicinity.session import materialize
+from vicinity.session import allow_group_limit, materialize
 
 DEFAULT_MAX_CELLS = 50
-DEFAULT_BLOCK_ROWS = 50_000
-# k-means is fitted on at most about this many rows; the cells only steer
-# the search, so their quality affects speed, never the answer.
-DEFAULT_FIT_ROWS = 1_000_000
+# Points per join block. The grid of the join is square: as many queries as
+# points per key, so neither side is copied more often than the other.
+DEFAULT_BLOCK_ROWS = 2_000
 DEFAULT_SEED = 17
 MAX_CELLS_LIMIT = 100_000
-# k-means sample per cell: plenty for centres that only steer the search.
-FIT_ROWS_PER_CELL = 1_000
-# Per cell, the smallest NEAR_RANKS member distances to the centre are kept;
-# they give a tight bound on the k-th neighbour distance for k <= NEAR_RANKS.
-NEAR_RANKS = 32
 # Above this many unrolled terms (cells x width) distances to centres are
 # folded with higher-order functions instead of written out: whole-stage
 # codegen inlines a projection into one Java method, and past roughly this
@@ -84,7 +79,6 @@ class Cell:
     radius: float  # largest member distance, not squared
     n: int
     blocks: int
-    near: tuple = ()  # smallest member distances to the centre, ascending (at most NEAR_RANKS)
 
 
 @dataclass
@@ -100,14 +94,18 @@ class CellIndex:
     n: int
     has_label: bool
     block_rows: int = DEFAULT_BLOCK_ROWS
-    extra: dict = field(default_factory=dict)
+    near: dict = field(default_factory=dict)
 
-    def cells_df(self) -> DataFrame:
-        spark = self.points.sparkSession
-        rows = [(c.cell, [float(x) for x in c.center], float(c.radius), int(c.n), int(c.blocks)) for c in self.cells]
-        return spark.createDataFrame(
-            rows, "cell int, center array<double>, radius double, n long, blocks int"
-        )
+    def near_distance(self, rank: int) -> dict[int, float]:
+        """Per cell with ``rank`` members or more, the ``rank``-th smallest member distance to the centre.
+
+        Computed when a search first asks for a rank (one small job, at most
+        one row per cell comes back) and kept.
+        """
+        if rank not in self.near:
+            rows = bounded_collect(near_distances(self.points, rank), len(self.cells), "near distances")
+            self.near[rank] = {int(r["cell"]): float(r["near"]) for r in rows}
+        return self.near[rank]
 
 
 def centers_sql(centers: list[tuple[int, tuple]]) -> str:
@@ -142,18 +140,9 @@ def fit_centers(
     vec_col: str = "t_vec",
     seed: int = DEFAULT_SEED,
     max_iter: int = 20,
-    fit_rows: int = DEFAULT_FIT_ROWS,
-    n_rows: int | None = None,
 ) -> list[tuple[int, tuple]]:
-    """k-means centres ``[(cell, center)]`` fitted with ``pyspark.ml.clustering.KMeans``.
-
-    Fitted on a seeded sample of about ``fit_rows`` rows when the table is
-    larger; the centres only steer the search.
-    """
+    """k-means centres ``[(cell, center)]`` fitted on all rows with ``pyspark.ml.clustering.KMeans``."""
     data = points.select(array_to_vector(F.col(vec_col)).alias("v"))
-    want = min(fit_rows, FIT_ROWS_PER_CELL * n_cells)
-    if n_rows is not None and n_rows > want:
-        data = data.sample(withReplacement=False, fraction=min(1.0, 1.2 * want / n_rows), seed=seed)
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="v").fit(data)
     centers = model.clusterCenters()
     if len(centers) > n_cells:
@@ -195,18 +184,16 @@ def cell_stats(assigned: DataFrame) -> DataFrame:
     )
 
 
-def near_distances(assigned: DataFrame, ranks: int = NEAR_RANKS) -> DataFrame:
-    """``(cell, near array<double>)``: each cell's ``ranks`` smallest member distances, ascending.
+def near_distances(assigned: DataFrame, rank: int) -> DataFrame:
+    """``(cell, near)``: each cell's ``rank``-th smallest member distance, for cells with as many members.
 
-    ``row_number() <= ranks`` per cell: Catalyst keeps ``ranks`` rows per cell
-    in each task before the shuffle (partial ``WindowGroupLimit``), so the
-    gathered group is bounded by ``ranks``.
+    ``row_number() <= rank`` per cell: Catalyst keeps ``rank`` rows per cell in
+    each task before the shuffle (partial ``WindowGroupLimit``).
     """
+    allow_group_limit(assigned.sparkSession, rank)
     w = Window.partitionBy("cell").orderBy("t_dist", "t_id")
-    top = assigned.select("cell", "t_id", "t_dist").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= ranks)
-    return top.groupBy("cell").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_r", "t_dist"))), lambda x: x["t_dist"]).alias("near")
-    )
+    top = assigned.select("cell", "t_id", "t_dist").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= rank)
+    return top.where(F.col("_r") == rank).select("cell", F.col("t_dist").alias("near"))
 
 
 def _blocks_for(n: int, block_rows: int) -> int:
@@ -227,15 +214,17 @@ def prepare_points(
     features_col: str = "features",
     label_col: str | None = "label",
 ) -> tuple[DataFrame, int, int]:
-    """``(t_id, [t_label], t_vec)`` with null vectors dropped, plus the row count and width.
+    """``(t_id, [t_label], t_vec)`` with unusable vectors left out, plus the row count and width.
 
-    One job computes count and width and checks that all widths agree.
+    A vector that is null, or holds a null or a value that is not finite, has
+    no distance to anything: such rows are left out, in every search mode
+    alike. One job computes count and width and checks that all widths agree.
     """
     cols = [F.col(id_col).alias("t_id")]
     if label_col is not None:
         cols.append(F.col(label_col).cast("double").alias("t_label"))
     cols.append(as_array(df, features_col).alias("t_vec"))
-    pts = df.select(*cols).where(F.col("t_vec").isNotNull())
+    pts = df.select(*cols).where(usable("t_vec"))
     stats = pts.agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.size("t_vec")).alias("lo"),
@@ -257,13 +246,13 @@ def build_index(
     max_cells: int = DEFAULT_MAX_CELLS,
     seed: int = DEFAULT_SEED,
     block_rows: int = DEFAULT_BLOCK_ROWS,
-    fit_rows: int = DEFAULT_FIT_ROWS,
     max_iter: int = 20,
     checkpoint: bool = True,
 ) -> CellIndex:
     """Build the search index over training rows.
 
-    ``centers``: ``"kmeans"`` (fit :func:`cell_count` cells), ``"single"``
+    ``max_cells`` caps the number of k-means cells (50 is the usual rule; more
+    cells pay for larger tables). ``centers``: ``"kmeans"`` (fit :func:`cell_count` cells), ``"single"``
     (one cell, for brute-force search), ``"auto"`` (k-means up to
     ``AUTO_PRUNE_MAX_DIM`` wide, else single), a DataFrame ``(cell, center)``
     or a list ``[(cell, center)]`` of given centres.
@@ -285,7 +274,7 @@ def build_index(
     if isinstance(centers, str) and centers == "auto":
         centers = "kmeans" if dim <= AUTO_PRUNE_MAX_DIM else "single"
     if isinstance(centers, str) and centers == "kmeans":
-        center_list = fit_centers(pts, cell_count(n, max_cells), seed=seed, max_iter=max_iter, fit_rows=fit_rows, n_rows=n)
+        center_list = fit_centers(pts, cell_count(n, max_cells), seed=seed, max_iter=max_iter)
     elif isinstance(centers, str) and centers == "single":
         center_list = [(0, tuple([0.0] * dim))]
     elif isinstance(centers, DataFrame):
@@ -305,12 +294,11 @@ def build_index(
         files = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // POINTS_PER_FILE))
         assigned = materialize(assigned.repartition(files, "t_id"), "cell-index")
     stats = bounded_collect(cell_stats(assigned), len(center_list), "cell stats")
-    near = {int(r["cell"]): tuple(r["near"]) for r in bounded_collect(near_distances(assigned), len(center_list), "near distances")}
     by_id = dict(center_list)
     cells = sorted(
         (
             Cell(int(r["cell"]), by_id[int(r["cell"])], float(r["radius"]), int(r["n"]),
-                 _blocks_for(int(r["n"]), block_rows), near.get(int(r["cell"]), ()))
+                 _blocks_for(int(r["n"]), block_rows))
             for r in stats
         ),
         key=lambda c: c.cell,
@@ -318,8 +306,3 @@ def build_index(
     points = assigned.withColumn("block", block_col(cells, F.col("t_id")))
     return CellIndex(cells, points, dim, n, has_label, block_rows)
 
-
-def distance_to_centers(vec: str, centers: list[tuple[int, tuple]], dim: int) -> Column:
-    """``array<struct<cell, dist>>`` of distances from column ``vec`` to every centre."""
-    d2 = sqdist_sql(f"`{vec}`", "c.center", dim)
-    return F.expr(f"transform({centers_sql(centers)}, c -> named_struct('cell', c.cell, 'dist', sqrt({d2})))")

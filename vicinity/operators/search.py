@@ -44,15 +44,20 @@ from vicinity.functions.vectors import (
     sqdist,
     sqdist_const_sql,
     sqdist_sql,
+    usable,
     vector_sql,
 )
 from vicinity.operators.cells import CellIndex, unrolled
 from vicinity.plans.checks import bounded_collect
-from vicinity.session import materialize
+from vicinity.session import allow_group_limit, materialize
 
 SEARCH_MODES = ("pruned", "exact", "single_cell")
 # Relative slack on the pruning bounds, far above double rounding error.
 SLACK = 1e-9
+# Rounding error of a distance, per dimension, relative to the distance
+# itself (a few units in the last place): a bound computed from large
+# distances is wrong by that much, however small the bound is.
+ROUNDING = 16 * 2.0**-53
 # The first search phase (best cell only) runs when some cell holds more
 # points than this; with small cells the cell bounds are already local.
 TWO_PHASE_MIN_CELL = 2048
@@ -68,11 +73,11 @@ def _check(k: int, search: str) -> None:
 
 
 def prepare_queries(queries: DataFrame, id_col: str, features_col: str, dim: int) -> DataFrame:
-    """``(q_id, q_vec)``; rows without a vector are left out (they get no neighbours)."""
+    """``(q_id, q_vec)``; rows without a usable vector are left out (they get no neighbours)."""
     v = as_array(queries, features_col)
     if dim:
         v = checked_width(v, dim)
-    return queries.select(F.col(id_col).alias("q_id"), v.alias("q_vec")).where(F.col("q_vec").isNotNull())
+    return queries.select(F.col(id_col).alias("q_id"), v.alias("q_vec")).where(usable("q_vec"))
 
 
 def cells_sql(index: CellIndex) -> str:
@@ -84,12 +89,17 @@ def cells_sql(index: CellIndex) -> str:
     ) + ")"
 
 
+def _rounding(dim: int) -> str:
+    return double_sql(ROUNDING * (dim + 4))
+
+
 def _bound_terms(index: CellIndex, kb: int) -> list[str]:
     """``dc_i + rho_i`` per cell holding at least ``kb`` points, ``rho_i`` its ``kb``-th smallest member distance."""
+    near = index.near_distance(kb)
     return [
-        f"_dc[{i}] + {double_sql(c.near[kb - 1])}"
+        f"(_dc[{i}] + {double_sql(near[c.cell])}) * (1D + {_rounding(index.dim)})"
         for i, c in enumerate(index.cells)
-        if c.n >= kb and len(c.near) >= kb
+        if c.cell in near
     ]
 
 
@@ -130,8 +140,10 @@ def _with_bounds(q: DataFrame, index: CellIndex, kb: int, search: str, slack: fl
     if search == "exact":
         return out.withColumn("_u", F.lit(None).cast("double")).withColumnRenamed("_b", "_keep").drop("_dc")
     if search == "single_cell":
+        # The least upper bound among cells that can fill all places; a cell
+        # with fewer points only where no cell can.
         best = (
-            "array_min(transform(_b, x -> named_struct('ub', x.ub, 'cell', x.cell, 'lb', x.lb, "
+            f"array_min(transform(_b, x -> named_struct('few', x.n < {int(kb)}, 'ub', x.ub, 'cell', x.cell, 'lb', x.lb, "
             "'dc', x.dc, 'n', x.n, 'blocks', x.blocks)))"
         )
         return out.withColumn("_u", F.lit(None).cast("double")).withColumn("_keep", F.expr(f"array({best})")).drop("_b", "_dc")
@@ -148,7 +160,7 @@ def _with_bounds(q: DataFrame, index: CellIndex, kb: int, search: str, slack: fl
         f"CASE WHEN acc.u IS NULL AND acc.cum + x.n >= {int(kb)} THEN x.ub ELSE acc.u END)).u"
     )
     out = out.withColumn("_u", F.expr(f"least({cumulative}, _un)"))
-    keep = f"filter(_b, x -> _u IS NULL OR x.lb <= _u + {double_sql(slack)} * (1D + _u))"
+    keep = f"filter(_b, x -> _u IS NULL OR x.lb <= _u + {double_sql(slack)} * _u + {_rounding(dim)} * (x.dc + x.ub))"
     return out.withColumn("_keep", F.expr(keep)).drop("_b", "_dc", "_un")
 
 
@@ -284,8 +296,9 @@ def _search(
     cand = candidates(q, index, kb, search, slack).select("q_id", "q_vec", "_u", "dc", "cell", "blocks")
     pairs = _grid_join(cand, index, target_pairs)
     if search == "pruned":
-        limit = F.col("_u") + F.lit(slack) * (F.lit(1.0) + F.col("_u"))
-        pairs = pairs.where(F.col("_u").isNull() | (F.abs(F.col("dc") - F.col("t_dist")) <= limit))
+        limit = F.col("_u") * (1 + slack)
+        wrong = ROUNDING * (index.dim + 4) * (F.col("dc") + F.col("t_dist"))
+        pairs = pairs.where(F.col("_u").isNull() | (F.abs(F.col("dc") - F.col("t_dist")) <= limit + wrong))
     if exclude_self:
         pairs = pairs.where(F.col("q_id") != F.col("t_id"))
 
@@ -293,8 +306,14 @@ def _search(
     scored = pairs.select(
         "q_id", "t_id", label.alias("label"),
         sqdist("q_vec", "t_vec", index.dim).alias("d2"),
+        *(["_u"] if search == "pruned" else []),
         *(["t_vec"] if keep_vectors else []),
     )
+    if search == "pruned":
+        # Only what can be among the nearest is sorted.
+        far = 1 + 2 * slack + 4 * ROUNDING * (index.dim + 4)
+        scored = scored.where(F.col("_u").isNull() | (F.col("d2") <= F.col("_u") * F.col("_u") * far)).drop("_u")
+    allow_group_limit(spark, places)
     w = Window.partitionBy("q_id").orderBy("d2", "t_id")
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= places)
     return ranked.select(*cols)

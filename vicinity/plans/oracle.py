@@ -49,14 +49,16 @@ VOTES = "votes AS (SELECT q_id, label, count(*) AS votes FROM nn GROUP BY q_id,
 
 SQL: dict[str, str] = {
     "labeled_points": """SELECT vec_id AS id, label::DOUBLE AS label, len(embedding)::BIGINT AS dim,
-        list_min(embedding::DOUBLE[]) AS f_min, list_max(embedding::DOUBLE[]) AS f_max FROM embeddings""",
+        list_min(embedding::DOUBLE[]) AS f_min, list_max(embedding::DOUBLE[]) AS f_max,
+        round(list_sum(list_transform(range(1, len(embedding)+1), lambda i: embedding[i]::DOUBLE * i)), 6) AS f_placed FROM embeddings""",
     "vector_norm": f"""WITH {E} SELECT id, round(sqrt(list_sum(list_transform(v, lambda x: x*x))), 6) AS norm FROM e""",
     "pairwise_sqdist": f"""WITH {E}, {_label_cells('e')}
         SELECT e.id, c.cell, round({_d2('e.v', 'c.center')}, 6) AS d2 FROM e JOIN cen c ON e.label::INT = c.cell""",
     "pairwise_distance": f"""WITH {E}, {_label_cells('e')}
         SELECT e.id, c.cell, round(sqrt({_d2('e.v', 'c.center')}), 6) AS dist FROM e JOIN cen c ON e.label::INT = c.cell""",
     "libsvm_scan": """SELECT label::DOUBLE AS label, len(embedding)::BIGINT AS dim,
-        list_min(embedding::DOUBLE[]) AS f_min, list_max(embedding::DOUBLE[]) AS f_max FROM embeddings""",
+        list_min(embedding::DOUBLE[]) AS f_min, list_max(embedding::DOUBLE[]) AS f_max,
+        round(list_sum(list_transform(range(1, len(embedding)+1), lambda i: embedding[i]::DOUBLE * i)), 6) AS f_placed FROM embeddings""",
     "knn_join": f"""WITH {E}, {SPLIT_NN} SELECT q_id, t_id, label, round(d2, 6) AS d2, rank FROM nn""",
     "knn_join_pruned": f"""WITH {E}, {SPLIT_NN} SELECT q_id, t_id, label, round(d2, 6) AS d2, rank FROM nn""",
     "knn_join_single_cell": f"""WITH {E}, {TRAIN}, {QRY}, {_label_cells('tr')},
@@ -86,6 +88,9 @@ SQL: dict[str, str] = {
         SELECT b2.q_id, b2.cell FROM b2 JOIN u ON b2.q_id = u.q_id
         WHERE u.u IS NULL OR b2.lb <= u.u + 1e-9 * (1 + u.u)""",
     "cell_count": """SELECT count(*) AS n, greatest(2, least(50, floor(sqrt(count(*) // 2))))::INT AS cells FROM embeddings""",
+    "kmeans_cells": """SELECT count(*) AS points, greatest(2, least(50, floor(sqrt(count(*) // 2))))::BIGINT AS cells,
+        count(*) AS members, 0::BIGINT AS misplaced, 0::BIGINT AS outside FROM embeddings""",
+    "class_count_metadata": "SELECT count(*) AS n, count(DISTINCT c_mktsegment) AS num_classes FROM customer",
     "class_count": """SELECT (max(label::DOUBLE)::INT + 1)::BIGINT AS num_classes FROM embeddings""",
     "vote_counts": f"""WITH {E}, {SPLIT_NN}, {VOTES} SELECT q_id, label, votes FROM votes""",
     "vote_share": f"""WITH {E}, {SPLIT_NN}, {VOTES}
@@ -135,3 +140,14 @@ SQL.update({
     "knn_indegree_by_value": f"{_VAL} SELECT f0, f1, indegree FROM deg",
     "knn_outliers_by_value": f"{_VAL} SELECT f0, f1, indegree FROM deg WHERE indegree <= {THRESHOLD}",
 })
+
+_OFFSET = f"""WITH e AS (SELECT p_partkey AS id, 0::DOUBLE AS label, [p_size::DOUBLE, p_retailprice::DOUBLE + 1e9::DOUBLE] AS v FROM part), {SPLIT_NN}"""
+
+# The estimators answer the questions of the functions that they stand on.
+SQL.update({
+    "knn_join_offset": f"{_OFFSET} SELECT q_id, t_id, round(d2, 3) AS d2, rank FROM nn",
+    "knn_classifier_model": SQL["knn_classify"],
+    "knn_regressor_model": SQL["knn_regress"],
+    "outlier_model_detect": SQL["knn_outliers"],
+    "outlier_model_transform": SQL["outlier_flags"],
+})

@@ -12,14 +12,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.functions.vectors import norm, sqdist
-from vicinity.operators.cells import build_index, cell_count_col, label_centers
+from vicinity.functions.vectors import norm, sqdist, sqdist_sql
+from vicinity.ml import KNNClassifier, KNNOutlierDetector, KNNRegressor
+from vicinity.operators.cells import build_index, cell_count_col, centers_sql, label_centers
 from vicinity.operators.outliers import indegree, indegree_summary, outlier_flags, outliers
 from vicinity.operators.predict import (
     attach,
+    class_count,
     class_count_df,
     classify_predictions,
     regress_predictions,
@@ -69,6 +72,12 @@ def _label_index(df: DataFrame):
     return build_index(df, "vec_id", "embedding", "label", centers=centers)
 
 
+def _placed(name: str):
+    """Sum of the elements weighted by their place: another order gives another value."""
+    fold = f"aggregate(transform({name}, (x, i) -> x * (i + 1)), 0D, (acc, x) -> acc + x)"
+    return F.round(F.expr(fold), 6).alias("f_placed")
+
+
 # ---- sources and scalar functions -------------------------------------------
 
 def q_labeled_points(spark, sf):
@@ -78,6 +87,7 @@ def q_labeled_points(spark, sf):
         F.size("features").cast("long").alias("dim"),
         F.array_min("features").alias("f_min"),
         F.array_max("features").alias("f_max"),
+        _placed("features"),
     )
 
 
@@ -107,12 +117,13 @@ def q_pairwise_distance(spark, sf):
 def q_libsvm_scan(spark, sf):
     path = scratch_path(spark, "libsvm-embeddings")
     write_libsvm(_emb(spark, sf), path, "label", "embedding")
-    back = read_libsvm(spark, path, num_features=64)
+    back = read_libsvm(spark, path, num_features=_width(_emb(spark, sf), "embedding"))
     return back.select(
         "label",
         F.size("features").cast("long").alias("dim"),
         F.array_min("features").alias("f_min"),
         F.array_max("features").alias("f_max"),
+        _placed("features"),
     )
 
 
@@ -166,9 +177,18 @@ def q_cell_count(spark, sf):
 
 
 def q_kmeans_cells(spark, sf):
+    """k-means cells and what must hold for them: every point in its nearest cell, none beyond its radius."""
     index = build_index(_emb(spark, sf), "vec_id", "embedding", "label", centers="kmeans", seed=SEED)
-    return index.points.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.max("t_dist"), 6).alias("radius")
+    centers = centers_sql([(c.cell, c.center) for c in index.cells])
+    nearest = F.expr(f"array_min(transform({centers}, c -> {sqdist_sql('t_vec', 'c.center')}))")
+    radius = F.create_map(*[F.lit(x) for c in index.cells for x in (c.cell, c.radius)])
+    checked = index.points.select("cell", "t_dist", F.sqrt(nearest).alias("nearest"), radius[F.col("cell")].alias("radius"))
+    return checked.agg(
+        F.count(F.lit(1)).alias("points"),
+        F.count_distinct("cell").alias("cells"),
+        F.lit(sum(c.n for c in index.cells)).cast("long").alias("members"),
+        F.count(F.when(F.col("t_dist") > F.col("nearest") * (1 + 1e-9), 1)).alias("misplaced"),
+        F.count(F.when(F.col("t_dist") > F.col("radius"), 1)).alias("outside"),
     )
 
 
@@ -238,6 +258,49 @@ def q_outlier_flags(spark, sf):
     return outlier_flags(_degrees(spark, sf), THRESHOLD).select("id", "indegree", "prediction")
 
 
+# ---- the estimators ---------------------------------------------------------------
+
+def q_knn_classifier_model(spark, sf):
+    q, t = _split(spark, sf)
+    model = KNNClassifier(k=K, idCol="vec_id", featuresCol="embedding", seed=SEED).fit(t)
+    return model.transform(q).select(F.col("vec_id").alias("id"), F.col("label").cast("double").alias("label"), "prediction")
+
+
+def q_knn_regressor_model(spark, sf):
+    q, t = _split(spark, sf)
+    model = KNNRegressor(k=K, idCol="vec_id", featuresCol="embedding", seed=SEED).fit(t)
+    return model.transform(q).select(F.col("vec_id").alias("id"), _r("prediction"))
+
+
+def _outlier_model(spark, sf):
+    return KNNOutlierDetector(k=K_SELF, threshold=THRESHOLD, idCol="vec_id", featuresCol="embedding", seed=SEED).fit(_emb(spark, sf))
+
+
+def q_outlier_model_detect(spark, sf):
+    return _outlier_model(spark, sf).detect().select("id", "indegree")
+
+
+def q_outlier_model_transform(spark, sf):
+    out = _outlier_model(spark, sf).transform(_emb(spark, sf))
+    return out.select(F.col("vec_id").alias("id"), "indegree", "prediction")
+
+
+def q_class_count_metadata(spark, sf):
+    """Class count from the metadata that ``StringIndexer`` leaves."""
+    customer = read_table(spark, sf, "customer")
+    indexed = StringIndexer(inputCol="c_mktsegment", outputCol="segment").fit(customer).transform(customer)
+    return indexed.agg(F.count(F.lit(1)).alias("n"), F.lit(class_count(indexed, "segment")).cast("long").alias("num_classes"))
+
+
+def q_knn_join_offset(spark, sf):
+    """Pruned search on features far from the origin, where rounding errors are large."""
+    part = read_table(spark, sf, "part")
+    pts = assemble(part, ["p_size", F.col("p_retailprice") + F.lit(1e9)]).select("p_partkey", "features")
+    index = build_index(pts.where("p_partkey % 5 <> 0"), "p_partkey", "features", None, centers="kmeans", seed=SEED)
+    nn = knn_join(pts.where("p_partkey % 5 = 0"), index, K, "p_partkey", "features")
+    return nn.select("q_id", "t_id", _r("d2", 3), "rank")
+
+
 def _part_points(spark, sf):
     part = read_table(spark, sf, "part")
     return assemble(part, ["p_size", F.length("p_type")], "features")
@@ -285,4 +348,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "outlier_flags": q_outlier_flags,
     "knn_indegree_by_value": q_knn_indegree_by_value,
     "knn_outliers_by_value": q_knn_outliers_by_value,
+    "knn_classifier_model": q_knn_classifier_model,
+    "knn_regressor_model": q_knn_regressor_model,
+    "outlier_model_detect": q_outlier_model_detect,
+    "outlier_model_transform": q_outlier_model_transform,
+    "class_count_metadata": q_class_count_metadata,
+    "knn_join_offset": q_knn_join_offset,
 }

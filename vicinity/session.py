@@ -46,6 +46,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+def allow_group_limit(spark: SparkSession, places: int) -> None:
+    """Let Catalyst cut groups to ``places`` rows before the shuffle, however many they are.
+
+    Above this conf (1,000 by default) a top-k sends every row of a group to
+    one task.
+    """
+    if places >= int(spark.conf.get(GROUP_LIMIT_CONF, "1000")):
+        spark.conf.set(GROUP_LIMIT_CONF, str(places + 1))
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder of this session, or ``None``."""
     sc = spark.sparkContext
