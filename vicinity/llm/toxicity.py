@@ -51,7 +51,7 @@ from vicinity.llm.words import mix, stream
 from vicinity.session import materialize
 from vicinity.sources.points import read_table
 
-ORDER, DISCOUNT, STRENGTH, HIGH = 5, 0.75, 20.0, 3.0
+ORDER, DISCOUNT, STRENGTH, HIGH = 5, 0.75, 20.0, 1.5
 #: Rows that the logistic curve is fitted on at most.
 FIT_ROWS = 20_000
 #: Scores (12 bytes each) that are broadcast at most; more are joined.
