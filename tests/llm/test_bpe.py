@@ -58,6 +58,18 @@ def test_leaves_of_long_documents(spark):
             assert got[i] == (want, LIBRARY.decode(want, skip_special_tokens=False)), (split, t[:60])
 
 
+def test_runs_over_many_leaves():
+    """Words of letters that span leaves, with letters, marks, digits and contractions at their ends."""
+    bpe, rng = B.load(B.default_path()), random.Random(6)
+    for k in range(600):
+        run = "".join(rng.choice("etaoinshrÉß") for _ in range(rng.randrange(40, 200)))
+        text = rng.choice(["", "a ", "ab", "it'", "don't", "x1", "é", "日", "'s ", "<|endoftext|>", "<|"]) + run + rng.choice(["", "abc", "'s", "1", " z", "é!", "日", "ing'll go", "<|endoftext|>"])
+        split = rng.choice([16, 17, 31])
+        leaves = [B._leaf(bpe, text[i : i + split]) for i in range(0, len(text), split)]
+        assert np.frombuffer(B._join_leaves(bpe, leaves), np.int32).tolist() == ids(text), (k, split, text)
+    assert sum(leaf[3] is not None for leaf in leaves) > 0
+
+
 @pytest.mark.parametrize("split", [100, B.SPLIT_CHARS])
 def test_hostile(spark, split):
     df = hostile.clashing(spark, "ids", "_key", "_text", "key")

@@ -8,7 +8,8 @@ go:
   parallel tasks. Around each join, the text between the last white space of
   the left leaf and the first of the right one is encoded again; the two sides
   agree from there on, because no rule of the tokenizer looks across white
-  space.
+  space. A leaf inside one very long word of letters is encoded as a part of
+  it, and joined by growing windows as below.
 * A run of symbols without a split (one very long word) is a tree as well:
   halves are encoded, then growing windows around the join, until the window
   starts and ends with the tokens that the two sides had there. A sequence
@@ -111,10 +112,12 @@ class Bpe:
         white = r"\t-\r \x85\xa0"
         self.word = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{white}{letter}{number}]+")
         self.odd = re.compile(f"[^\\x00-{chr(PLAIN - 1)}]|\u0130")
-        table = {b: x for b, x in enumerate(self.symbol)}
-        self.words = Words(lambda w: self.ids(w.encode().decode("latin-1").translate(table)))
+        self.all_letters = re.compile(f"[{letter}]+")
+        self.table = {b: x for b, x in enumerate(self.symbol)}
+        self.words = Words(lambda w: self.ids(w.encode().decode("latin-1").translate(self.table)))
         self.mapped = Words(self.ids)
         names = {**{i: t for t, i in self.vocab.items()}, **{i: t for t, i in self.special.items()}}
+        self.token = names
         self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
 
     @property
@@ -197,6 +200,27 @@ class Bpe:
         tokens = self.tree(symbols) if len(symbols) > LEAF_SYMBOLS else self.merge(symbols)
         return array("i", [self.vocab[t] for t in tokens if t in self.vocab]).tobytes()
 
+    def token_ids(self, tokens: list[str]) -> bytes:
+        return array("i", [self.vocab[t] for t in tokens]).tobytes()
+
+    def tokens_of(self, ids: bytes) -> list[str]:
+        return [self.token[i] for i in np.frombuffer(ids, np.int32).tolist()]
+
+    def letters(self, text: str) -> str | None:
+        """A text of plain letters in lower case; None for any other."""
+        if self.odd.search(text) or not self.all_letters.fullmatch(low := text.lower()) or len(low) != len(text):
+            return None
+        return low
+
+    def letters_at_end(self, text: str) -> str:
+        return next((text[i + 1 :] for i in range(len(text) - 1, -1, -1) if not self.all_letters.fullmatch(text[i].lower())), text)
+
+    def letters_at_start(self, text: str) -> str:
+        return next((text[:i] for i, c in enumerate(text) if not self.all_letters.fullmatch(c.lower())), text)
+
+    def letter_symbols(self, text: str) -> list[str]:
+        return list(text.encode().decode("latin-1").translate(self.table))
+
     def _look_up(self, cache: Words, words: list[str]) -> bytes:
         cache.turn()
         if words and max(map(len, words)) > CACHE_CHARS:
@@ -263,24 +287,59 @@ def _decoded(bpe: Bpe, lists: pa.ListArray) -> pa.Array:
 WHITE = " \t\n\v\f\r"
 
 
-def _leaf(bpe: Bpe, text: str) -> tuple[str, bytes | None, str]:
-    """``(head, ids, tail)``: ids of what lies between the first and last white space; no ids if there is none."""
+def _leaf(bpe: Bpe, text: str) -> tuple[str, bytes | None, str, bytes | None]:
+    """``(head, ids, tail, run)`` of a leaf.
+
+    ``ids`` are those of what lies between the first and last white space. A
+    leaf without white space has none; if it is letters only, a part of one
+    long word, ``run`` has the ids of all but its last letter.
+    """
     last = max(text.rfind(c) for c in WHITE)
     if last < 0:
-        return text, None, ""
+        letters = bpe.letters(text)
+        return text, None, "", bpe.token_ids(bpe.tree(bpe.letter_symbols(letters[:-1]))) if letters and len(letters) > 1 else None
     first = min(i for c in WHITE if (i := text.find(c)) >= 0)
-    return text[:first], bpe.encode(text[first:last]), text[last + 1 :]
-
-
-def _join_leaves(bpe: Bpe, leaves: Sequence[tuple[str, bytes | None, str]]) -> bytes:
+    return text[:first], bpe.encode(text[first:last]), text[last + 1 :], None
+
+
+def _close(bpe: Bpe, parts: Sequence[tuple[str, bytes | None]]) -> bytes:
+    """Ids of text between two white spaces that leaves share; a run's tokens are joined, not made again."""
+    runs = [k for k, (_, run) in enumerate(parts) if run is not None]
+    whole = "".join([t for t, _ in parts])
+    if not runs or any(run is None for _, run in parts[runs[0] : runs[-1] + 1]):
+        return bpe.encode(whole)
+    before, after = "".join([t for t, _ in parts[: runs[0]]]), "".join([t for t, _ in parts[runs[-1] + 1 :]])
+    if bpe.odd.search(before) or bpe.odd.search(after) or any(t in whole for t in bpe.special):
+        return bpe.encode(whole)
+    # The word goes on to the left and right for as long as there are letters.
+    cut = len(before) - len(bpe.letters_at_end(before))
+    if before[:cut].endswith("'"):
+        return bpe.encode(whole)  # perhaps a contraction: it takes letters of its own
+    head, rest = before[cut:].lower(), bpe.letters_at_start(after)
+    tokens = bpe.tree(bpe.letter_symbols(head))
+    for text, run in parts[runs[0] : runs[-1] + 1]:
+        tokens = bpe.join(tokens, bpe.tokens_of(run)) if tokens else bpe.tokens_of(run)
+        tokens = bpe.join(tokens, bpe.merge(bpe.letter_symbols(text[-1:].lower())))
+    # Its end has a symbol of its own: the last letter is joined anew.
+    if rest:
+        end = bpe.letter_symbols(rest.lower())
+        tokens = bpe.join(tokens, bpe.tree([*end[:-1], end[-1] + bpe.end]))
+    else:
+        symbols = bpe.symbols_of(tokens[-1])
+        last = bpe.merge([*symbols[:-1], symbols[-1] + bpe.end])
+        tokens = bpe.join(tokens[:-1], last) if len(tokens) > 1 else last
+    return b"".join([bpe.encode(before[:cut]), bpe.token_ids(tokens), bpe.encode(after[len(rest) :])])
+
+
+def _join_leaves(bpe: Bpe, leaves: Sequence[tuple[str, bytes | None, str, bytes | None]]) -> bytes:
     """Ids of a document from its leaves in order: the text open at each join is encoded again."""
-    out, open_text = [], []
-    for head, ids, tail in leaves:
-        open_text.append(head)
+    out, parts = [], []
+    for head, ids, tail, run in leaves:
+        parts.append((head, run))
         if ids is not None:
-            out += [bpe.encode("".join(open_text)), ids]
-            open_text = [tail]
-    return b"".join([*out, bpe.encode("".join(open_text))])
+            out += [_close(bpe, parts), ids]
+            parts = [(tail, None)]
+    return b"".join([*out, _close(bpe, parts)])
 
 
 def encode(
@@ -318,16 +377,15 @@ def encode(
         bpe = load(path)
         for lo in range(0, len(pieces), 64):
             part = [_leaf(bpe, t) for t in pieces.slice(lo, 64).to_pylist()]
-            heads, ids, tails = zip(*part, strict=True)
-            yield lo, lo + len(part), [pa.array(heads, pa.string()), pa.array(ids, pa.binary()), pa.array(tails, pa.string())]
+            yield lo, lo + len(part), [pa.array(c, k) for c, k in zip(zip(*part, strict=True), (pa.string(), pa.binary(), pa.string(), pa.binary()), strict=True)]
 
     spread = leaves.repartition("key", "leaf")
-    encoded = map_texts(spread, "piece", "head string, part binary, tail string", leaf, ["key", "leaf"])
+    encoded = map_texts(spread, "piece", "head string, part binary, tail string, run binary", leaf, ["key", "leaf"])
 
     def tree(table: pa.Table) -> pa.Table:
         bpe = load(path)
         rows = sorted(table.to_pylist(), key=lambda r: r["leaf"])
-        ids = _join_leaves(bpe, [(r["head"], r["part"], r["tail"]) for r in rows])
+        ids = _join_leaves(bpe, [(r["head"], r["part"], r["tail"], r["run"]) for r in rows])
         return pa.Table.from_arrays([pa.array([rows[0]["key"]]), *results(bpe, [ids])], ["key", *made])
 
     joined = encoded.groupBy("key").applyInArrow(tree, f"key string, {out}").withColumnRenamed("key", key)
