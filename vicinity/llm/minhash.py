@@ -20,9 +20,11 @@ more are linked, and a class is what links connect.
    whose registers agree on less than ``ESTIMATE`` are far below 0.8 (five
    standard deviations); the rest are verified exactly.
 5. Rest round: only buckets whose members are still in different components
-   are looked at again, pairs across components only, in blocks of bounded
-   size, each pair once. So no group of copies is expanded into all its
-   pairs, and no link between different components is given up.
+   are looked at again, in blocks of bounded size, each pair across components
+   once. A block compares the shingles of such pairs itself, the likeliest
+   first, skips those whose components have met, and returns links only. So no
+   group of copies is expanded into all its pairs, and no link between
+   different components is given up.
 
 Nothing is collected but counts. Hot keys are met by partial aggregation and
 by joins that Spark can split; rows are numbered once in a written table.
@@ -187,30 +189,77 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(share >= ESTIMATE))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs across components within one block of a bucket, each in the first band that it shares only."""
-    for run in sorted_runs(batches, ["bucket", "i", "j"]):
-        sig, ids, comp = _sigs(run["sig"]), run["id"].to_numpy(), run["component"].to_numpy()
-        own, band, i, j = run["block"].to_numpy(), run["band"][0].as_py(), run["i"][0].as_py(), run["j"][0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        for lo in range(0, len(left), 32):
-            part = left[lo : lo + 32]
-            same = sig[part][:, None, :] == sig[right][None, :, :]
-            agree = same.reshape(len(part), len(right), BANDS, ROWS).all(axis=3)
-            ok = (agree.argmax(axis=2) == band) & (same.mean(axis=2) >= ESTIMATE) & (comp[part][:, None] != comp[right][None, :])
-            if i == j:
-                ok &= ids[part][:, None] < ids[right][None, :]
-            p, q = np.nonzero(ok)
-            if len(p):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[part[p]]), pa.array(ids[right[q]])], ["a", "b"])
+def _pairs_across(run: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(row, row, agreement)`` of near pairs across components in one block of a bucket, each in the first band that it shares only."""
+    sig, ids, comp = _sigs(run["sig"]), run["id"].to_numpy(), run["component"].to_numpy()
+    own, band, i, j = run["block"].to_numpy(), run["band"][0].as_py(), run["i"][0].as_py(), run["j"][0].as_py()
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    for lo in range(0, len(left), 32):
+        part = left[lo : lo + 32]
+        same = sig[part][:, None, :] == sig[right][None, :, :]
+        agree = same.reshape(len(part), len(right), BANDS, ROWS).all(axis=3)
+        share = same.mean(axis=2)
+        ok = (agree.argmax(axis=2) == band) & (share >= ESTIMATE) & (comp[part][:, None] != comp[right][None, :])
+        if i == j:
+            ok &= ids[part][:, None] < ids[right][None, :]
+        p, q = np.nonzero(ok)
+        yield part[p], right[q], share[p, q]
+
+
+KEYS = ["bucket", "i", "j"]
+
+
+def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each block that have a near partner in another component."""
+    for run in sorted_runs(batches, KEYS):
+        rows = np.unique(np.concatenate([np.concatenate(x[:2]) for x in _pairs_across(run)] or [np.empty(0, np.int64)]))
+        if len(rows):
+            yield from run.select([*KEYS, "id", "band", "block", "component", "sig"]).take(pa.array(rows)).combine_chunks().to_batches()
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join components, among the near pairs of each block, the likeliest first.
+
+    A pair whose components have met already is not compared: it cannot change
+    a class. So a block gives fewer links than it has components.
+    """
+    for run in sorted_runs(batches, KEYS):
+        found = [np.concatenate(x) for x in zip(*_pairs_across(run), strict=True)]
+        if not found or not len(found[0]):
+            continue
+        h = [np.frombuffer(x, _U) for x in run["h"].to_pylist()]
+        w = [np.frombuffer(x, np.uint32) if x else None for x in run["w"].to_pylist()]
+        ids, root = run["id"].to_pylist(), {}
+        comp = run["component"].to_pylist()
+
+        def top(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        out = []
+        for k in np.lexsort((found[1], found[0], -found[2])).tolist():
+            a, b = int(found[0][k]), int(found[1][k])
+            x, y = top(comp[a]), top(comp[b])
+            if x != y and similarity(h[a], w[a], h[b], w[b]) >= THRESHOLD - 1e-12:
+                root[max(x, y)] = min(x, y)
+                out.append((ids[a], ids[b]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+
+def _sets(ids: DataFrame, texts: DataFrame, row: str, text_col: str) -> DataFrame:
+    """Weighted shingles (``h``, ``w``) of the texts whose row is among ``ids``, written."""
+    ids = materialize(ids.distinct(), "minhash-ids")
+    wanted = texts.join(small_or_shuffled(ids, 16), row, "left_semi")
+    return materialize(map_texts(wanted, text_col, "h binary, w binary", _weighted, [row]), "minhash-sets")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, row: str, text_col: str) -> DataFrame:
     """The pairs (``a``, ``b`` are row numbers) of similarity 0.8 or more, written."""
     pairs = materialize(pairs, "minhash-pairs")
-    ids = materialize(pairs.select(F.col("a").alias(row)).unionAll(pairs.select("b")).distinct(), "minhash-ids")
-    wanted = texts.join(small_or_shuffled(ids, 16), row, "left_semi")
-    sets = materialize(map_texts(wanted, text_col, "h binary, w binary", _weighted, [row]), "minhash-sets")
+    sets = _sets(pairs.select(F.col("a").alias(row)).unionAll(pairs.select("b")), texts, row, text_col)
     one = sets.select(F.col(row).alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa"))
     two = sets.select(F.col(row).alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "wa", "hb", "wb")
@@ -252,9 +301,12 @@ def classes(docs: DataFrame, text_col: str = "text", row: str = "_row") -> DataF
     left = placed.join(mixed, "bucket").join(sigs, "id").withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)"))
     left = left.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     left = left.select("bucket", "band", "id", "component", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    spread = left.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    rest = spread.mapInArrow(_across, "a long, b long").join(star, ["a", "b"], "left_anti")
-    more = _verified(rest, texts, row, "text")
+    spread = left.repartition(*KEYS).sortWithinPartitions(*KEYS)
+    need = "bucket long, i int, j int, id long, band int, block int, component long, sig binary"
+    open_rows = materialize(spread.mapInArrow(_needed, need), "minhash-open")
+    sets = _sets(open_rows.select(F.col("id").alias(row)), texts, row, "text").withColumnRenamed(row, "id")
+    blocks = open_rows.join(sets, "id").repartition(*KEYS).sortWithinPartitions(*KEYS)
+    more = materialize(blocks.mapInArrow(_link, "a long, b long"), "minhash-links")
     comp = components(links.unionAll(more))
     placed = member.join(comp.withColumnRenamed("component", "class"), "id", "left").select("row", F.coalesce("class", "id").alias("class"))
     return placed.unionAll(sk.where("key is null").select(F.col(row), F.col(row))).toDF("row", "class")

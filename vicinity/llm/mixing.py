@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vicinity.llm.common import free_name, quoted, running_total
+from vicinity.llm.common import free_name, quoted, running_total, small_or_shuffled
 from vicinity.session import materialize
 from vicinity.sources.points import number_rows, read_table
 
@@ -115,12 +115,14 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
     return ranked.select("no_source", "name", "slot", "rank").unionByName(extra)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """``(id, source, size, source_size, target, taken)``, a row per row of ``docs``."""
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, text_col: str = "text", slots: int = SLOTS, row_col: str | None = None) -> DataFrame:
+    """``(id, source, size, source_size, target, taken)``, and ``row`` if ``row_col`` is given, a row per row of ``docs``."""
+    row = ["row"] if row_col else []
     d = docs.select(
         F.col(quoted([id_col])[0]).alias("id"),
         F.col(quoted([source_col])[0]).cast("string").alias("source"),
         (word_count(F.col(quoted([text_col])[0])) if size is None else F.coalesce(size.cast("long"), F.lit(0).cast("long"))).alias("size"),
+        *([F.col(quoted([row_col])[0]).alias("row")] if row_col else []),
     )
     d = d.withColumn("no_source", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit("")))
     d = materialize(d.withColumn("key", F.md5(F.concat_ws("|", F.lit("mix"), F.col("id").cast("string")))).drop("source"), "mix-sizes")
@@ -148,10 +150,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     pieces = pieces.withColumn("lo", lo - F.col("block") * block).withColumn("hi", hi - F.col("block") * block)
     taken = F.col("uses") * (F.col("hi") - F.col("lo")) + F.greatest(F.lit(0), F.least(F.col("hi"), F.col("part")) - F.col("lo"))
     joined = pieces.join(uses, ["no_source", "name", "block"], "left")
-    per_doc = joined.groupBy("no_source", "name", "begin", "size", "id").agg(F.coalesce(F.sum(taken), F.lit(0)).cast("long").alias("taken"))
-    empty = d.where("size = 0").select("no_source", "name", F.lit(0).cast("long").alias("begin"), "size", "id", F.lit(0).cast("long").alias("taken"))
+    per_doc = joined.groupBy("no_source", "name", "begin", "size", "id", *row).agg(F.coalesce(F.sum(taken), F.lit(0)).cast("long").alias("taken"))
+    empty = d.where("size = 0").select("no_source", "name", F.lit(0).cast("long").alias("begin"), "size", "id", *row, F.lit(0).cast("long").alias("taken"))
     result = per_doc.unionByName(empty).join(src.select("no_source", "name", "source_size", "target"), ["no_source", "name"])
-    return result.select("id", F.when(~F.col("no_source"), F.col("name")).alias("source"), "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return result.select("id", F.when(~F.col("no_source"), F.col("name")).alias("source"), "size", "source_size", F.round("target", 6).alias("target"), "taken", *row)
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
@@ -159,24 +161,20 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
 
     The columns of ``docs`` stay; ``chars_col`` is recounted for a cut copy.
     """
-    row, size = free_name(docs, "_row"), free_name(docs, "_size")
+    row, size, taken, copy = (free_name(docs, n) for n in ("_row", "_size", "_taken", "_copy"))
     text = F.col(quoted([text_col])[0])
-    sized = materialize(docs.withColumn(size, word_count(text)), "mix-input")
-    plan = mix(sized, id_col, source_col, size=F.col(quoted([size])[0]))
-    # Rows alike in id, source and size are interchangeable: number them on both sides.
-    alike = ["id", "source", "size"]
-    plan = plan.where("taken > 0").withColumn("row", F.row_number().over(Window.partitionBy(*alike).orderBy(F.desc("taken"))))
-    p = plan.select(*[F.col(c).alias(f"_p_{c}") for c in [*alike, "row", "taken"]])
-    own = [F.col(quoted([c])[0]) for c in (id_col, source_col, size)]
-    numbered = sized.withColumn(row, F.row_number().over(Window.partitionBy(*own).orderBy(F.xxhash64(text))))
-    same = own[0].eqNullSafe(F.col("_p_id")) & own[1].cast("string").eqNullSafe(F.col("_p_source")) & (own[2] == F.col("_p_size")) & (F.col(row) == F.col("_p_row"))
-    copies = numbered.join(p, same).withColumn("_copy", F.explode(F.expr("sequence(1, cast((_p_taken + _p_size - 1) div _p_size as int))")))
-    words = F.least(F.col("_p_size"), F.col("_p_taken") - (F.col("_copy") - 1) * F.col("_p_size"))
+    # Written once with a number for each row, so that the plan finds its rows again.
+    sized = materialize(docs.withColumn(size, word_count(text)).withColumn(row, F.monotonically_increasing_id()), "mix-input")
+    plan = mix(sized, id_col, source_col, size=F.col(size), row_col=row)
+    plan = materialize(plan.where("taken > 0").select(F.col("row").alias(row), F.col("taken").alias(taken)), "mix-plan")
+    copies = sized.join(small_or_shuffled(plan, 24), row)
+    copies = copies.withColumn(copy, F.explode(F.expr(f"sequence(1, cast(({taken} + {size} - 1) div {size} as int))")))
+    words = F.least(F.col(size), F.col(taken) - (F.col(copy) - 1) * F.col(size))
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), words.cast("int")), "")
-    copies = copies.withColumn(text_col, F.when(words < F.col("_p_size"), cut).otherwise(text))
+    copies = copies.withColumn(text_col, F.when(words < F.col(size), cut).otherwise(text))
     if chars_col in docs.columns:
         kind = docs.schema[chars_col].dataType
-        copies = copies.withColumn(chars_col, F.when(words < F.col("_p_size"), F.char_length(text).cast(kind)).otherwise(F.col(quoted([chars_col])[0])))
+        copies = copies.withColumn(chars_col, F.when(words < F.col(size), F.char_length(text).cast(kind)).otherwise(F.col(quoted([chars_col])[0])))
     return copies.select(*quoted(docs.columns))
 
 
