@@ -44,17 +44,20 @@ def matches(df: DataFrame, pattern: str, needs: str, text: str, name: str, check
     two matches), and ``check`` of its text. ``needs`` is a cheap pattern that
     every text with a match has.
     """
-    f, p, s = f"{name}_f", f"{name}_p", f"{name}_s"
     none = F.array().cast("array<string>")
-    df = df.withColumn(f, F.when(F.rlike(text, F.lit(needs)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
-    df = df.withColumn(p, F.when(F.size(f) > 0, F.split(text, pattern, -1)).otherwise(none))
-    df = df.withColumn(s, _starts(F.col(p), F.col(f)))
+    # Bound by lambdas, not by columns: the optimiser may put a column's
+    # expression into the lambda that uses it, and then it runs for each match.
+    found = F.when(F.rlike(text, F.lit(needs)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
 
-    def one(m: Column, i: Column) -> Column:
+    def placed(f: Column) -> Column:
+        parts = F.when(F.size(f) > 0, F.split(text, pattern, -1)).otherwise(none)
+        return let(parts, lambda p: let(_starts(p, f), lambda s: F.transform(f, lambda m, i: one(m, i, p, s))))
+
+    def one(m: Column, i: Column, p: Column, s: Column) -> Column:
         start = F.get(s, i)
         return F.struct(
             start.alias("s"), (start + F.char_length(m)).alias("e"), m.alias("t"),
             F.right(F.get(p, i), F.lit(context)).alias("b"), F.left(F.get(p, i + 1), F.lit(context)).alias("a"), check(m).alias("ok"),
         )
 
-    return df.withColumn(name, F.transform(F.col(f), one)).drop(f, p, s)
+    return df.withColumn(name, let(found, placed))
