@@ -142,7 +142,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``(id, component)`` for every id in ``edges`` (columns ``a``, ``b`` of type long).
 
     ``component`` is the smallest id that can be reached. Large-star and
-    small-star steps alternate until the edges stop changing; each step's
+    small-star steps alternate until every id points to its root; each step's
     edges are written to the shared checkpoint folder, so the lineage stays
     short and a lost executor costs a re-read only. An id with any number of
     edges is handled by a partial minimum and a join that Spark can split.
@@ -160,18 +160,12 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             near = near.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return near.where("a <> b").distinct()
 
-    def mark(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-
     e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    seen = mark(e)
     for _ in range(max_rounds):
-        if not seen[0]:
+        # Done once no id both points to another and is pointed to, or points to two: then all point to roots.
+        ends = e.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        if ends.where("n > 1").isEmpty() and ends.join(e.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             break
         e = materialize(star(star(e, True), False), "edges")
-        now = mark(e)
-        if now == seen:
-            break
-        seen = now
     roots = e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(roots)

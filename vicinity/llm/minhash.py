@@ -307,8 +307,13 @@ def classes(docs: DataFrame, text_col: str = "text", row: str = "_row") -> DataF
     sets = _sets(open_rows.select(F.col("id").alias(row)), texts, row, "text").withColumnRenamed(row, "id")
     blocks = open_rows.join(sets, "id").repartition(*KEYS).sortWithinPartitions(*KEYS)
     more = materialize(blocks.mapInArrow(_link, "a long, b long"), "minhash-links")
-    comp = components(links.unionAll(more))
-    placed = member.join(comp.withColumnRenamed("component", "class"), "id", "left").select("row", F.coalesce("class", "id").alias("class"))
+    # What the rest round joins are components: their links go between the first round's roots.
+    at = [comp.select(F.col("id").alias(c), F.col("component").alias(f"root_{c}")) for c in ("a", "b")]
+    joined = more.join(at[0], "a", "left").join(at[1], "b", "left")
+    last = components(joined.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    placed = member.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = placed.join(last.select(F.col("id").alias("component"), F.col("component").alias("class")), "component", "left")
+    placed = placed.select("row", F.coalesce("class", "component").alias("class"))
     return placed.unionAll(sk.where("key is null").select(F.col(row), F.col(row))).toDF("row", "class")
 
 
