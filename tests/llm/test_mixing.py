@@ -92,6 +92,49 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert dict(got) == {r[0]: r[1] for r in plan if r[1]}
 
 
+def three_sources(spark):
+    rows = [(k * 3000 + i, " ".join(f"{n}{i}" for _ in range(5 + i % 37)), n, None) for k, n in enumerate("abc") for i in range(700 if n == "a" else 1500)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+
+
+def assert_even(words, slack):
+    """Each source holds its share of every beginning, and so of every stretch, within ``slack`` words."""
+    total, seen, all_seen = Counter(), Counter(), 0
+    for s, n in words:
+        total[s] += n
+    assert len(total) == 3
+    for s, n in words:
+        seen[s] += n
+        all_seen += n
+        assert all(abs(seen[k] - all_seen * total[k] / total.total()) <= slack for k in total)
+
+
+def test_rows_of_the_mix_hold_the_sources_in_proportion(spark):
+    docs = three_sources(spark)
+    rows = sorted(M.mix_rows(docs).collect(), key=lambda r: (r.slot, r.at))
+    assert_even([(r.source, r.words_to - r.words_from) for r in rows], 8 * M.MIN_BLOCK)
+    taken, at, ranks = Counter(), 0, Counter()
+    for k, r in enumerate(rows):
+        # A slot is one block of one source, without gaps, and a source's slots follow their ranks.
+        new = k == 0 or rows[k - 1].slot != r.slot
+        assert new or (rows[k - 1].source, rows[k - 1]["rank"]) == (r.source, r["rank"])
+        assert r.at == (0 if new else at) and r["rank"] == ranks[r.source] - (not new)
+        at, taken[r.id] = r.at + r.words_to - r.words_from, taken[r.id] + r.words_to - r.words_from
+        ranks[r.source] += new
+    assert dict(taken) == {r.id: r.taken for r in M.mix(docs).collect() if r.taken}
+
+
+def test_mixed_documents_stand_in_the_order_of_the_mix(spark, tmp_path):
+    docs = three_sources(spark)
+    M.mixed_documents(docs, slot_col="slot").write.parquet(f"{tmp_path}/m")
+    files = sorted(f for f in (tmp_path / "m").iterdir() if f.name.startswith("part"))
+    got = [r for f in files for r in spark.read.parquet(str(f)).coalesce(1).collect()]
+    assert [r.slot for r in got] == sorted(r.slot for r in got)
+    # Beside the schedule's, a document that runs over the slots of its beginning.
+    assert_even([(r.source, size(r.text)) for r in got], 8 * M.MIN_BLOCK + 3 * 41)
+    assert_even([(r.source, size(r.text)) for r in M.mixed_documents(docs).collect()], 8 * M.MIN_BLOCK + 3 * 41)
+
+
 def test_plan_has_no_python_and_no_cross_join(spark):
     plan = M.mix(read_table(spark, SF, "documents"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoopJoin", plan)

@@ -14,7 +14,8 @@ schedule holds the sources in proportion. A source's slot of rank ``r`` is
 joined with block ``r mod blocks`` of pass ``r div blocks``. What the points
 leave a source short of is added after them, what they give too much is not
 taken, and the last block is cut, so that every source gives its target to
-the word.
+the word. ``mix_rows`` returns the joined rows, slot by slot; what ``mix`` says is
+taken of a document is their sum, and ``mixed_documents`` stands in their order.
 
 Everything is DataFrame code. Nothing is partitioned by source alone: running
 totals go by (source, hash bucket) with pre-aggregated starts, block joins by
@@ -115,15 +116,19 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
     return ranked.select("no_source", "name", "slot", "rank").unionByName(extra)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, text_col: str = "text", slots: int = SLOTS, row_col: str | None = None) -> DataFrame:
-    """``(id, source, size, source_size, target, taken)``, and ``row`` if ``row_col`` is given, a row per row of ``docs``."""
-    row = ["row"] if row_col else []
+def _joined(docs: DataFrame, id_col: str, source_col: str, size: Column | None, text_col: str, slots: int, row: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents with their sizes, the sources with their targets, and the schedule joined with the blocks.
+
+    The last has a row for each slot that a piece of a document falls in, and one with a null
+    slot for a piece that no slot takes.
+    """
     d = docs.select(
         F.col(quoted([id_col])[0]).alias("id"),
         F.col(quoted([source_col])[0]).cast("string").alias("source"),
         (word_count(F.col(quoted([text_col])[0])) if size is None else F.coalesce(size.cast("long"), F.lit(0).cast("long"))).alias("size"),
-        *([F.col(quoted([row_col])[0]).alias("row")] if row_col else []),
+        *[F.col(c).alias("row") for c in quoted(row)],
     )
+    row = ["row"] if row else []
     d = d.withColumn("no_source", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit("")))
     d = materialize(d.withColumn("key", F.md5(F.concat_ws("|", F.lit("mix"), F.col("id").cast("string")))).drop("source"), "mix-sizes")
     per_source = d.groupBy("no_source", "name").agg(F.sum("size").alias("source_size"))
@@ -132,50 +137,77 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     total = src.agg(F.sum("want")).first()[0] or 0
     block = max(MIN_BLOCK, -(-total // slots))
     plan = schedule(src, block)
-    # What the slots take of each block: whole passes and the cut last one.
+    # What each slot takes of its block: all of it, but for the cut last one.
     plan = plan.join(src.select("no_source", "name", "source_size", "want"), ["no_source", "name"])
     plan = plan.withColumn("blocks", F.expr(f"cast(ceil(source_size / {block}) as long)"))
     plan = plan.withColumn("block", F.expr("rank % blocks")).withColumn("pass", F.expr("rank div blocks"))
-    plan = plan.withColumn("words", F.expr(f"least((block + 1) * {block}, source_size) - block * {block}"))
-    plan = plan.withColumn("words_taken", F.expr(f"least(words, want - pass * source_size - block * {block})"))
-    uses = plan.groupBy("no_source", "name", "block").agg(
-        F.sum(F.when(F.col("words_taken") == F.col("words"), 1).otherwise(0)).alias("uses"),
-        F.max(F.when(F.col("words_taken") < F.col("words"), F.col("words_taken")).otherwise(0)).alias("part"),
-    )
+    plan = plan.withColumn("words_taken", F.expr(f"least({block}, source_size - block * {block}, want - pass * source_size - block * {block})"))
+    plan = plan.select("no_source", "name", "block", "slot", "rank", "pass", "words_taken")
     # Documents in shuffled order, cut where blocks meet.
     filled = d.where("size > 0").withColumn("_part", F.substring("key", 1, 3))
     laid = running_total(filled, ["no_source", "name"], "_part", ["key", "size"], "size", "begin").drop("_part")
     pieces = laid.withColumn("block", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")))
     lo, hi = F.greatest(F.col("begin"), F.col("block") * block), F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block)
-    pieces = pieces.withColumn("lo", lo - F.col("block") * block).withColumn("hi", hi - F.col("block") * block)
-    taken = F.col("uses") * (F.col("hi") - F.col("lo")) + F.greatest(F.lit(0), F.least(F.col("hi"), F.col("part")) - F.col("lo"))
-    joined = pieces.join(uses, ["no_source", "name", "block"], "left")
-    per_doc = joined.groupBy("no_source", "name", "begin", "size", "id", *row).agg(F.coalesce(F.sum(taken), F.lit(0)).cast("long").alias("taken"))
+    pieces = pieces.withColumn("at", lo - F.col("block") * block).withColumn("words_from", lo - F.col("begin")).withColumn("_hi", hi - F.col("block") * block)
+    rows = pieces.join(plan, ["no_source", "name", "block"], "left")
+    # greatest() takes no notice of nulls, nor does least().
+    upto = F.when(F.col("slot").isNotNull(), F.col("words_from") + F.least(F.col("_hi"), F.col("words_taken")) - F.col("at"))
+    rows = rows.withColumn("words_to", F.greatest(F.col("words_from"), upto))
+    return d, src, rows.select("no_source", "name", "begin", "size", "id", *row, "slot", "rank", "block", "pass", "at", "words_from", "words_to")
+
+
+def mix_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, text_col: str = "text", slots: int = SLOTS, row_col: str | None = None) -> DataFrame:
+    """The mix itself, a row per slot and piece of a document in it: ``(slot, at, source, rank, pass, block, id, words_from, words_to)``, and ``row`` if ``row_col`` is given.
+
+    Words ``words_from`` to ``words_to`` (exclusive) of the document stand ``at`` so many words
+    after the start of their slot; ``(slot, at)`` is the order of the mix.
+    """
+    _, _, rows = _joined(docs, id_col, source_col, size, text_col, slots, [row_col] if row_col else [])
+    source = F.when(~F.col("no_source"), F.col("name")).alias("source")
+    rows = rows.where("words_to > words_from")
+    return rows.select("slot", "at", source, "rank", "pass", "block", "id", "words_from", "words_to", *(["row"] if row_col else []))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, text_col: str = "text", slots: int = SLOTS, row_col: str | None = None) -> DataFrame:
+    """``(id, source, size, source_size, target, taken)``, and ``row`` if ``row_col`` is given, a row per row of ``docs``.
+
+    ``taken`` is the sum over the rows of ``mix_rows``.
+    """
+    row = ["row"] if row_col else []
+    d, src, rows = _joined(docs, id_col, source_col, size, text_col, slots, [row_col] if row_col else [])
+    taken = F.sum(F.col("words_to") - F.col("words_from")).cast("long")
+    per_doc = rows.groupBy("no_source", "name", "begin", "size", "id", *row).agg(taken.alias("taken"))
     empty = d.where("size = 0").select("no_source", "name", F.lit(0).cast("long").alias("begin"), "size", "id", *row, F.lit(0).cast("long").alias("taken"))
     result = per_doc.unionByName(empty).join(src.select("no_source", "name", "source_size", "target"), ["no_source", "name"])
     return result.select("id", F.when(~F.col("no_source"), F.col("name")).alias("source"), "size", "source_size", F.round("target", 6).alias("target"), "taken", *row)
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """The mixed documents: each as often as it is taken, the last copy cut to the words taken.
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", chars_col: str | None = "n_chars", slot_col: str | None = None) -> DataFrame:
+    """The mixed documents in the order of the mix: each as often as it is taken, the last copy cut to the words taken.
 
-    The columns of ``docs`` stay; ``chars_col`` is recounted for a cut copy.
+    A copy stands where the schedule puts its first word, and stays whole there. The columns of
+    ``docs`` stay; ``chars_col`` is recounted for a cut copy, and ``slot_col``, if given, names a
+    column to add with the slot of the first word. Files written from the result hold its order one after
+    the other; a reader that deals them anew finds it in that column.
     """
-    row, size, taken, copy = (free_name(docs, n) for n in ("_row", "_size", "_taken", "_copy"))
+    row, size, slot, at, words = (free_name(docs, n) for n in ("_row", "_size", "_slot", "_at", "_words"))
     text = F.col(quoted([text_col])[0])
     # Written once with a number for each row, so that the plan finds its rows again.
     sized = materialize(docs.withColumn(size, word_count(text)).withColumn(row, F.monotonically_increasing_id()), "mix-input")
-    plan = mix(sized, id_col, source_col, size=F.col(size), row_col=row)
-    plan = materialize(plan.where("taken > 0").select(F.col("row").alias(row), F.col("taken").alias(taken)), "mix-plan")
-    copies = sized.join(small_or_shuffled(plan, 24), row)
-    copies = copies.withColumn(copy, F.explode(F.expr(f"sequence(1, cast(({taken} + {size} - 1) div {size} as int))")))
-    words = F.least(F.col(size), F.col(taken) - (F.col(copy) - 1) * F.col(size))
-    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), words.cast("int")), "")
-    copies = copies.withColumn(text_col, F.when(words < F.col(size), cut).otherwise(text))
+    rows = mix_rows(sized, id_col, source_col, size=F.col(size), row_col=row)
+    # What is taken of a document in one pass is its beginning; the first piece comes first.
+    first = F.min(F.struct("slot", "at"))
+    plan = rows.groupBy("row", "pass").agg(F.sum(F.col("words_to") - F.col("words_from")).alias(words), first.alias("_first"))
+    plan = plan.select(F.col("row").alias(row), words, F.col("_first.slot").alias(slot), F.col("_first.at").alias(at))
+    plan = materialize(plan, "mix-plan")
+    copies = sized.join(small_or_shuffled(plan, 40), row).drop(row).orderBy(slot, at)
+    short = F.col(words) < F.col(size)
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col(words).cast("int")), "")
+    copies = copies.withColumn(text_col, F.when(short, cut).otherwise(text))
     if chars_col in docs.columns:
         kind = docs.schema[chars_col].dataType
-        copies = copies.withColumn(chars_col, F.when(words < F.col(size), F.char_length(text).cast(kind)).otherwise(F.col(quoted([chars_col])[0])))
-    return copies.select(*quoted(docs.columns))
+        copies = copies.withColumn(chars_col, F.when(short, F.char_length(text).cast(kind)).otherwise(F.col(quoted([chars_col])[0])))
+    return copies.select(*quoted(docs.columns), *([F.col(slot).alias(slot_col)] if slot_col else []))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
