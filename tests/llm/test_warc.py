@@ -3,6 +3,8 @@ import hashlib
 import re
 from html.parser import HTMLParser
 
+import pytest
+
 from vicinity.llm import warc as R
 from vicinity.sources.points import read_table
 
@@ -49,6 +51,43 @@ def test_plain_text_by_hand():
     assert R.plain_text("") == "" and R.plain_text("<p>é</p>𝒳") == "é\n𝒳"
 
 
+@pytest.mark.parametrize("page, text", [
+    # A head without its end tag ends at the first thing that may not stand in it.
+    ("<html><head><title>T</title><body><p>hello</p>", "hello"),
+    ("<head><meta charset=utf-8><title>T</title><script>x</script><p>hello<div>you</div>", "hello\nyou"),
+    ("<head><link rel=a>hello", "hello"),
+    ("<head><style>a</style><noscript><style>b</style></noscript></head><body>hello", "hello"),
+    # An svg that closes itself is empty; one left open ends at HTML's next element.
+    ('<p>a<svg class="i"/>b</p><p>c</p>', "a b\nc"),
+    ('<p>a<svg aria-label="x>y"/>b</p><svg><path/></svg>c', "a b\nc"),
+    ("<p>a<svg><path d=''></p><p>b</p><svg><text>no</text></svg><p>c</p>", "a\nb\nc"),
+    ("a<svg><g><svg><text>no</text></svg><text>no</text></g></svg>b", "a b"),
+    ("a<svg><style/><title/><text>no</text></svg>b", "a b"),
+    ("a<svg><title>no</svg>b<p>c", "a b\nc"),
+    ("a<svg><foreignObject><div>no</div></foreignObject><text>no</text></svg>b", "a b"),
+    ("a<svg><desc><p>no</p></desc></svg>b", "a b"),
+    ("<svg> a", "a"),
+    ("<a href=x><svg><path></a> b <p>c", "b\nc"),
+    ("<a href=x><svg><a><text>no</text></a><text>no</text></svg></a>b", "b"),
+    ("<template><svg><path></template>a<p>b", "a\nb"),
+    # Left open, template and noscript hide nothing, also if another one is closed later.
+    ("a<template>b<p>c", "ab\nc"),
+    ("a<noscript>b<p>c</p><noscript>no</noscript>d", "ab\nc\nd"),
+    ("a<template>no<template>no</template>no<script>'</template>'</script>no</template>b", "a b"),
+    # Custom elements are others.
+    ("<head-line>a</head-line><svg-icon>b</svg-icon> <title-bar>c</title-bar><template-x>d<p-x>e", "ab cde"),
+    # What HTML runs to the end of the page.
+    ("a<!-- b<p>c", "a"), ("a<script>b<p>c", "a"), ("a<style>b<p>c", "a"), ("a<title>b<p>c", "a"), ("a<!-->b<!--->c<!-- x --!>d", "a b c d"),
+])
+def test_elements_left_open_take_no_text_along(page, text):
+    assert R.plain_text(page) == text
+
+
+def test_many_open_elements_take_one_pass():
+    for tag in ("<svg>", "<template>", "<noscript>", "<svg><desc>", "<svg></template>", "<svg><p>", "<svg"):
+        assert R.plain_text(tag * 20_000 + "<p>hello").endswith("hello") or tag == "<svg"
+
+
 def test_records_link_back_and_keep_digests(spark):
     pages = {r.page_id: r for r in read_table(spark, SF, "pages").collect()}
     source = R.responses(read_table(spark, SF, "pages"))

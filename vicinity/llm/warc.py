@@ -14,6 +14,13 @@ digest of the source is kept where its record has one, and computed otherwise.
 Record ids follow from the response's id and the kind of record, so a rerun
 gives the same ids. Each response is handled by itself: no shuffle.
 
+The text leaves out comments, scripts, styles and titles (left open, they run
+to the end of the page, as in HTML), and closed svg, template and noscript
+elements. Left open, an svg ends at the first tag that is none of its own, and
+a template or noscript hides nothing, so no text after it is lost. A head
+hides nothing of its own: HTML ends it at the first text or element that may
+not stand in it.
+
 Edge cases: a null page is an empty payload; a null url gives records without
 a target; a payload that is not HTML gives its text as it is (bytes that are no
 UTF-8 are replaced); headers cannot hold line breaks, they become spaces.
@@ -29,6 +36,7 @@ import html
 import re
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -48,19 +56,87 @@ OUT = (
 )
 NAMES = [c.split()[0] for c in OUT.split(", ")]
 
-HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|head|title)\b.*?(?:</\1\s*>|$)")
-BLOCK_TAG = re.compile(r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|thead|tbody|article|section|header|footer|nav|aside|main|form|blockquote|pre|figure|title|body|html)\b[^>]*>")
-CELL_TAG = re.compile(r"(?i)</?t[dh]\b[^>]*>")
+# The end of an element's name, and the rest of a tag, quoted values with ">" included.
+_NAME_END, _REST = r"(?=[\s/>])", r"""[^>=]*+(?:=\s*+(?:"[^"]*"|'[^']*')?+[^>=]*+)*+>"""
+_COMMENT = r"<!--(?:-?>|.*?(?:--!?>|$))"
+#: What HTML itself runs to the end of the page if it is left open: comments and elements whose content is no markup.
+RAW = rf"{_COMMENT}|<(script|style|title){_NAME_END}{_REST}.*?(?:</\1{_NAME_END}[^>]*>|$)"
+HIDDEN = re.compile(rf"(?is){RAW}")
+NESTED = re.compile(rf"(?i)<(?:svg|template|noscript){_NAME_END}")
+IN_HTML = re.compile(rf"(?is){RAW}|<(/?)(svg|template|noscript|foreignobject|desc|title){_NAME_END}{_REST}")
+# In an svg, script, style and title are ordinary elements; HTML's elements (in a start or an end tag) end it.
+IN_SVG = re.compile(
+    rf"(?is){_COMMENT}|<!\[CDATA\[.*?(?:\]\]>|$)|<(/?)(svg|foreignobject|desc|title|a|"
+    "address|article|aside|b|big|blockquote|body|br|button|caption|center|code|dd|details|div|dl|dt|em|embed|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|i|img|input|label|legend|li|listing|main|menu|meta|nav|nobr|noscript|ol|option|p|pre|"
+    rf"ruby|s|section|select|small|span|strike|strong|sub|summary|sup|table|tbody|td|template|textarea|tfoot|th|thead|tr|tt|u|ul|var){_NAME_END}{_REST}"
+)
+BLOCK_TAG = re.compile(r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|thead|tbody|article|section|header|footer|nav|aside|main|form|blockquote|pre|figure|title|head|body|html)(?=[\s/>])[^>]*>")
+CELL_TAG = re.compile(r"(?i)</?t[dh](?=[\s/>])[^>]*>")
 ANY_TAG = re.compile(r"</?[A-Za-z!?][^>]*(?:>|$)")
-TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-LANGUAGE = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)")
-LINK = re.compile(r"(?i)<a\b[^>]*\bhref\s*=")
+TITLE = re.compile(r"(?is)<title(?=[\s/>])[^>]*>(.*?)</title\s*>")
+LANGUAGE = re.compile(r"(?is)<html(?=[\s/>])[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)")
+LINK = re.compile(r"(?i)<a(?=[\s/>])[^>]*\bhref\s*=")
 SPACES = re.compile(r"[^\S\n]+")
 
 
+def visible(page: str) -> str:
+    """``page`` without comments and hidden elements. One pass: each step goes on behind the last tag."""
+    if not NESTED.search(page):
+        return HIDDEN.sub(" ", page)
+    cuts: list[tuple[int, int]] = []
+    # Elements open at this place, with the start of their tags, and how many there are of each name.
+    inside: list[tuple[str, int]] = []
+    count: Counter[str] = Counter()
+    at = links = 0
+    while True:
+        svg = bool(inside) and inside[-1][0] == "svg"
+        m = (IN_SVG if svg else IN_HTML).search(page, at)
+        if not m:
+            break
+        at = m.end()
+        slash, name = m.group(1, 2) if svg else m.group(2, 3)
+        if name is None:
+            cuts.append(m.span())
+            continue
+        name = name.lower()
+        foreign = name in ("foreignobject", "desc", "title")
+        if svg and name == "a" and (not slash or links):
+            # A link within the svg; the end of one around it ends the svg too.
+            links += -1 if slash else not m[0].endswith("/>")
+        elif svg and name != "svg" and not foreign:
+            # The svg was left open, and ends here.
+            while inside and inside[-1][0] == "svg":
+                start = inside.pop()[1]
+                count["svg"] -= 1
+            cuts.append((start, m.start()))
+            at, links = m.start(), 0
+        elif slash:
+            while count[name]:
+                top, start = inside.pop()
+                count[top] -= 1
+                if top == name:
+                    if not foreign:
+                        cuts.append((start, at))
+                    break
+        elif svg and m[0].endswith("/>"):
+            pass
+        elif name == "svg" and m[0].endswith("/>"):
+            cuts.append(m.span())
+        elif svg or not foreign:
+            inside.append((name, m.start()))
+            count[name] += 1
+    # What is still open hides nothing. Cuts may lie in others.
+    out, upto = [], 0
+    for lo, hi in sorted(cuts):
+        if lo >= upto:
+            out.append(page[upto:lo])
+        upto = max(upto, hi)
+    return " ".join([*out, page[upto:]])
+
+
 def plain_text(page: str) -> str:
     """Text of an HTML page: hidden elements dropped, blocks on lines of their own, entities decoded."""
-    t = HIDDEN.sub(" ", page.replace("\r", " ").replace("\n", " "))
+    t = visible(page.replace("\r", " ").replace("\n", " "))
     t = CELL_TAG.sub(" ", BLOCK_TAG.sub("\n", t))
     t = html.unescape(ANY_TAG.sub("", t)).replace("\r", " ")
     return "\n".join(line for line in (x.strip() for x in SPACES.sub(" ", t).split("\n")) if line)
