@@ -61,6 +61,16 @@ def test_single_cell_search_fills_its_places(spark):
     assert len(got) == 5
 
 
+def test_single_cell_search_refuses_a_cell_that_auto_made(spark):
+    wide = spark.range(60).select("id", F.array(*[(F.col("id") % (i + 2)).cast("double") for i in range(17)]).alias("features"))
+    index = build_index(wide, label_col=None)
+    for search in (lambda: knn_join(wide, index, 3, search="single_cell"), lambda: knn_self_join(index, 3, search="single_cell")):
+        with pytest.raises(ValueError, match="single_cell"):
+            search()
+    assert len(nn(knn_join(wide, index, 3))) == 180
+    assert len(nn(knn_join(wide, build_index(wide, label_col=None, centers="single"), 3, search="single_cell"))) == 180
+
+
 def test_equal_vectors_are_searched_once(spark):
     rng = random.Random(5)
     rows = [(i, [float(rng.randrange(6)), float(rng.randrange(4))]) for i in range(300)] + [(500, [50.0, 50.0])]

@@ -95,6 +95,8 @@ class CellIndex:
     has_label: bool
     block_rows: int = DEFAULT_BLOCK_ROWS
     near: dict = field(default_factory=dict)
+    #: ``centers="auto"`` made one cell of all points, for their width.
+    auto_single: bool = False
 
     def near_distance(self, rank: int) -> dict[int, float]:
         """Per cell with ``rank`` members or more, the ``rank``-th smallest member distance to the centre.
@@ -254,7 +256,7 @@ def build_index(
     ``max_cells`` caps the number of k-means cells (50 is the usual rule; more
     cells pay for larger tables). ``centers``: ``"kmeans"`` (fit :func:`cell_count` cells), ``"single"``
     (one cell, for brute-force search), ``"auto"`` (k-means up to
-    ``AUTO_PRUNE_MAX_DIM`` wide, else single), a DataFrame ``(cell, center)``
+    ``AUTO_PRUNE_MAX_DIM`` wide, else single; ``search="single_cell"`` refuses the latter), a DataFrame ``(cell, center)``
     or a list ``[(cell, center)]`` of given centres.
 
     With ``checkpoint=True`` (default) the assigned points are written once
@@ -271,6 +273,7 @@ def build_index(
         return CellIndex([], empty, 0, 0, has_label, block_rows)
     pts = pts.withColumn("t_vec", checked_width(F.col("t_vec"), dim))
 
+    auto_single = isinstance(centers, str) and centers == "auto" and dim > AUTO_PRUNE_MAX_DIM
     if isinstance(centers, str) and centers == "auto":
         centers = "kmeans" if dim <= AUTO_PRUNE_MAX_DIM else "single"
     if isinstance(centers, str) and centers == "kmeans":
@@ -304,5 +307,5 @@ def build_index(
         key=lambda c: c.cell,
     )
     points = assigned.withColumn("block", block_col(cells, F.col("t_id")))
-    return CellIndex(cells, points, dim, n, has_label, block_rows)
+    return CellIndex(cells, points, dim, n, has_label, block_rows, auto_single=auto_single)
 

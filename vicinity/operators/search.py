@@ -65,11 +65,13 @@ TWO_PHASE_MIN_CELL = 2048
 KNN_SCHEMA = "q_id long, t_id long, label double, d2 double, rank int"
 
 
-def _check(k: int, search: str) -> None:
+def _check(k: int, search: str, index: CellIndex) -> None:
     if not isinstance(k, int) or k < 1:
         raise ValueError(f"k must be a positive integer, got {k!r}")
     if search not in SEARCH_MODES:
         raise ValueError(f"search must be one of {SEARCH_MODES}, got {search!r}")
+    if search == "single_cell" and index.auto_single:
+        raise ValueError('single_cell needs cells, and centers="auto" made one of all points; build the index with centers="kmeans" (or "single", to search everything)')
 
 
 def prepare_queries(queries: DataFrame, id_col: str, features_col: str, dim: int) -> DataFrame:
@@ -335,7 +337,7 @@ def knn_join(
     broken by ``t_id``. Queries with a null vector, or an empty index, give
     no rows; fewer than ``k`` training rows give fewer rows.
     """
-    _check(k, search)
+    _check(k, search, index)
     q = prepare_queries(queries, id_col, features_col, index.dim)
     return _search(q, index, k, k, search, False, keep_vectors, slack)
 
@@ -354,7 +356,7 @@ def knn_self_join(
     places). ``count_self=True`` takes ``k + 1`` places with the point
     allowed in its own list, the literal rule of the reference outlier search.
     """
-    _check(k, search)
+    _check(k, search, index)
     q = index.points.select(F.col("t_id").alias("q_id"), F.col("t_vec").alias("q_vec"))
     if count_self:
         return _search(q, index, k + 1, k + 1, search, False, keep_vectors, slack)
@@ -371,7 +373,7 @@ def candidate_cells(
     slack: float = SLACK,
 ) -> DataFrame:
     """``(q_id, cell, dc, lb, ub, bound)``: the cells a query's search visits."""
-    _check(k, search)
+    _check(k, search, index)
     q = prepare_queries(queries, id_col, features_col, index.dim)
     if not index.cells:
         return q.sparkSession.createDataFrame([], "q_id long, cell int, dc double, lb double, ub double, bound double")
