@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vicinity.llm import bpe, lattice, minhash, mixing, pii, quality, secret_scan, token_counts, toxicity, warc
+from vicinity.llm import bpe, lattice, merkle, minhash, mixing, pii, quality, secret_scan, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secrets": secret_scan.op8_secrets,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 SQL = {
@@ -22,4 +23,5 @@ SQL = {
     "op3_embedding_links": lattice.SQL,
     "op4_quality_cascade": quality.SQL,
     "op10_mix_sources": mixing.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }
