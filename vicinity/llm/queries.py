@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vicinity.llm import bpe, lattice, merkle, minhash, mixing, pii, quality, secret_scan, token_counts, toxicity, warc
+from vicinity.llm import bpe, collocations, langid, lattice, merkle, minhash, mixing, pii, quality, secret_scan, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_secrets": secret_scan.op8_secrets,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_language": langid.op11_language,
+    "op12_collocations": collocations.op12_collocations,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
@@ -23,5 +25,6 @@ SQL = {
     "op3_embedding_links": lattice.SQL,
     "op4_quality_cascade": quality.SQL,
     "op10_mix_sources": mixing.SQL,
+    "op12_collocations": collocations.SQL,
     "op13_merkle_manifest": merkle.SQL,
 }
