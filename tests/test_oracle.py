@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from conftest import SF_SMALL
 from vicinity.plans.registry import QUERIES
 
-TABLES = ["embeddings", "part", "lineitem", "customer"]
+TABLES = ["embeddings", "part", "lineitem", "customer", "documents"]
 
 
 @pytest.fixture(scope="module")

@@ -151,3 +151,17 @@ SQL.update({
     "outlier_model_detect": SQL["knn_outliers"],
     "outlier_model_transform": SQL["outlier_flags"],
 })
+
+_TERMS = r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word FROM documents),
+    c AS (SELECT doc_id, word, count(*)::DOUBLE AS n FROM w GROUP BY ALL),
+    m AS (SELECT d.doc_id, coalesce(sum(n * n), 0) AS n2, count(word) AS stored FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id WHERE d.doc_id IS NOT NULL GROUP BY d.doc_id)"""
+
+SQL.update({
+    "sparse_vector_norm": f"{_TERMS} SELECT doc_id, stored, round(sqrt(n2), 6) AS norm FROM m",
+    "sparse_sqdist": f"""{_TERMS}, p AS (SELECT doc_id, lag(doc_id) OVER (ORDER BY doc_id) AS before FROM m),
+        s AS (SELECT p.doc_id, sum(a.n * b.n) AS dot FROM p JOIN c a ON a.doc_id = p.doc_id JOIN c b ON b.doc_id = p.before AND b.word = a.word GROUP BY p.doc_id)
+        SELECT p.doc_id, before, round(x.n2 + y.n2 - 2 * coalesce(dot, 0), 6) AS d2 FROM p JOIN m x ON x.doc_id = p.doc_id JOIN m y ON y.doc_id = p.before LEFT JOIN s ON s.doc_id = p.doc_id""",
+    "sparse_knn_join": f"""{_TERMS}, s AS (SELECT a.doc_id AS q_id, b.doc_id AS t_id, sum(a.n * b.n) AS dot FROM c a JOIN c b ON b.word = a.word WHERE a.doc_id % 50 = 0 GROUP BY ALL),
+        j AS (SELECT q.doc_id AS q_id, t.doc_id AS t_id, q.n2 + t.n2 - 2 * coalesce(dot, 0) AS d2 FROM m q JOIN m t ON q.doc_id % 50 = 0 LEFT JOIN s ON s.q_id = q.doc_id AND s.t_id = t.doc_id)
+        SELECT q_id, t_id, round(d2, 6) AS d2, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d2, t_id) AS rank FROM j) WHERE rank <= 10""",
+})

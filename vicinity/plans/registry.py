@@ -16,6 +16,7 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinity.functions.sparse import sparse_norm, sparse_sqdist
 from vicinity.functions.vectors import norm, sqdist, sqdist_sql
 from vicinity.ml import KNNClassifier, KNNOutlierDetector, KNNRegressor
 from vicinity.operators.cells import build_index, cell_count_col, centers_sql, label_centers
@@ -30,9 +31,10 @@ from vicinity.operators.predict import (
     vote_share,
 )
 from vicinity.operators.search import candidate_cells, knn_join, knn_self_join
-from vicinity.session import scratch_path
-from vicinity.sources.libsvm import read_libsvm, write_libsvm
-from vicinity.sources.points import assemble, labeled_points, read_table
+from vicinity.operators.sparse_search import build_sparse_index, sparse_knn_join
+from vicinity.session import materialize, scratch_path
+from vicinity.sources.libsvm import read_libsvm, read_sparse_libsvm, write_libsvm, write_sparse_libsvm
+from vicinity.sources.points import assemble, labeled_points, number_rows, read_table
 
 # Fixed parameters of the registered queries.
 K = 5
@@ -55,6 +57,7 @@ def _r(name: str, digits: int = 6):
     return F.round(F.col(name), digits).alias(name)
 
 
+
 def _nn(spark: SparkSession, sf: str, search: str = "pruned", centers="auto") -> DataFrame:
     q, t = _split(spark, sf)
     index = build_index(t, "vec_id", "embedding", "label", centers=centers, seed=SEED)
@@ -320,6 +323,49 @@ def q_knn_outliers_by_value(spark, sf):
     return outliers(_value_degrees(spark, sf), THRESHOLD)
 
 
+# ---- sparse vectors: term counts of the documents -----------------------------------
+
+K_SPARSE = 10
+
+
+def _term_counts(spark, sf):
+    """Documents as sparse vectors of word counts, written as LibSVM text (label = doc_id) and read back."""
+    docs = read_table(spark, sf, "documents").where("doc_id IS NOT NULL")
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))).alias("word"))
+    counts = materialize(words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n")), "term-counts")
+    terms = number_rows(counts.select("word").distinct(), ["word"], "i", 0)
+    width = max(1, terms.count())
+    items = counts.join(terms, "word").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("t"))
+    vec = F.expr("named_struct('indices', transform(t, x -> CAST(x.i AS INT)), 'values', transform(t, x -> CAST(x.n AS DOUBLE)))")
+    empty = F.expr("named_struct('indices', CAST(array() AS ARRAY<INT>), 'values', CAST(array() AS ARRAY<DOUBLE>))")
+    rows = docs.select("doc_id").join(items, "doc_id", "left").select("doc_id", F.coalesce(vec, empty).alias("features"))
+    path = scratch_path(spark, "libsvm-terms")
+    write_sparse_libsvm(rows, path, "doc_id", "features")
+    return read_sparse_libsvm(spark, path, width).select(F.col("label").cast("long").alias("doc_id"), "features")
+
+
+def q_sparse_vector_norm(spark, sf):
+    terms = _term_counts(spark, sf)
+    return terms.select("doc_id", F.size("features.indices").cast("long").alias("stored"), F.round(sparse_norm("features"), 6).alias("norm"))
+
+
+def q_sparse_sqdist(spark, sf):
+    """Distance of every document to the one with the next smaller id, by a merge of their entries."""
+    terms = materialize(_term_counts(spark, sf), "term-vectors")
+    ranked = number_rows(terms.select("doc_id"), ["doc_id"], "place")
+    pairs = ranked.join(ranked.select(F.col("doc_id").alias("before"), (F.col("place") + 1).alias("place")), "place")
+    joined = pairs.join(terms, "doc_id").join(terms.select(F.col("doc_id").alias("before"), F.col("features").alias("other")), "before")
+    return joined.select("doc_id", "before", F.round(sparse_sqdist("features", "other"), 6).alias("d2"))
+
+
+def q_sparse_knn_join(spark, sf):
+    """The nearest documents by word counts of every document whose id 50 divides, among all."""
+    terms = materialize(_term_counts(spark, sf), "term-vectors")
+    index = build_sparse_index(terms, "doc_id", "features", None)
+    nn = sparse_knn_join(terms.where("doc_id % 50 = 0"), index, K_SPARSE, "doc_id")
+    return nn.select("q_id", "t_id", _r("d2"), "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "labeled_points": q_labeled_points,
     "vector_norm": q_vector_norm,
@@ -354,4 +400,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "outlier_model_transform": q_outlier_model_transform,
     "class_count_metadata": q_class_count_metadata,
     "knn_join_offset": q_knn_join_offset,
+    "sparse_vector_norm": q_sparse_vector_norm,
+    "sparse_sqdist": q_sparse_sqdist,
+    "sparse_knn_join": q_sparse_knn_join,
 }
