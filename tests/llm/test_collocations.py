@@ -63,7 +63,7 @@ def test_small_segments_and_a_hot_language(spark, monkeypatch):
     want = brute(rows, 3)
     assert result(df, 3) == want
     monkeypatch.setattr(C, "SEGMENT_BYTES", 200)
-    monkeypatch.setattr("vicinity.llm.common.BROADCAST_BYTES", 0)
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 0)
     assert result(df, 3) == want
 
 

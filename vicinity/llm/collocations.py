@@ -16,13 +16,14 @@ of them frequent, so ids stay two numbers wide at any length and counts are exac
 
 Layout: R_k is a table with a row for each segment (whole texts of together
 about ``SEGMENT_BYTES``, or one longer text) that holds the segment's occurrences as
-two arrays: positions, ascending, and phrases. A piece's words have
+two arrays: positions, ascending (kept as steps from one to the next), and phrases. A piece's words have
 consecutive positions and pieces are one position apart, so the merge-join on
 (piece, position + 1) compares neighbours in the sorted arrays. A segment gives
-one row per distinct pair with its count, which Spark sums over all segments
-and joins with the frequent pairs; a pair has at most one row a segment, so no
-key is hot. The ids that survive meet their segment in a co-group. Frequent
-phrases live in tables; nothing but their number reaches the driver.
+one row per distinct pair with its count, which Spark sums over all segments; a
+pair has at most one row a segment, so no key is hot. For the semi-join, the
+frequent pairs go to the tasks if their counted size allows (``BROADCAST_BYTES``);
+beyond, the segments' pairs are joined with them, and the ids that
+survive meet their segment in a co-group. Both keep the same occurrences.
 
 Scores: for a phrase with count a, cut after its first k words, l and r are the
 counts of the two parts and n all words of the language; the score is the least
@@ -39,10 +40,12 @@ extra columns play no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,7 +56,9 @@ from vicinity.session import GROUP_LIMIT_CONF, allow_group_limit, materialize, s
 from vicinity.sources.points import read_table
 
 MIN_COUNT, MAX_WORDS, COVER, TOP = 100, 5, 100, 2_000
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 4 << 20
+#: Frequent phrases are sent to the tasks up to this many bytes; beyond, segments are joined with them.
+BROADCAST_BYTES = 32 << 20
 UNKNOWN = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -63,8 +68,8 @@ _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _GAP = _BREAK.copy()
 _GAP[[0x20, 0x09]] = True
 
-#: Columns of R_k: a segment's occurrences by position (places in ``grams``), and the distinct phrases there.
-RELATION = "seg long, pos array<int>, code array<int>, grams array<long>"
+#: Columns of R_k, a row a segment: int32 steps between positions, int32 places in ``grams``, and the int64 ids there.
+RELATION = "seg long, step binary, code binary, grams binary"
 
 
 def occurrences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -87,12 +92,18 @@ def occurrences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.A
     return pos, found, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(pos, code, words)`` of every segment: occurrences and the distinct ``(lang, word)`` with counts."""
-    fields = pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.struct([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())]))
-    texts, langs, size = [], [], 0
+def _bytes(values: np.ndarray, kind: str) -> pa.Array:
+    return pa.array([np.ascontiguousarray(values, kind).tobytes()], pa.binary())
 
-    def segment() -> pa.RecordBatch:
+
+def _steps(pos: np.ndarray) -> pa.Array:
+    return _bytes(np.diff(pos, prepend=0), "<i4")
+
+
+def _segments(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``(step, code, words)`` of every segment: occurrences and the distinct ``(lang, word)`` with counts."""
+
+    def segment(texts: list[pa.Array], langs: list[pa.Array]) -> pa.RecordBatch:
         data, offsets = W.utf8(pa.chunked_array(texts))
         pos, found, owner = occurrences(data, offsets)
         lang = pa.concat_arrays(langs).dictionary_encode()
@@ -101,61 +112,62 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = word.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n_lang + lang.indices.to_numpy(zero_copy_only=False)[owner]
         keys, code, n = np.unique(both, return_inverse=True, return_counts=True)
         items = pa.StructArray.from_arrays([lang.dictionary.take(pa.array(keys % n_lang)), word.dictionary.take(pa.array(keys // n_lang)).cast(pa.binary()), pa.array(n, pa.int64())], ["lang", "word", "n"])
-        return _row([pos, code, items], fields, ["pos", "code", "words"])
+        items = pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)
+        return pa.RecordBatch.from_arrays([_steps(pos), _bytes(code, "<i4"), items], ["step", "code", "words"])
 
-    for batch in batches:
-        for k in range(batch.num_rows):
-            text = batch.column(0).slice(k, 1)
-            more = len(text[0].as_buffer()) if text[0].is_valid else 0
-            if texts and size + more > SEGMENT_BYTES:
-                yield segment()
-                texts, langs, size = [], [], 0
-            texts.append(text)
-            langs.append(batch.column(1).slice(k, 1))
-            size += more
-    if texts:
-        yield segment()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, langs, size = [], [], 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                text = batch.column(0).slice(k, 1)
+                more = len(text[0].as_buffer()) if text[0].is_valid else 0
+                if texts and size + more > limit:
+                    yield segment(texts, langs)
+                    texts, langs, size = [], [], 0
+                texts.append(text)
+                langs.append(batch.column(1).slice(k, 1))
+                size += more
+        if texts:
+            yield segment(texts, langs)
 
+    return run
 
-def _row(lists: list, fields: tuple, names: list[str], scalars: dict | None = None) -> pa.RecordBatch:
-    """A batch of one row whose columns ``names`` are the lists given."""
-    columns = [pa.array([v], pa.int64()) for v in (scalars or {}).values()]
-    for values, kind in zip(lists, fields, strict=True):
-        flat = values if isinstance(values, pa.Array) else pa.array(values, kind.value_type)
-        columns.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
-    return pa.RecordBatch.from_arrays(columns, [*(scalars or {}), *names])
 
+def _relation(rows: pa.RecordBatch | pa.Table, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(positions, codes)`` of a segment."""
+    step, code = (np.frombuffer(rows.column(c)[row].as_buffer(), "<i4") for c in ("step", "code"))
+    return np.cumsum(step, dtype=np.int64), code
 
-_ARRAYS = pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())
+
+def _grams(rows: pa.RecordBatch | pa.Table, row: int) -> np.ndarray:
+    return np.frombuffer(rows.column("grams")[row].as_buffer(), "<i8")
 
 
 def _joined(pos: np.ndarray, code: np.ndarray, n_grams: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge-join of a segment's relation with itself on position + 1: ``(rows of the first, pairs)``."""
+    """Merge-join of a segment's relation with itself on position + 1: ``(positions, pairs)``."""
     at = np.flatnonzero(np.diff(pos) == 1)
-    return at, code[at].astype(np.int64) * n_grams + code[at + 1]
-
-
-def _numpy(batch: pa.RecordBatch | pa.Table, name: str, row: int = 0) -> np.ndarray:
-    column = batch.column(name)
-    return column[row].values.to_numpy(zero_copy_only=False)
+    return pos[at], code[at].astype(np.int64) * n_grams + code[at + 1]
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every segment's distinct pairs of overlapping phrases, with counts."""
     for batch in batches:
         for k in range(batch.num_rows):
-            grams = _numpy(batch, "grams", k)
-            _, pair = _joined(_numpy(batch, "pos", k), _numpy(batch, "code", k), len(grams))
+            grams = _grams(batch, k)
+            pair = _joined(*_relation(batch, k), len(grams))[1]
             if not len(pair):
                 continue
             keys, n = np.unique(pair, return_counts=True)
             seg = np.full(len(keys), batch.column("seg")[k].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (seg, np.arange(len(keys)), grams[keys // len(grams)], grams[keys % len(grams)], n)], ["seg", "local", "head", "tail", "n"])
+            columns = [pa.array(seg), pa.array(np.arange(len(keys), dtype=np.int32)), pa.array(grams[keys // len(grams)]), pa.array(grams[keys % len(grams)]), pa.array(n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["seg", "local", "head", "tail", "n"])
 
 
-def _renamed(seg: int, at: np.ndarray, code: np.ndarray, survivors: pa.Table) -> pa.Table | None:
-    """R of the occurrences at positions ``at`` whose group ``code`` survives, with the groups' new ids."""
-    local, ids = (survivors.column(c).to_numpy() for c in ("local", "id"))
+PAIRS = "seg long, local int, head long, tail long, n int"
+
+
+def _kept(seg: int, pos: np.ndarray, code: np.ndarray, local: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
+    """R of the occurrences whose group ``code`` is among the surviving ones ``local``, with their new ids."""
     order = np.argsort(local)
     local, ids = local[order], ids[order]
     place = np.searchsorted(local, code)
@@ -164,40 +176,94 @@ def _renamed(seg: int, at: np.ndarray, code: np.ndarray, survivors: pa.Table) ->
     hit[inside] = local[place[inside]] == code[inside]
     if not hit.any():
         return None
-    return pa.Table.from_batches([_row([at[hit], place[hit], ids], _ARRAYS, ["pos", "code", "grams"], {"seg": seg})])
+    return pa.RecordBatch.from_arrays([pa.array([seg], pa.int64()), _steps(pos[hit]), _bytes(place[hit], "<i4"), _bytes(ids, "<i8")], ["seg", "step", "code", "grams"])
+
 
+_EMPTY = pa.schema([("seg", pa.int64()), *((c, pa.binary()) for c in ("step", "code", "grams"))]).empty_table()
 
-_EMPTY = pa.schema([("seg", pa.int64()), ("pos", _ARRAYS[0]), ("code", _ARRAYS[1]), ("grams", _ARRAYS[2])]).empty_table()
 
+def _groups(rows: pa.RecordBatch | pa.Table, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(positions, group of each, distinct pairs)`` after the join of a segment's R_k with itself."""
+    pos, pair = _joined(*_relation(rows, row), len(_grams(rows, row)))
+    keys, code = np.unique(pair, return_inverse=True)
+    return pos, code, keys
 
-def _first(key: tuple, relation: pa.Table, survivors: pa.Table) -> pa.Table:
-    """R_1 of a segment."""
-    if not relation.num_rows or not survivors.num_rows:
-        return _EMPTY
-    out = _renamed(key[0].as_py(), _numpy(relation, "pos"), _numpy(relation, "code"), survivors)
-    return _EMPTY if out is None else out
 
+def _cogrouped(first: bool) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """The next R of a segment from its rows and those of its groups that are frequent."""
 
-def _next(key: tuple, relation: pa.Table, survivors: pa.Table) -> pa.Table:
-    """R_{k+1} of a segment, from its R_k and the pairs that are frequent."""
-    if not relation.num_rows or not survivors.num_rows:
-        return _EMPTY
-    pos = _numpy(relation, "pos")
-    at, pair = _joined(pos, _numpy(relation, "code"), len(_numpy(relation, "grams")))
-    out = _renamed(key[0].as_py(), pos[at], np.unique(pair, return_inverse=True)[1], survivors)
-    return _EMPTY if out is None else out
+    def run(key: tuple, rows: pa.Table, survivors: pa.Table) -> pa.Table:
+        if not rows.num_rows or not survivors.num_rows:
+            return _EMPTY
+        pos, code = _relation(rows, 0) if first else _groups(rows, 0)[:2]
+        out = _kept(key[0].as_py(), pos, code, *(survivors.column(c).to_numpy() for c in ("local", "id")))
+        return _EMPTY if out is None else pa.Table.from_batches([out])
+
+    return run
+
+
+def _first_in_place(frequent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """R_1 of the segments, with all frequent words at hand."""
+
+    def key(lang: pa.Array, word: pa.Array) -> pa.Array:
+        return pc.binary_join_element_wise(lang.cast(pa.binary()), word.cast(pa.binary()), b"\n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lang, word, ids = frequent.value
+        known = key(lang, word)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                items = batch.column("words")[k].values
+                place = pc.index_in(key(items.field("lang"), items.field("word")), known)
+                local = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+                out = _kept(batch.column("seg")[k].as_py(), *_relation(batch, k), local, ids[place.drop_null().to_numpy()])
+                if out is not None:
+                    yield out
+
+    return run
+
+
+def _next_in_place(frequent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """R_{k+1} of the segments from their R_k, with all frequent pairs at hand."""
+
+    def rank(among: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Place of each value in the sorted ``among``, -1 if it is not there."""
+        at = np.minimum(np.searchsorted(among, values), len(among) - 1)
+        return np.where(among[at] == values, at, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, tail, ids = frequent.value
+        heads, tails = np.unique(head), np.unique(tail)
+        both = np.searchsorted(heads, head) * len(tails) + np.searchsorted(tails, tail)
+        order = np.argsort(both)
+        both, ids = both[order], ids[order]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                grams = _grams(batch, k)
+                pos, code, keys = _groups(batch, k)
+                if not len(keys):
+                    continue
+                h, t = rank(heads, grams)[keys // len(grams)], rank(tails, grams)[keys % len(grams)]
+                at = np.where((h >= 0) & (t >= 0), rank(both, h * len(tails) + t), -1)
+                local = np.flatnonzero(at >= 0)
+                out = _kept(batch.column("seg")[k].as_py(), pos, code, local, ids[at[local]])
+                if out is not None:
+                    yield out
+
+    return run
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
     """Like :func:`materialize`, for rows that hold megabytes: their size is looked at row by row."""
     path = scratch_path(df.sparkSession, name)
-    df.write.options(**{"parquet.page.size.row.check.min": "1", "parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1"}).parquet(path)
+    sizes = {"parquet.page.size.row.check.min": "1", "parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1"}
+    df.write.options(compression="zstd", **sizes).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def _survivors(groups: DataFrame, frequent: DataFrame, keys: list[str], row_bytes: int) -> DataFrame:
+def _survivors(groups: DataFrame, frequent: DataFrame, keys: list[str]) -> DataFrame:
     """Semi-join of the segments' groups with the frequent ones, with their ids."""
-    return groups.join(small_or_shuffled(frequent.select(*keys, "id"), row_bytes), keys).select(F.col("seg").alias("seg"), "local", "id")
+    return groups.join(frequent.select(*keys, "id"), keys).select(F.col("seg").alias("seg"), F.col("local").cast("long").alias("local"), "id")
 
 
 def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> tuple[DataFrame, list[DataFrame]]:
@@ -208,11 +274,12 @@ def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_coun
     """
     ship(df.sparkSession)
     lang = F.coalesce(F.col(quoted([lang_col])[0]).cast("string"), F.lit(UNKNOWN))
+    spark = df.sparkSession
     segments = df.select(F.col(quoted([text_col])[0]).cast("string").alias("text"), lang.alias("lang")).mapInArrow(
-        _segments, "pos array<int>, code array<int>, words array<struct<lang: string, word: binary, n: bigint>>"
+        _segments(SEGMENT_BYTES), "step binary, code binary, words array<struct<lang: string, word: binary, n: bigint>>"
     )
     segments = _written(segments.select(F.monotonically_increasing_id().alias("seg"), "*"), "setm-words")
-    words = segments.select("seg", F.posexplode("words").alias("local", "w")).select("seg", F.col("local").cast("long").alias("local"), "w.*")
+    words = segments.select("seg", F.posexplode("words").alias("local", "w")).select("seg", "local", "w.*")
     counted = materialize(words.groupBy("lang", "word").agg(F.sum("n").alias("f")), "setm-counts")
     totals = materialize(counted.groupBy("lang").agg(F.sum("f").alias("n")), "setm-totals")
     first = counted.where(F.col("f") >= min_count).select(
@@ -220,11 +287,18 @@ def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_coun
         "lang", F.array(F.col("word").cast("string")).alias("words"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"), "word",
     )
     first = materialize(first, "setm-frequent")
-    survivors = _survivors(words, first, ["lang", "word"], 64)
-    relation = _written(segments.select("seg", "pos", "code").groupBy("seg").cogroup(survivors.groupBy("seg")).applyInArrow(_first, RELATION), "setm-relation")
+    size = first.agg(F.sum(F.length("word") + F.octet_length("lang") + 32)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        t = first.select("lang", "word", "id").toArrow()
+        sent = spark.sparkContext.broadcast((t.column(0).combine_chunks(), t.column(1).combine_chunks(), t.column(2).to_numpy()))
+        relation = segments.mapInArrow(_first_in_place(sent), RELATION)
+    else:
+        survivors = _survivors(words, first, ["lang", "word"])
+        relation = segments.select("seg", "step", "code").groupBy("seg").cogroup(survivors.groupBy("seg")).applyInArrow(_cogrouped(True), RELATION)
     frequent = [first.drop("word")]
     for _ in range(2, max_words + 1):
-        pairs = materialize(relation.mapInArrow(_pairs, "seg long, local long, head long, tail long, n long"), "setm-pairs")
+        relation = _written(relation, "setm-relation")
+        pairs = relation.mapInArrow(_pairs, PAIRS)
         groups = pairs.groupBy("head", "tail").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
         before = frequent[-1]
         heads = before.select(F.col("id").alias("head"), "lang", F.col("words").alias("_first"), "heads")
@@ -235,10 +309,16 @@ def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_coun
         )
         found = materialize(found, "setm-frequent")
         frequent.append(found)
-        if len(frequent) == max_words or found.isEmpty():
+        n = found.count()
+        if len(frequent) == max_words or not n:
             break
-        survivors = _survivors(pairs, found, ["head", "tail"], 32)
-        relation = _written(relation.groupBy("seg").cogroup(survivors.groupBy("seg")).applyInArrow(_next, RELATION), "setm-relation")
+        if n * 48 <= BROADCAST_BYTES:
+            t = found.select("head", "tail", "id").toArrow()
+            sent = spark.sparkContext.broadcast(tuple(c.to_numpy() for c in t.columns))
+            relation = relation.mapInArrow(_next_in_place(sent), RELATION)
+        else:
+            survivors = _survivors(pairs, found, ["head", "tail"])
+            relation = relation.groupBy("seg").cogroup(survivors.groupBy("seg")).applyInArrow(_cogrouped(False), RELATION)
     return totals, frequent
 
 
