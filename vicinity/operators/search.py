@@ -48,6 +48,7 @@ from vicinity.functions.vectors import (
     vector_sql,
 )
 from vicinity.operators.cells import CellIndex, unrolled
+from vicinity.operators.tree import TreeIndex, tree_search
 from vicinity.plans.checks import bounded_collect
 from vicinity.session import allow_group_limit, materialize
 
@@ -70,6 +71,8 @@ def _check(k: int, search: str, index: CellIndex) -> None:
         raise ValueError(f"k must be a positive integer, got {k!r}")
     if search not in SEARCH_MODES:
         raise ValueError(f"search must be one of {SEARCH_MODES}, got {search!r}")
+    if isinstance(index, TreeIndex) and search != "pruned":
+        raise ValueError(f"a centre tree is searched pruned, got {search!r}")
     if search == "single_cell" and index.auto_single:
         raise ValueError('single_cell needs cells, and centers="auto" made one of all points; build the index with centers="kmeans" (or "single", to search everything)')
 
@@ -279,6 +282,8 @@ def _search(
     target_pairs: int | None = None,
 ) -> DataFrame:
     spark = q.sparkSession
+    if isinstance(index, TreeIndex):
+        return tree_search(q, index, places, kb, exclude_self, keep_vectors)
     cols = ["q_id", "t_id", "label", "d2", "rank"] + (["t_vec"] if keep_vectors else [])
     if not index.cells:
         schema = KNN_SCHEMA + (", t_vec array<double>" if keep_vectors else "")
@@ -323,7 +328,7 @@ def _search(
 
 def knn_join(
     queries: DataFrame,
-    index: CellIndex,
+    index: CellIndex | TreeIndex,
     k: int,
     id_col: str = "id",
     features_col: str = "features",
@@ -343,7 +348,7 @@ def knn_join(
 
 
 def knn_self_join(
-    index: CellIndex,
+    index: CellIndex | TreeIndex,
     k: int,
     count_self: bool = False,
     search: str = "pruned",
