@@ -1,7 +1,8 @@
 """Exact k-nearest-neighbour joins, classification, regression and outlier
 detection as Spark DataFrame plans."""
 
-from vicinity.functions.vectors import as_array, distance, norm, sqdist, sqnorm
+from vicinity.functions.sparse import as_sparse, sparse_norm, sparse_sqdist
+from vicinity.functions.vectors import as_array, distance, fast_sqdist, norm, sqdist, sqnorm
 from vicinity.operators.cells import (
     Cell,
     CellIndex,
@@ -25,7 +26,9 @@ from vicinity.operators.predict import (
     vote_share,
 )
 from vicinity.operators.search import candidate_cells, knn_join, knn_self_join
-from vicinity.sources.libsvm import read_libsvm, write_libsvm
+from vicinity.operators.sparse_search import build_sparse_index, sparse_knn_join
+from vicinity.operators.tree import build_tree_index
+from vicinity.sources.libsvm import read_libsvm, read_sparse_libsvm, write_libsvm, write_sparse_libsvm
 from vicinity.sources.points import assemble, ensure_id, labeled_points, number_rows, read_table
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -104,6 +104,28 @@ def distance(a: Column | str, b: Column | str, dim: int | None = None) -> Column
     return F.sqrt(sqdist(a, b, dim))
 
 
+def fast_sqdist(a: str, a_norm: str, b: str, b_norm: str, dim: int | None = None, precision: float = 1e-6) -> Column:
+    """Squared distance from stored norms, ``|a|^2 + |b|^2 - 2 a.b``, where that is good to ``precision``.
+
+    Rounding costs at most ``16 eps (dim + 4) (|a|^2 + |b|^2)``; where this may exceed
+    ``precision`` of the result (the vectors are close for their length), the
+    distance is taken element by element.
+    """
+    if precision <= 0:
+        raise ValueError("precision must be positive")
+    x, y = _sql(a), _sql(b)
+    if _unroll(dim):
+        dot = "(" + " + ".join(f"{x}[{i}] * {y}[{i}]" for i in range(dim)) + ")"
+        wide = f"{dim + 4}"
+    else:
+        dot = f"aggregate(zip_with({x}, {y}, (u, v) -> u * v), 0D, (acc, z) -> acc + z)"
+        wide = f"(size({x}) + 4)"
+    size = f"({_sql(a_norm)} * {_sql(a_norm)} + {_sql(b_norm)} * {_sql(b_norm)})"
+    near = f"({size} - 2D * {dot})"
+    good = f"{double_sql(16 * 2.0**-53)} * {wide} * {size} <= {double_sql(precision)} * {near}"
+    return F.expr(f"CASE WHEN {good} THEN {near} ELSE {sqdist_sql(x, y, dim)} END")
+
+
 def sqnorm(a: Column | str, dim: int | None = None) -> Column:
     """Squared L2 norm ``sum(a[i]^2)``."""
     if isinstance(a, str):

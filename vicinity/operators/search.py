@@ -27,7 +27,8 @@ bounds the answer too and usually lets step 4 drop most pairs.
 The bounds are sound, so pruning never changes the answer, and ties at the
 ``k``-th place go to the smallest target id, the same as brute force.
 ``search="exact"`` keeps every cell (brute force through the same blocked
-join); ``search="single_cell"`` searches only the cell with the least
+join); ``search="blocks"`` is the same by matrix products with an exact recheck
+(:mod:`vicinity.operators.blocks`), for wide vectors; ``search="single_cell"`` searches only the cell with the least
 ``ub``, an approximation that can miss neighbours.
 """
 
@@ -47,12 +48,13 @@ from vicinity.functions.vectors import (
     usable,
     vector_sql,
 )
-from vicinity.operators.cells import CellIndex, unrolled
+from vicinity.operators.blocks import blocks_search
+from vicinity.operators.cells import CellIndex, build_index, unrolled
 from vicinity.operators.tree import TreeIndex, tree_search
 from vicinity.plans.checks import bounded_collect
 from vicinity.session import allow_group_limit, materialize
 
-SEARCH_MODES = ("pruned", "exact", "single_cell")
+SEARCH_MODES = ("pruned", "exact", "single_cell", "blocks")
 # Relative slack on the pruning bounds, far above double rounding error.
 SLACK = 1e-9
 # Rounding error of a distance, per dimension, relative to the distance
@@ -289,6 +291,11 @@ def _search(
         schema = KNN_SCHEMA + (", t_vec array<double>" if keep_vectors else "")
         return spark.createDataFrame([], schema)
 
+    if search == "blocks":
+        if keep_vectors:
+            raise ValueError('search="blocks" returns no vectors')
+        return blocks_search(q, index, places, exclude_self).select(*cols)
+
     big_cells = max(c.n for c in index.cells) > TWO_PHASE_MIN_CELL
     if search == "pruned" and two_phase and big_cells and len(index.cells) > 1:
         # Phase 1: search each query's best cell only. When it yields all
@@ -362,12 +369,47 @@ def knn_self_join(
     allowed in its own list, the literal rule of the reference outlier search.
     """
     _check(k, search, index)
+    if not count_self and search in ("pruned", "exact") and isinstance(index, CellIndex) and not keep_vectors and index.cells and index.n:
+        return _self_join_of_values(index, k, search, slack)
     q = index.points.select(F.col("t_id").alias("q_id"), F.col("t_vec").alias("q_vec"))
     if count_self:
         return _search(q, index, k + 1, k + 1, search, False, keep_vectors, slack)
     return _search(q, index, k, k + 1, search, True, keep_vectors, slack)
 
 
+def _self_join_of_values(index: CellIndex, k: int, search: str, slack: float) -> DataFrame:
+    """The self-join by id, in which equal vectors are searched once and never joined all with all.
+
+    Every distinct vector, with the ``k + 1`` smallest ids of its rows, finds
+    itself and its ``k`` nearest other vectors (those before a vector that
+    counts hold a row each, so no farther vector has a place). The ids of these
+    are laid out by (distance, id) and the first ``k + 1`` kept: they serve
+    all rows of the vector, each leaving out itself. Only then do the rows come
+    back, ``k`` places each.
+    """
+    pts = index.points.select("t_id", "t_vec", *(["t_label"] if index.has_label else []))
+    spark = pts.sparkSession
+    sizes = pts.groupBy("t_vec").agg(F.count(F.lit(1)).alias("rows"), F.min("t_id").alias("id"))
+    values = materialize(sizes, "self-values")
+    same = values.where("rows > 1")
+    if same.isEmpty():
+        q = pts.select(F.col("t_id").alias("q_id"), F.col("t_vec").alias("q_vec"))
+        return _search(q, index, k, k + 1, search, True, False, slack)
+    allow_group_limit(spark, k + 1)
+    by_value = Window.partitionBy("t_vec").orderBy("t_id")
+    few = materialize(pts.withColumn("_r", F.row_number().over(by_value)).where(F.col("_r") <= k + 1).join(values.select("t_vec", "id"), "t_vec").drop("t_vec", "_r"), "self-ids")
+    distinct = build_index(values.select("id", "t_vec"), "id", "t_vec", None, centers=[(c.cell, c.center) for c in index.cells], block_rows=index.block_rows)
+    own = distinct.points.select(F.col("t_id").alias("q_id"), F.col("t_vec").alias("q_vec"))
+    near = _search(own, distinct, k + 1, k + 1, search, False, False, slack).select(F.col("q_id").alias("value"), F.col("t_id").alias("id"), "d2")
+    laid = near.join(few, "id")
+    first = laid.withColumn("_r", F.row_number().over(Window.partitionBy("value").orderBy("d2", "t_id"))).where(F.col("_r") <= k + 1)
+    lists = first.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("d2", "t_id", *(["t_label"] if index.has_label else [])))).alias("near"))
+    rows = pts.select(F.col("t_id").alias("q_id"), "t_vec").join(values.select("t_vec", F.col("id").alias("value")), "t_vec").drop("t_vec")
+    label = "x.t_label" if index.has_label else "CAST(NULL AS DOUBLE)"
+    others = F.expr(f"transform(slice(filter(near, x -> x.t_id <> q_id), 1, {k}), (x, i) -> named_struct('t_id', x.t_id, 'label', {label}, 'd2', x.d2, 'rank', i + 1))")
+    return rows.join(lists, "value").select("q_id", F.inline(others))
+
+
 def candidate_cells(
     queries: DataFrame,
     index: CellIndex,

@@ -42,7 +42,6 @@ def _label_cells(src: str) -> str:
      cst AS (SELECT cell, count(*) AS n, max(dist) AS radius FROM asg GROUP BY cell)"""
 
 
-TRAIN = "tr AS (SELECT * FROM e WHERE id % 5 <> 0)"
 QRY = "qr AS (SELECT * FROM e WHERE id % 5 = 0)"
 
 VOTES = "votes AS (SELECT q_id, label, count(*) AS votes FROM nn GROUP BY q_id, label)"
@@ -59,9 +58,9 @@ SQL: dict[str, str] = {
     "libsvm_scan": """SELECT label::DOUBLE AS label, len(embedding)::BIGINT AS dim,
         list_min(embedding::DOUBLE[]) AS f_min, list_max(embedding::DOUBLE[]) AS f_max,
         round(list_sum(list_transform(range(1, len(embedding)+1), lambda i: embedding[i]::DOUBLE * i)), 6) AS f_placed FROM embeddings""",
-    "knn_join": f"""WITH {E}, {SPLIT_NN} SELECT q_id, t_id, label, round(d2, 6) AS d2, rank FROM nn""",
-    "knn_join_pruned": f"""WITH {E}, {SPLIT_NN} SELECT q_id, t_id, label, round(d2, 6) AS d2, rank FROM nn""",
-    "knn_join_single_cell": f"""WITH {E}, {TRAIN}, {QRY}, {_label_cells('tr')},
+    "knn_join": f"""WITH {E}, {SPLIT_NN_ALL_TRAIN} SELECT q_id, t_id, label, round(d2, 6) AS d2, rank FROM nn""",
+    "knn_join_pruned": f"""WITH {E}, {SPLIT_NN_ALL_TRAIN} SELECT q_id, t_id, label, round(d2, 6) AS d2, rank FROM nn""",
+    "knn_join_single_cell": f"""WITH {E}, {QRY}, {_label_cells('e')},
         best AS (SELECT * FROM (SELECT q.id AS q_id, c.cell,
                        row_number() OVER (PARTITION BY q.id ORDER BY sqrt({_d2('q.v', 'cen.center')}) + c.radius, c.cell) AS r
                  FROM qr q, cst c JOIN cen ON cen.cell = c.cell) WHERE r = 1),
@@ -73,7 +72,7 @@ SQL: dict[str, str] = {
     "knn_self_join": f"""WITH {E}, {SELF_NN} SELECT q_id, t_id, round(d2, 6) AS d2, rank FROM nn""",
     "nearest_cell": f"""WITH {E}, {_label_cells('e')} SELECT id, cell, round(dist, 6) AS dist FROM asg""",
     "cell_stats": f"""WITH {E}, {_label_cells('e')} SELECT cell, n, round(radius, 6) AS radius FROM cst""",
-    "candidate_cells": f"""WITH {E}, {TRAIN}, {QRY}, {_label_cells('tr')},
+    "candidate_cells": f"""WITH {E}, {QRY}, {_label_cells('e')},
         rho AS (SELECT cell, dist AS rho FROM (SELECT cell, dist,
                   row_number() OVER (PARTITION BY cell ORDER BY dist, id) AS r FROM asg) WHERE r = {K}),
         b AS (SELECT q.id AS q_id, c.cell, sqrt({_d2('q.v', 'cen.center')}) AS dc, c.radius, c.n, rho.rho
@@ -141,7 +140,7 @@ SQL.update({
     "knn_outliers_by_value": f"{_VAL} SELECT f0, f1, indegree FROM deg WHERE indegree <= {THRESHOLD}",
 })
 
-_OFFSET = f"""WITH e AS (SELECT p_partkey AS id, 0::DOUBLE AS label, [p_size::DOUBLE, p_retailprice::DOUBLE + 1e9::DOUBLE] AS v FROM part), {SPLIT_NN}"""
+_OFFSET = f"""WITH e AS (SELECT p_partkey AS id, 0::DOUBLE AS label, [p_size::DOUBLE, p_retailprice::DOUBLE + 1e9::DOUBLE] AS v FROM part), {_topk("q.id % 50 = 0", K)}"""
 
 # The estimators answer the questions of the functions that they stand on.
 SQL.update({
@@ -165,3 +164,17 @@ SQL.update({
         j AS (SELECT q.doc_id AS q_id, t.doc_id AS t_id, q.n2 + t.n2 - 2 * coalesce(dot, 0) AS d2 FROM m q JOIN m t ON q.doc_id % 50 = 0 LEFT JOIN s ON s.q_id = q.doc_id AND s.t_id = t.doc_id)
         SELECT q_id, t_id, round(d2, 6) AS d2, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d2, t_id) AS rank FROM j) WHERE rank <= 10""",
 })
+
+_LINEITEM = f"""WITH e AS (SELECT row_number() OVER (ORDER BY ALL) AS id, 0::DOUBLE AS label, [l_quantity::DOUBLE, l_extendedprice / 1000, l_discount * 100, l_tax * 100]::DOUBLE[] AS v FROM lineitem)"""
+
+SQL.update({
+    "fast_sqdist": SQL["pairwise_sqdist"],
+    "knn_join_blocks": SQL["knn_join"],
+    "tree_knn_join": f"""{_LINEITEM}, j AS (SELECT q.id AS q_id, t.id AS t_id, (q.v[1]-t.v[1])*(q.v[1]-t.v[1]) + (q.v[2]-t.v[2])*(q.v[2]-t.v[2]) + (q.v[3]-t.v[3])*(q.v[3]-t.v[3]) + (q.v[4]-t.v[4])*(q.v[4]-t.v[4]) AS d2
+        FROM e q, e t WHERE q.id % 50 = 0), b AS (SELECT q_id, unnest(arg_min({{'d2': d2, 't_id': t_id}}, {{'d2': d2, 't_id': t_id}}, {K})) AS x FROM j GROUP BY q_id)
+        SELECT q_id, x.t_id AS t_id, round(x.d2, 6) AS d2, row_number() OVER (PARTITION BY q_id ORDER BY x.d2, x.t_id) AS rank FROM b""",
+    "tree_cells": "SELECT count(*) AS points, count(*) AS members, 0::BIGINT AS misplaced, true AS cells_grow FROM lineitem",
+    "part_self_join": f"""WITH p AS (SELECT p_partkey AS id, p_size::DOUBLE AS a, length(p_type)::DOUBLE AS b FROM part),
+        j AS (SELECT q.id AS q_id, t.id AS t_id, (q.a-t.a)*(q.a-t.a) + (q.b-t.b)*(q.b-t.b) AS d2 FROM p q, p t WHERE q.id <> t.id)
+        SELECT * FROM (SELECT q_id, t_id, round(d2, 6) AS d2, row_number() OVER (PARTITION BY q_id ORDER BY d2, t_id) AS rank FROM j) WHERE rank <= {K}""",
+})

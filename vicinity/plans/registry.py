@@ -1,9 +1,9 @@
 """The queries that prove each operator, over the driver's tables.
 
 Every builder takes ``(spark, sf_dir)`` and returns a DataFrame over whole
-tables. ``embeddings`` is split into queries (``vec_id % 5 = 0``) and
-training rows (the rest), so every row is used; ``part`` and ``embeddings``
-self-joins use every row on both sides. Computed doubles are rounded to 6
+tables. For classification and regression, ``embeddings`` is split into queries
+(``vec_id % 5 = 0``) and training rows (the rest); joins search among all rows,
+and self-joins use every row on both sides. Computed doubles are rounded to 6
 places so another engine can be compared value for value; array columns are
 reported through scalar summaries.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinity.functions.sparse import sparse_norm, sparse_sqdist
-from vicinity.functions.vectors import norm, sqdist, sqdist_sql
+from vicinity.functions.vectors import fast_sqdist, norm, sqdist, sqdist_sql
 from vicinity.ml import KNNClassifier, KNNOutlierDetector, KNNRegressor
 from vicinity.operators.cells import build_index, cell_count_col, centers_sql, label_centers
 from vicinity.operators.outliers import indegree, indegree_summary, outlier_flags, outliers
@@ -32,6 +32,7 @@ from vicinity.operators.predict import (
 )
 from vicinity.operators.search import candidate_cells, knn_join, knn_self_join
 from vicinity.operators.sparse_search import build_sparse_index, sparse_knn_join
+from vicinity.operators.tree import build_tree_index
 from vicinity.session import materialize, scratch_path
 from vicinity.sources.libsvm import read_libsvm, read_sparse_libsvm, write_libsvm, write_sparse_libsvm
 from vicinity.sources.points import assemble, labeled_points, number_rows, read_table
@@ -58,8 +59,10 @@ def _r(name: str, digits: int = 6):
 
 
 
-def _nn(spark: SparkSession, sf: str, search: str = "pruned", centers="auto") -> DataFrame:
+def _nn(spark: SparkSession, sf: str, search: str = "pruned", centers="auto", whole: bool = False) -> DataFrame:
+    """Neighbours of the queries among the training rows, or among all rows (``whole``)."""
     q, t = _split(spark, sf)
+    t = _emb(spark, sf) if whole else t
     index = build_index(t, "vec_id", "embedding", "label", centers=centers, seed=SEED)
     return knn_join(q, index, K, "vec_id", "embedding", search=search)
 
@@ -137,19 +140,71 @@ def _nn_out(nn: DataFrame) -> DataFrame:
 
 
 def q_knn_join(spark, sf):
-    return _nn_out(_nn(spark, sf, search="exact", centers="single"))
+    return _nn_out(_nn(spark, sf, search="exact", centers="single", whole=True))
 
 
 def q_knn_join_pruned(spark, sf):
-    return _nn_out(_nn(spark, sf, search="pruned", centers="kmeans"))
+    return _nn_out(_nn(spark, sf, search="pruned", centers="kmeans", whole=True))
 
 
 def q_knn_join_single_cell(spark, sf):
-    q, t = _split(spark, sf)
-    nn = knn_join(q, _label_index(t), K, "vec_id", "embedding", search="single_cell")
+    q, _ = _split(spark, sf)
+    nn = knn_join(q, _label_index(_emb(spark, sf)), K, "vec_id", "embedding", search="single_cell")
     return _nn_out(nn)
 
 
+def q_knn_join_blocks(spark, sf):
+    """Brute force by matrix products of blocks, with an exact recheck."""
+    return _nn_out(_nn(spark, sf, search="blocks", centers="single", whole=True))
+
+
+def q_fast_sqdist(spark, sf):
+    """Distance of every point to its label's mean vector, from stored norms where these are good enough."""
+    emb = _emb(spark, sf)
+    dim = _width(emb, "embedding")
+    centers = label_centers(emb, "label", "embedding", dim, decimals=6)
+    lp = labeled_points(emb, "vec_id", "label", "embedding")
+    joined = lp.join(centers, lp["label"].cast("int") == centers["cell"]).select("id", "cell", "features", "center")
+    normed = joined.withColumns({"fn": norm("features", dim), "cn": norm("center", dim)})
+    return normed.select("id", "cell", F.round(fast_sqdist("features", "fn", "center", "cn", dim), 6).alias("d2"))
+
+
+def _lineitem_points(spark, sf):
+    """All of ``lineitem``, numbered over its columns, as four scaled features."""
+    items = read_table(spark, sf, "lineitem")
+    rows = number_rows(items, items.columns, "id")
+    return assemble(rows, [F.col("l_quantity"), F.col("l_extendedprice") / 1000, F.col("l_discount") * 100, F.col("l_tax") * 100]).select("id", "features")
+
+
+def q_tree_knn_join(spark, sf):
+    """Neighbours of every line item whose number 50 divides, among all, through the centre tree."""
+    pts = materialize(_lineitem_points(spark, sf), "lineitem-points")
+    index = build_tree_index(pts, label_col=None, seed=SEED)
+    nn = knn_join(pts.where("id % 50 = 0"), index, K)
+    return nn.select("q_id", "t_id", _r("d2"), "rank")
+
+
+def q_tree_cells(spark, sf):
+    """The tree's cells and what must hold for them: every point in the ring of its distance, all points counted."""
+    pts = materialize(_lineitem_points(spark, sf), "lineitem-points")
+    index = build_tree_index(pts, label_col=None, seed=SEED)
+    rings = index.table.select(F.explode("cells").alias("c")).select("c.cell", "c.center", "c.radius", F.inline("c.rings")).drop("subs")
+    placed = index.points.join(rings, ["cell", "ring"], "left")
+    far = F.abs(F.sqrt(sqdist("t_vec", "center", index.dim)) - F.col("t_dist")) > 1e-9 * (1 + F.col("t_dist"))
+    members = rings.agg(F.sum("n")).first()[0]
+    return placed.agg(
+        F.count(F.lit(1)).alias("points"), F.lit(members).cast("long").alias("members"),
+        F.count(F.when(F.col("lo").isNull() | (F.col("t_dist") < F.col("lo")) | (F.col("t_dist") > F.col("hi")) | (F.col("t_dist") > F.col("radius")) | far, 1)).alias("misplaced"),
+        (F.count_distinct("cell") >= F.lit(index.n_cells // 2)).alias("cells_grow"),
+    )
+
+
+def q_part_self_join(spark, sf):
+    """Self-join by id over many equal vectors, each searched once."""
+    index = build_index(_part_points(spark, sf), "p_partkey", "features", None, seed=SEED)
+    return knn_self_join(index, K).select("q_id", "t_id", _r("d2"), "rank")
+
+
 def q_knn_self_join(spark, sf):
     index = build_index(_emb(spark, sf), "vec_id", "embedding", "label", centers="kmeans", seed=SEED)
     return knn_self_join(index, K_SELF).select("q_id", "t_id", _r("d2"), "rank")
@@ -170,8 +225,8 @@ def q_cell_stats(spark, sf):
 
 
 def q_candidate_cells(spark, sf):
-    q, t = _split(spark, sf)
-    return candidate_cells(q, _label_index(t), K, "vec_id", "embedding").select("q_id", "cell")
+    q, _ = _split(spark, sf)
+    return candidate_cells(q, _label_index(_emb(spark, sf)), K, "vec_id", "embedding").select("q_id", "cell")
 
 
 def q_cell_count(spark, sf):
@@ -299,8 +354,8 @@ def q_knn_join_offset(spark, sf):
     """Pruned search on features far from the origin, where rounding errors are large."""
     part = read_table(spark, sf, "part")
     pts = assemble(part, ["p_size", F.col("p_retailprice") + F.lit(1e9)]).select("p_partkey", "features")
-    index = build_index(pts.where("p_partkey % 5 <> 0"), "p_partkey", "features", None, centers="kmeans", seed=SEED)
-    nn = knn_join(pts.where("p_partkey % 5 = 0"), index, K, "p_partkey", "features")
+    index = build_index(pts, "p_partkey", "features", None, centers="kmeans", seed=SEED)
+    nn = knn_join(pts.where("p_partkey % 50 = 0"), index, K, "p_partkey", "features")
     return nn.select("q_id", "t_id", _r("d2", 3), "rank")
 
 
@@ -403,4 +458,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sparse_vector_norm": q_sparse_vector_norm,
     "sparse_sqdist": q_sparse_sqdist,
     "sparse_knn_join": q_sparse_knn_join,
+    "fast_sqdist": q_fast_sqdist,
+    "knn_join_blocks": q_knn_join_blocks,
+    "tree_knn_join": q_tree_knn_join,
+    "tree_cells": q_tree_cells,
+    "part_self_join": q_part_self_join,
 }
