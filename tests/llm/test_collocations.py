@@ -65,6 +65,8 @@ def test_small_segments_and_a_hot_language(spark, monkeypatch):
     monkeypatch.setattr(C, "SEGMENT_BYTES", 200)
     monkeypatch.setattr(C, "BROADCAST_BYTES", 0)
     assert result(df, 3) == want
+    monkeypatch.setattr(C, "_pair_keys", lambda size: ["head", "tail"])
+    assert result(df, 3) == want
 
 
 def test_repeats_overlap_within_a_piece(spark):

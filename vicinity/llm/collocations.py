@@ -53,7 +53,7 @@ from pyspark.sql.window import Window
 from vicinity.llm import words as W
 from vicinity.llm.common import quoted, ship, small_or_shuffled
 from vicinity.session import GROUP_LIMIT_CONF, allow_group_limit, materialize, scratch_path
-from vicinity.sources.points import read_table
+from vicinity.sources.points import number_rows, read_table
 
 MIN_COUNT, MAX_WORDS, COVER, TOP = 100, 5, 100, 2_000
 SEGMENT_BYTES = 4 << 20
@@ -111,6 +111,9 @@ def _segments(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         n_lang = max(len(lang.dictionary), 1)
         both = word.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n_lang + lang.indices.to_numpy(zero_copy_only=False)[owner]
         keys, code, n = np.unique(both, return_inverse=True, return_counts=True)
+        # Frequent words first: small numbers pack well.
+        order = np.argsort(-n, kind="stable")
+        keys, n, code = keys[order], n[order], np.argsort(order)[code]
         items = pa.StructArray.from_arrays([lang.dictionary.take(pa.array(keys % n_lang)), word.dictionary.take(pa.array(keys // n_lang)).cast(pa.binary()), pa.array(n, pa.int64())], ["lang", "word", "n"])
         items = pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)
         return pa.RecordBatch.from_arrays([_steps(pos), _bytes(code, "<i4"), items], ["step", "code", "words"])
@@ -149,21 +152,33 @@ def _joined(pos: np.ndarray, code: np.ndarray, n_grams: int) -> tuple[np.ndarray
     return pos[at], code[at].astype(np.int64) * n_grams + code[at + 1]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every segment's distinct pairs of overlapping phrases, with counts."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            grams = _grams(batch, k)
-            pair = _joined(*_relation(batch, k), len(grams))[1]
-            if not len(pair):
-                continue
-            keys, n = np.unique(pair, return_counts=True)
-            seg = np.full(len(keys), batch.column("seg")[k].as_py())
-            columns = [pa.array(seg), pa.array(np.arange(len(keys), dtype=np.int32)), pa.array(grams[keys // len(grams)]), pa.array(grams[keys % len(grams)]), pa.array(n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["seg", "local", "head", "tail", "n"])
+#: Ids below this fit two in one 63-bit number.
+ONE_KEY_IDS = 3_000_000_000
 
 
-PAIRS = "seg long, local int, head long, tail long, n int"
+def _pair_keys(size: int) -> list[str]:
+    """Columns that name a pair of ids below ``size``."""
+    return ["pair"] if size < ONE_KEY_IDS else ["head", "tail"]
+
+
+def _pairs(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every segment's distinct pairs of overlapping phrases, with counts; ids are below ``size``."""
+    one = len(_pair_keys(size)) == 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                grams = _grams(batch, k)
+                pair = _joined(*_relation(batch, k), len(grams))[1]
+                if not len(pair):
+                    continue
+                keys, n = np.unique(pair, return_counts=True)
+                head, tail = grams[keys // len(grams)], grams[keys % len(grams)]
+                seg = np.full(len(keys), batch.column("seg")[k].as_py())
+                columns = [seg, np.arange(len(keys), dtype=np.int32), n.astype(np.int32), *([head * size + tail] if one else [head, tail])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["seg", "local", "n", *_pair_keys(size)])
+
+    return run
 
 
 def _kept(seg: int, pos: np.ndarray, code: np.ndarray, local: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
@@ -282,8 +297,8 @@ def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_coun
     words = segments.select("seg", F.posexplode("words").alias("local", "w")).select("seg", "local", "w.*")
     counted = materialize(words.groupBy("lang", "word").agg(F.sum("n").alias("f")), "setm-counts")
     totals = materialize(counted.groupBy("lang").agg(F.sum("f").alias("n")), "setm-totals")
-    first = counted.where(F.col("f") >= min_count).select(
-        F.monotonically_increasing_id().alias("id"), F.lit(None).cast("long").alias("head"), F.lit(None).cast("long").alias("tail"),
+    first = number_rows(counted.where(F.col("f") >= min_count), ["lang", "word"], "id", 0).select(
+        "id", F.lit(None).cast("long").alias("head"), F.lit(None).cast("long").alias("tail"),
         "lang", F.array(F.col("word").cast("string")).alias("words"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"), "word",
     )
     first = materialize(first, "setm-frequent")
@@ -295,19 +310,22 @@ def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_coun
     else:
         survivors = _survivors(words, first, ["lang", "word"])
         relation = segments.select("seg", "step", "code").groupBy("seg").cogroup(survivors.groupBy("seg")).applyInArrow(_cogrouped(True), RELATION)
-    frequent = [first.drop("word")]
+    frequent, n = [first.drop("word")], first.count()
     for _ in range(2, max_words + 1):
         relation = _written(relation, "setm-relation")
-        pairs = relation.mapInArrow(_pairs, PAIRS)
-        groups = pairs.groupBy("head", "tail").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+        keys = _pair_keys(n)
+        pairs = relation.mapInArrow(_pairs(n), "seg long, local int, n int, " + ", ".join(f"{c} long" for c in keys))
+        groups = pairs.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+        if keys == ["pair"]:
+            groups = groups.select("pair", F.expr(f"pair div {max(n, 1)}").alias("head"), F.expr(f"pair % {max(n, 1)}").alias("tail"), "f")
         before = frequent[-1]
         heads = before.select(F.col("id").alias("head"), "lang", F.col("words").alias("_first"), "heads")
         tails = before.select(F.col("id").alias("tail"), F.element_at("words", -1).alias("_last"), "tails")
         found = groups.join(heads, "head").join(tails, "tail").select(
-            F.monotonically_increasing_id().alias("id"), "head", "tail", "lang", F.concat("_first", F.array("_last")).alias("words"), "f",
+            *([] if keys == ["head", "tail"] else keys), "head", "tail", "lang", F.concat("_first", F.array("_last")).alias("words"), "f",
             F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails"),
         )
-        found = materialize(found, "setm-frequent")
+        found = materialize(number_rows(found, ["head", "tail"], "id", 0), "setm-frequent")
         frequent.append(found)
         n = found.count()
         if len(frequent) == max_words or not n:
@@ -317,7 +335,7 @@ def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_coun
             sent = spark.sparkContext.broadcast(tuple(c.to_numpy() for c in t.columns))
             relation = relation.mapInArrow(_next_in_place(sent), RELATION)
         else:
-            survivors = _survivors(pairs, found, ["head", "tail"])
+            survivors = _survivors(pairs, found, keys)
             relation = relation.groupBy("seg").cogroup(survivors.groupBy("seg")).applyInArrow(_cogrouped(False), RELATION)
     return totals, frequent
 
