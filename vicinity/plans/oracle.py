@@ -165,7 +165,7 @@ SQL.update({
         SELECT q_id, t_id, round(d2, 6) AS d2, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d2, t_id) AS rank FROM j) WHERE rank <= 10""",
 })
 
-_LINEITEM = f"""WITH e AS (SELECT row_number() OVER (ORDER BY ALL) AS id, 0::DOUBLE AS label, [l_quantity::DOUBLE, l_extendedprice / 1000, l_discount * 100, l_tax * 100]::DOUBLE[] AS v FROM lineitem)"""
+_LINEITEM = f"""WITH e AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS id, 0::DOUBLE AS label, [l_quantity::DOUBLE, l_extendedprice / 1000, l_discount * 100, l_tax * 100]::DOUBLE[] AS v FROM lineitem)"""
 
 SQL.update({
     "fast_sqdist": SQL["pairwise_sqdist"],
