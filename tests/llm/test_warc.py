@@ -1,6 +1,9 @@
 import base64
+import gzip
 import hashlib
 import re
+import time
+import zlib
 from html.parser import HTMLParser
 
 import pytest
@@ -147,3 +150,63 @@ def test_hostile(spark):
     assert text == {(None, ""), (1, ""), (2, "deep"), (3, "plain 1 < 2 & 3")}
     empty = spark.createDataFrame([], df.schema)
     assert R.build_derivatives(R.responses(empty), ["page_id"]).collect() == []
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<html ", "<title>", "<title ", '<p a="', "<svg ", "<!-", "</td", "<script ", "<svg><a ", "&#", "<a href=x <b ", "<noscript><title "])
+@pytest.mark.parametrize("tail", ["", ">", "-->"])
+def test_crafted_pages_take_linear_time(piece, tail):
+    page = (piece * (1_000_000 // len(piece)) + tail).encode()
+    source = {"record_id": "<x>", "target_uri": None, "warc_date": None, "payload_digest": None, "block": b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + page}
+    began = time.process_time()
+    assert len(R.derive(source)) == 2
+    assert time.process_time() - began < 5
+
+
+def response(head, payload, **more):
+    return {"record_id": "<r>", "target_uri": "http://h/", "warc_date": None, "payload_digest": None, "block": f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n".encode() + payload} | more
+
+
+def test_encoded_payloads_are_decoded():
+    page = "<html><body><p>café</p></body></html>"
+    latin, packed = page.encode("latin-1"), gzip.compress(page.encode())
+    chunked = b"".join(b"%x;x=1\r\n%s\r\n" % (len(packed[i : i + 7]), packed[i : i + 7]) for i in range(0, len(packed), 7)) + b"0\r\n\r\n"
+    for head, payload in [
+        ("Content-Type: text/html; charset=iso-8859-1", latin), ("Content-Type: text/html; charset=nonsense", page.encode()),
+        ("Content-Type: text/html\r\ncontent-encoding: gzip", packed), ("Content-Type: text/html\r\nContent-Encoding: deflate", zlib.compress(page.encode())),
+        ("Content-Type: text/html\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip", chunked),
+    ]:
+        assert R.derive(response(head, payload))[1]["body"] == "café", head
+    for head, payload in [("Content-Type: image/png", b"\x89PNG"), ("Content-Type: text/html\r\nContent-Encoding: gzip", packed[:-9]), ("Content-Type: text/html\r\nTransfer-Encoding: chunked", b"zz\r\nx"), ("Content-Type: text/html\r\nContent-Encoding: br", b"x")]:
+        records = R.derive(response(head, payload))
+        assert [r["warc_type"] for r in records] == ["metadata"] and "conversion:" not in records[0]["body"]
+
+
+def test_headers_without_a_value_and_responses_without_an_id():
+    body = R.derive(response("X-Empty:\r\nContent-Type: text/plain", b"x"))[0]["body"]
+    assert "source-header-x-empty: \r\n" in body
+    one, two = (R.derive(response("Content-Type: text/plain", p, record_id=None)) for p in (b"x", b"y"))
+    assert one[0]["refers_to"] is None and "WARC-Refers-To" not in one[0]["headers"]
+    assert len({r["record_id"] for r in one + two}) == 4 and one == R.derive(response("Content-Type: text/plain", b"x", record_id=None))
+
+
+def record(head, block):
+    return b"WARC/1.1\r\n" + head + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_broken_files_give_rows_with_an_error(spark, tmp_path):
+    good = record(b"warc-type: response\r\nwarc-record-id: <a>\r\ncontent-length: 3", b"abc")
+    request = record(b"WARC-Type: request\r\nContent-Length: 2", b"hi")
+    files = {
+        "a": good + record(b"WARC-Type: response\r\nContent-Length: x", b"lost") + good, "b": good + b"WARC/1.1\r\nWARC-Type: resp",
+        "c": good + record(b"Content-Length: 99", b"short"), "d": gzip.compress(good) + gzip.compress(good)[:-4], "e": gzip.compress(good * 3)[:20], "f": b"", "g": b"no warc", "h": request,
+    }
+    for name, raw in files.items():
+        (tmp_path / name).write_bytes(raw)
+    rows = {name: [(bytes(r.block), r.error is None) for r in R.read_warc(spark, str(tmp_path / name)).collect()] for name in files}
+    assert rows["a"] == [(b"abc", True), (b"", False), (b"abc", True)] and rows["b"] == [(b"abc", True), (b"", False)]
+    assert rows["c"][0] == (b"abc", True) and not rows["c"][1][1] and rows["d"][0] == (b"abc", True)
+    assert all(not ok for _, ok in rows["e"]) and rows["f"] == rows["g"] == [] and rows["h"] == [(b"hi", True)]
+    read = R.read_warc(spark, str(tmp_path / "a"))
+    assert {r.record_id for r in read.collect()} == {"<a>", None}
+    assert R.build_derivatives(R.read_warc(spark, str(tmp_path / "h"))).count() == 0
+    assert R.build_derivatives(read.where("error IS NULL")).count() == 4

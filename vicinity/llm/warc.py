@@ -21,11 +21,23 @@ a template or noscript hides nothing, so no text after it is lost. A head
 hides nothing of its own: HTML ends it at the first text or element that may
 not stand in it.
 
+Payloads are decoded first: chunked transfer, gzip and deflate, then the charset
+that the response names (UTF-8 if it names none or one unknown; bytes that do
+not fit are replaced). What cannot be unpacked, or is no text by its type
+(images, say), gets its metadata record only.
+
+Every step takes time in proportion to the page, whatever it holds: a tag is
+consumed where it is found, and behind the last ``>`` of a page only a comment can begin.
+
 Edge cases: a null page is an empty payload; a null url gives records without
-a target; a payload that is not HTML gives its text as it is (bytes that are no
-UTF-8 are replaced); headers cannot hold line breaks, they become spaces.
-Repeated pages give records alike. Carried columns named like an output column
-give way.
+a target; a null record id gives records that refer to none, with ids drawn from target and
+block; rows whose ``warc_type`` is another than response give none; a payload
+that is not HTML gives its text as it is; headers cannot hold line breaks, they
+become spaces; source headers without a value are kept. Repeated pages give
+records alike. Carried columns named like an output column give way. A record of
+a file that cannot be read (a header without end, a length that is no number or
+goes beyond the file) is returned with what there is of it and ``error``; reading goes on at the
+next record. Names of headers are read in any case. A file is read as one row, so it must be smaller than 2 GB.
 """
 
 from __future__ import annotations
@@ -70,12 +82,16 @@ IN_SVG = re.compile(
     "address|article|aside|b|big|blockquote|body|br|button|caption|center|code|dd|details|div|dl|dt|em|embed|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|i|img|input|label|legend|li|listing|main|menu|meta|nav|nobr|noscript|ol|option|p|pre|"
     rf"ruby|s|section|select|small|span|strike|strong|sub|summary|sup|table|tbody|td|template|textarea|tfoot|th|thead|tr|tt|u|ul|var){_NAME_END}{_REST}"
 )
-BLOCK_TAG = re.compile(r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|thead|tbody|article|section|header|footer|nav|aside|main|form|blockquote|pre|figure|title|head|body|html)(?=[\s/>])[^>]*>")
-CELL_TAG = re.compile(r"(?i)</?t[dh](?=[\s/>])[^>]*>")
-ANY_TAG = re.compile(r"</?[A-Za-z!?][^>]*(?:>|$)")
-TITLE = re.compile(r"(?is)<title(?=[\s/>])[^>]*>(.*?)</title\s*>")
-LANGUAGE = re.compile(r"(?is)<html(?=[\s/>])[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)")
-LINK = re.compile(r"(?i)<a(?=[\s/>])[^>]*\bhref\s*=")
+BLOCKS = frozenset("p div br hr li ul ol dl dt dd h1 h2 h3 h4 h5 h6 tr table thead tbody article section header footer nav aside main form blockquote pre figure title head body html".split())
+CELLS = frozenset(("td", "th"))
+TAG = re.compile(r"</?([A-Za-z!?][^\s/>]*)[^>]*(?:>|$)")
+TITLE, TITLE_END = re.compile(r"(?i)<title(?=[\s/>])[^<>]*>"), re.compile(r"(?i)</title\s*>")
+LANGUAGE = re.compile(r"(?i)<html(?=[\s/>])[^<>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)")
+LINK = re.compile(r"(?i)<a(?=[\s/>])[^<>]*?\bhref\s*=")
+CHARSET = re.compile(r"(?i)\bcharset\s*=\s*[\"']?([\w.:-]+)")
+#: Types of payloads that are text (fixed values).
+TEXT_TYPE = re.compile(r"(?i)^\s*(?:text/|application/(?:[\w.+-]*\+)?(?:json|xml|xhtml|javascript|ecmascript)|application/x-(?:www-form-urlencoded|javascript))|html")
+_END = "\ue000"
 SPACES = re.compile(r"[^\S\n]+")
 
 
@@ -134,14 +150,77 @@ def visible(page: str) -> str:
     return " ".join([*out, page[upto:]])
 
 
+def _shown(page: str) -> str:
+    """:func:`visible` for pages with any number of tags that nothing closes."""
+    last = page.rfind(">") + 1
+    # No tag ends behind the last ">", so only a comment can hide what stands there.
+    tail = page[last:].partition("<!--")[0]
+    t = visible(page[:last] + _END)
+    return t[: -len(_END)] + tail if t.endswith(_END) else t
+
+
+def _spaced(tag: re.Match) -> str:
+    name = tag[1].lower()
+    return "\n" if name in BLOCKS else " " if name in CELLS else ""
+
+
 def plain_text(page: str) -> str:
     """Text of an HTML page: hidden elements dropped, blocks on lines of their own, entities decoded."""
-    t = visible(page.replace("\r", " ").replace("\n", " "))
-    t = CELL_TAG.sub(" ", BLOCK_TAG.sub("\n", t))
-    t = html.unescape(ANY_TAG.sub("", t)).replace("\r", " ")
+    t = _shown(page.replace("\r", " ").replace("\n", " "))
+    t = html.unescape(TAG.sub(_spaced, t)).replace("\r", " ")
     return "\n".join(line for line in (x.strip() for x in SPACES.sub(" ", t).split("\n")) if line)
 
 
+def _unchunked(payload: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        end = payload.find(b"\r\n", at)
+        size = int(payload[at : end if end >= 0 else None].split(b";")[0], 16)
+        if end < 0 or size < 0:
+            raise ValueError("chunk without end")
+        if not size:
+            return b"".join(out)
+        out.append(payload[end + 2 : end + 2 + size])
+        if len(out[-1]) < size:
+            raise ValueError("chunk cut off")
+        at = end + 2 + size + 2
+
+
+def decoded(payload: bytes, headers: dict[str, str]) -> bytes | None:
+    """``payload`` without its transfer and content encodings; None if they cannot be undone."""
+    try:
+        if "chunked" in headers.get("transfer-encoding", "").lower():
+            payload = _unchunked(payload)
+        for name in reversed([x.strip().lower() for x in headers.get("content-encoding", "").split(",")]):
+            if name in ("gzip", "x-gzip"):
+                payload = b"".join(_gunzipped(payload))
+            elif name == "deflate":
+                payload = zlib.decompress(payload, 15 if payload[:1] == b"\x78" else -15)
+            elif name not in ("", "identity"):
+                return None
+        return payload
+    except (ValueError, zlib.error):
+        return None
+
+
+def _text(payload: bytes, kind: str) -> str:
+    named = CHARSET.search(kind)
+    try:
+        return payload.decode(named[1] if named else "utf-8", "replace")
+    except (LookupError, ValueError, TypeError):
+        return payload.decode("utf-8", "replace")
+
+
+def _gunzipped(raw: bytes) -> Iterator[bytes]:
+    """The members of gzip data, end to end."""
+    while raw:
+        d = zlib.decompressobj(31)
+        yield d.decompress(raw) + d.flush()
+        if not d.eof:
+            raise zlib.error("gzip data cut off")
+        raw = d.unused_data
+
+
 def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
@@ -162,24 +241,36 @@ def derive(source: dict) -> list[dict]:
         head, payload = b"", block
     lines = head.decode("utf-8", "replace").split(CRLF)
     http = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:]) if k]
-    kind = next((v for k, v in http if k.lower() == "content-type"), "")
-    page = payload.decode("utf-8", "replace")
+    by_name = {k.lower(): v for k, v in reversed(http)}
+    kind = by_name.get("content-type", "")
+    plain = decoded(payload, by_name)
+    readable = plain is not None and (not kind or bool(TEXT_TYPE.search(kind)))
+    page = _text(plain, kind) if readable else ""
     is_html = "html" in kind.lower() if kind else "<html" in page[:1024].lower()
     text = plain_text(page) if is_html else page
-    title = TITLE.search(page) if is_html else None
-    language = LANGUAGE.search(page) if is_html else None
-    conversion = derived_id(source["record_id"], "conversion")
-    fields = [("status", lines[0]), *((f"source-header-{k.lower()}", v) for k, v in http)]
-    fields += [("title", html.unescape(title[1]) if title else ""), ("language", language[1].lower() if language else "")]
-    fields += [("links", str(len(LINK.findall(page)) if is_html else 0)), ("payload-length", str(len(payload))), ("text-chars", str(len(text))), ("conversion", conversion)]
+    title, language = "", None
+    if is_html:
+        opened = TITLE.search(page)
+        closed = TITLE_END.search(page, opened.end()) if opened else None
+        title, language = page[opened.end() : closed.start()] if closed else "", LANGUAGE.search(page)
     payload_digest = source["payload_digest"] or digest(payload)
+    # Without an id of its own, a response is named by where it is from and what it holds.
+    name = source["record_id"] or f"{source['target_uri'] or ''} {digest(block)}"
+    conversion = derived_id(name, "conversion")
+    fields = [("status", lines[0])] if _clean(lines[0]) else []
+    fields += [(f"source-header-{k.lower()}", v) for k, v in http]
+    extra = [("title", html.unescape(title)), ("language", language[1].lower() if language else ""), ("links", str(len(LINK.findall(page)) if is_html else 0)), ("payload-length", str(len(payload)))]
+    extra += [("text-chars", str(len(text))), ("conversion", conversion)] if readable else [("text", "none")]
+    fields += [(k, v) for k, v in extra if _clean(v)]
+    records = [("metadata", derived_id(name, "metadata"), "application/warc-fields", "".join(f"{k}: {_clean(v)}{CRLF}" for k, v in fields))]
+    if readable:
+        records.append(("conversion", conversion, "text/plain", text))
     out = []
-    for what, record_id, mime, body in (
-        ("metadata", derived_id(source["record_id"], "metadata"), "application/warc-fields", "".join(f"{k}: {_clean(v)}{CRLF}" for k, v in fields if _clean(v))),
-        ("conversion", conversion, "text/plain", text),
-    ):
+    for what, record_id, mime, body in records:
         raw = body.encode("utf-8", "replace")
-        headers = {"WARC-Type": what, "WARC-Record-ID": record_id, "WARC-Date": source["warc_date"] or NO_DATE, "WARC-Refers-To": source["record_id"]}
+        headers = {"WARC-Type": what, "WARC-Record-ID": record_id, "WARC-Date": source["warc_date"] or NO_DATE}
+        if source["record_id"] is not None:
+            headers["WARC-Refers-To"] = source["record_id"]
         if source["target_uri"] is not None:
             headers |= {"WARC-Target-URI": _clean(source["target_uri"]), "WARC-Refers-To-Target-URI": _clean(source["target_uri"])}
         headers |= {"WARC-Refers-To-Date": source["warc_date"] or NO_DATE, "WARC-Source-Payload-Digest": payload_digest, "WARC-Block-Digest": digest(raw), "Content-Type": mime, "Content-Length": str(len(raw))}
@@ -205,8 +296,10 @@ def responses(pages: DataFrame, url_col: str = "url", html_col: str = "html", ke
 
 
 def build_derivatives(source: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """Two records for each response; ``carry`` names columns of ``source`` to keep."""
+    """A metadata record, and for text a conversion record, for each response; ``carry`` names columns of ``source`` to keep."""
     ship(source.sparkSession)
+    if "warc_type" in source.columns:
+        source = source.where("warc_type IS NULL OR lower(warc_type) = 'response'")
     needed = ["record_id", "target_uri", "warc_date", "block", "payload_digest"]
     carry = [c for c in carry if c.lower() not in NAMES]
     df = source.select(*needed, *quoted(carry))
@@ -218,9 +311,10 @@ def build_derivatives(source: DataFrame, carry: Sequence[str] = ()) -> DataFrame
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                records = [r for row in part.select(needed).to_pylist() for r in derive(row)]
-                twice = pa.array([k // 2 for k in range(2 * part.num_rows)], pa.int64())
-                rest = [part.column(len(needed) + k).take(twice) for k in range(len(carry))]
+                made_of = [derive(row) for row in part.select(needed).to_pylist()]
+                records = [r for rs in made_of for r in rs]
+                owner = pa.array([k for k, rs in enumerate(made_of) for _ in rs], pa.int64())
+                rest = [part.column(len(needed) + k).take(owner) for k in range(len(carry))]
                 cols = [pa.array([list(r[n].items()) if n == "headers" else r[n] for r in records], t) for n, t in zip(NAMES, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*rest, *cols], [f.name for f in schema])
 
@@ -238,39 +332,64 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None
     records.select(record_text().alias("value")).write.option("lineSep", CRLF * 2).option("compression", compression).text(path)
 
 
-def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """``(headers, block)`` of each record of a file (gzip of the whole or of each record, or plain)."""
+def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """``(headers, block, error)`` of each record of a file (gzip of the whole or of each record, or plain)."""
+    broken = None
     if raw[:2] == b"\x1f\x8b":
         parts = []
-        while raw:
-            d = zlib.decompressobj(31)
-            parts.append(d.decompress(raw))
-            raw = d.unused_data
+        try:
+            parts.extend(_gunzipped(raw))
+        except zlib.error as e:
+            # What came before the fault is read; members are taken one by one, so nothing of them is lost.
+            parts, rest = [], raw
+            while rest[:2] == b"\x1f\x8b":
+                d = zlib.decompressobj(31)
+                try:
+                    parts.append(d.decompress(rest))
+                except zlib.error:
+                    break
+                rest = d.unused_data
+            broken = str(e)
         raw = b"".join(parts)
     at = 0
     while (at := raw.find(b"WARC/", at)) >= 0:
-        end = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:end].decode("utf-8", "replace").split(CRLF)[1:]
-        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers.get("Content-Length", 0))
-        yield headers, raw[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        end = raw.find(b"\r\n\r\n", at)
+        head = raw[at : end if end >= 0 else None]
+        lines = head.decode("utf-8", "replace").split(CRLF)[1:]
+        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines) if k.strip()}
+        if end < 0:
+            yield headers, b"", broken or "header without end"
+            return
+        length = next((v for k, v in headers.items() if k.lower() == "content-length"), "0")
+        if not (length.isascii() and length.isdigit()):
+            yield headers, b"", f"content length {length!r}"
+            at = end + 4
+            # The next record begins a line.
+            following = raw.find(b"\r\nWARC/", end)
+            at = following + 2 if following >= 0 else len(raw)
+            continue
+        block = raw[end + 4 : end + 4 + int(length)]
+        yield headers, block, None if len(block) == int(length) else (broken or "block cut off")
+        at = end + 4 + int(length)
+    if broken and not raw:
+        yield {}, b"", broken
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """``(headers, block)`` and the columns of a response for every record of WARC files."""
+    """``(headers, block, error)`` and the columns of a response for every record of WARC files."""
     ship(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
-    schema = "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, payload_digest string, headers map<string,string>, block binary"
-    fields = ["WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "WARC-Payload-Digest"]
+    schema = "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, payload_digest string, headers map<string,string>, block binary, error string"
+    fields = ["warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "warc-payload-digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
             for content in batch.column(0):
-                for headers, block in parse_warc(content.as_py()):
-                    cols = [pa.array([headers.get(f)], pa.string()) for f in fields]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary())], names)
+                for headers, block, error in parse_warc(content.as_py()):
+                    by_name = {k.lower(): v for k, v in headers.items()}
+                    cols = [pa.array([by_name.get(f)], pa.string()) for f in fields]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary()), pa.array([error], pa.string())], names)
 
     return files.mapInArrow(run, schema)
 
