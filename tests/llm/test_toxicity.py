@@ -49,7 +49,7 @@ def test_stems_generalise_and_both_paths_agree(spark, corpus):
     known = {r.doc_id: r.toxic for r in labels.collect()}
     one = {r.id: r.score for r in X.score_toxicity(docs, labels).collect()}
     two = {r.id: r.score for r in X.score_toxicity(docs, labels, limit=0).collect()}
-    assert one == pytest.approx(two, abs=1e-6)
+    assert one == two
     assert all((s >= 0.5) == bool(known[i]) for i, s in one.items())
 
 
@@ -60,6 +60,24 @@ def test_held_out_labels_are_not_used(spark, corpus):
     assert a == b
 
 
+def test_cross_fit_looks_at_no_held_out_label(spark, corpus):
+    docs, labels = corpus
+    held = X.remainder(F.col("doc_id")) == 0
+    turned = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one, two = (X.cross_fit(docs, x, [20.0], [1.5, 3.0]) for x in (labels, turned))
+    assert one == two and set(one) == {(20.0, 1.5), (20.0, 3.0)} and all(0 <= v < 0.7 for v in one.values())
+
+
+def test_words_of_every_labelled_remainder_count(spark, corpus):
+    """A toxic stem met in remainder 1 alone is known."""
+    docs, labels = corpus
+    rows = [(1000 + i, "stone river blarg blarg blarg") for i in range(200)]
+    ones = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 1]
+    more = docs.unionAll(spark.createDataFrame([*ones, (5000, "stone river blarg blarg blarg")], docs.schema))
+    known = labels.unionAll(spark.createDataFrame([(i, 1) for i, _ in ones], labels.schema))
+    assert {r.id: r.score for r in X.score_toxicity(more, known).collect()}[5000] >= 0.5
+
+
 def test_model_equals_brute_force(spark):
     texts = [("the cat sat", 0), ("the hat", 0), ("bad hat", 1), ("bad bat", 1), (None, 1), ("", 0)]
     n = (Counter(), Counter())
@@ -88,16 +106,16 @@ def test_model_equals_brute_force(spark):
         return math.log((max(n[k][gram] - X.DISCOUNT, 0) + (X.STRENGTH + X.DISCOUNT * len(mine)) * pooled) / (own + X.STRENGTH))
 
     X.ship(spark)
-    got = {r.gram: r.llr for r in X.model(spark.createDataFrame(texts, "text string, toxic int")).collect()}
+    got = {r.gram: r.llr / X.UNIT for r in X.model(spark.createDataFrame(texts, "text string, toxic int")).collect()}
     assert {g for g in got if len(g) == 5} == seen
     for g in seen:
-        assert got[g] == pytest.approx(log_p(g, 1) - log_p(g, 0))
+        assert got[g] == pytest.approx(log_p(g, 1) - log_p(g, 0), abs=1e-6)
     by = defaultdict(list)
     for g in seen:
         by[g[:4]].append(g)
     for h, gs in by.items():
         left = [(X.STRENGTH + X.DISCOUNT * sum(n[k][g] > 0 for g in gs)) / (sum(n[k][g] for g in gs) + X.STRENGTH) for k in (0, 1)]
-        assert got[h] == pytest.approx(math.log(left[1] / left[0]))
+        assert got[h] == pytest.approx(math.log(left[1] / left[0]), abs=1e-6)
 
 
 def test_hostile(spark):

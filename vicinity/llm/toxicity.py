@@ -21,12 +21,15 @@ curve over these turns them into a score from 0 to 1. Where neither class has
 seen a gram, the shared part cancels, so scoring needs one number per seen
 gram and one per seen context.
 
-Labels are used only where ``crc32(id as text) mod 5`` is not 0: remainders 2
-to 4 give the counts, remainder 1 (a bounded sample, ``FIT_ROWS``) the curve.
-All labelled texts of these remainders are counted, over all their words.
+Labels are used only where ``crc32(id as text) mod 5`` is not 0. All labelled
+texts of remainders 1 to 4 are counted, over all their words. The curve is fitted on a
+bounded sample (``FIT_ROWS``) of remainder 1, with the values that a model of
+remainders 2 to 4 gives it. ``STRENGTH`` and ``HIGH`` come from ``cross_fit``, which
+uses remainders 1 to 4 only.
 
+A gram's value is a whole number of millionths, so the sums are exact in any order.
 The scores are broadcast to the tasks if their counted size allows;
-otherwise the words of the texts are joined with them. Both give the same.
+otherwise the words of the texts are joined with them. Both give equal results.
 
 Edge cases: a null or empty text has value 0 (its score is the curve there);
 without labelled texts of both classes every score is the share of toxic
@@ -52,9 +55,11 @@ from vicinity.session import materialize
 from vicinity.sources.points import read_table
 
 ORDER, DISCOUNT, STRENGTH, HIGH = 5, 0.75, 20.0, 1.5
+#: Values of grams and words are whole numbers of this part.
+UNIT = 1_000_000
 #: Rows that the logistic curve is fitted on at most.
 FIT_ROWS = 20_000
-#: Scores (12 bytes each) that are broadcast at most; more are joined.
+#: Scores (16 bytes each) that are broadcast at most; more are joined.
 BROADCAST_SCORES = 2_000_000
 CACHE_WORDS, FLUSH_WORDS = 100_000, 150_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -99,8 +104,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def model(texts: DataFrame) -> DataFrame:
-    """``(gram, llr)`` from ``(text, toxic)``: of every seen gram, and (one character shorter) of every seen context."""
+def model(texts: DataFrame, strength: float = STRENGTH) -> DataFrame:
+    """``(gram, llr)`` from ``(text, toxic)``, in parts of ``UNIT``: of every seen gram, and (one character shorter) of every seen context."""
     counted = texts.select("text", "toxic").mapInArrow(_count, "gram string, n0 long, n1 long")
     top = materialize(counted.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxicity-grams")
 
@@ -130,16 +135,16 @@ def model(texts: DataFrame) -> DataFrame:
 
     def left(k: int) -> Column:
         """Share of the context's mass that goes to the shared part."""
-        return (STRENGTH + DISCOUNT * F.col(f"kinds{k}")) / (F.col(f"all{k}") + STRENGTH)
+        return (strength + DISCOUNT * F.col(f"kinds{k}")) / (F.col(f"all{k}") + strength)
 
     def log_p(k: int) -> Column:
-        return F.log(F.greatest(F.col(f"n{k}") - DISCOUNT, F.lit(0.0)) / (F.col(f"all{k}") + STRENGTH) + left(k) * pooled)
+        return F.log(F.greatest(F.col(f"n{k}") - DISCOUNT, F.lit(0.0)) / (F.col(f"all{k}") + strength) + left(k) * pooled)
 
     def log_left(k: int) -> Column:
         return F.log(left(k))
 
     both = seen.select("gram", (log_p(1) - log_p(0)).alias("llr")).unionAll(context.select(F.col("h"), (log_left(1) - log_left(0))))
-    return materialize(both, "toxicity-scores")
+    return materialize(both.select("gram", F.round(F.col("llr") * UNIT).cast("long").alias("llr")), "toxicity-scores")
 
 
 def _hashes(codes: np.ndarray, width: int) -> np.ndarray:
@@ -157,16 +162,16 @@ class Scores:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.keys, self.values = keys, values
-        self.new: dict[str, float] = {}
-        self.old: dict[str, float] = {}
+        self.new: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
-            return np.zeros(len(h)), np.zeros(len(h), bool)
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
         at = np.searchsorted(self.keys, h)
         at[at == len(self.keys)] = 0
         there = self.keys[at] == h
-        return np.where(there, self.values[at], 0.0), there
+        return np.where(there, self.values[at], 0), there
 
     def learn(self, words: list[str]) -> None:
         """Log likelihood ratio of each word."""
@@ -177,11 +182,11 @@ class Scores:
         llr = np.where(seen, full, part)
         lens = np.array([len(w) for w in words]) + ORDER
         start = np.cumsum(lens) - lens
-        total = np.concatenate([[0.0], np.cumsum(np.append(llr, np.zeros(ORDER - 1)))])
+        total = np.concatenate([[0], np.cumsum(np.append(llr, np.zeros(ORDER - 1, np.int64)))])
         sums = total[start + lens - ORDER + 1] - total[start]
-        self.new.update(zip(words, np.round(sums, 9).tolist(), strict=True))
+        self.new.update(zip(words, sums.tolist(), strict=True))
 
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(self, texts: list[str | None], high: float = HIGH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sum of the words' ratios, sum of what they have beyond ``HIGH``, and number of words of each text."""
         found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
         if len(self.new) > CACHE_WORDS:
@@ -196,17 +201,17 @@ class Scores:
             self.learn(sorted(missing))
         get = self.new.__getitem__
         n = np.array([len(ws) for ws in found], np.int64)
-        values = np.fromiter((get(w) for ws in found for w in ws), float, int(n.sum()))
+        values = np.fromiter((get(w) for ws in found for w in ws), np.int64, int(n.sum()))
         first = np.concatenate([[0], np.cumsum(n)])
 
         def total(v: np.ndarray) -> np.ndarray:
-            # Text by text, so that a sum does not depend on the texts around it.
-            return np.array([v[a:b].sum() for a, b in zip(first, first[1:], strict=False)], float)
+            sums = np.concatenate([[0], np.cumsum(v)])
+            return (sums[first[1:]] - sums[first[:-1]]) / UNIT
 
-        return total(values), total(np.maximum(values - HIGH, 0)), n
+        return total(values), total(np.maximum(values - round(high * UNIT), 0)), n
 
 
-def ratios(docs: DataFrame, scores: DataFrame, carry: Sequence[str], text_col: str = "text", limit: int = BROADCAST_SCORES) -> DataFrame:
+def ratios(docs: DataFrame, scores: DataFrame, carry: Sequence[str], text_col: str = "text", limit: int = BROADCAST_SCORES, high: float = HIGH) -> DataFrame:
     """Columns ``carry`` with ``llr``, ``high`` (sums over the words) and ``n_words`` of every row."""
     spark = docs.sparkSession
     if scores.count() <= limit:
@@ -220,16 +225,16 @@ def ratios(docs: DataFrame, scores: DataFrame, carry: Sequence[str], text_col: s
             values.append(np.array([v for w, _, v in by_width if w == width]))
         keys, values = np.concatenate(keys), np.concatenate(values)
         order = np.argsort(keys)
-        sent = spark.sparkContext.broadcast((keys[order], values[order].astype(np.float32)))
+        sent = spark.sparkContext.broadcast((keys[order], values[order].astype(np.int64)))
 
         def score(texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
             s = _worker_scores(sent)
             for lo in range(0, len(texts), 256):
                 part = texts.slice(lo, 256).to_pylist()
-                yield lo, lo + len(part), [pa.array(x) for x in s.of(part)]
+                yield lo, lo + len(part), [pa.array(x) for x in s.of(part, high)]
 
         return map_texts(docs, text_col, "llr double, high double, n_words long", score, carry)
-    return _joined_ratios(docs, scores, carry, text_col)
+    return _joined_ratios(docs, scores, carry, text_col, high)
 
 
 _SCORES: dict[int, Scores] = {}
@@ -244,16 +249,16 @@ def _worker_scores(sent) -> Scores:
     return _SCORES[key]
 
 
-def _joined_ratios(docs: DataFrame, scores: DataFrame, carry: Sequence[str], text_col: str) -> DataFrame:
+def _joined_ratios(docs: DataFrame, scores: DataFrame, carry: Sequence[str], text_col: str, most: float) -> DataFrame:
     """The same by joins: words of texts, grams of distinct words, scores."""
     row = free_name(docs, "_row")
     tagged = materialize(docs.select(*quoted(list(dict.fromkeys([*carry, text_col]))), F.monotonically_increasing_id().alias(row)), "toxicity-input")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = Counter(LETTERS.findall((text or "").lower()))
-                yield pa.RecordBatch.from_arrays([pa.array([r] * len(c), pa.int64()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["row", "word", "n"])
+            per = [Counter(LETTERS.findall((text or "").lower())) for text in batch.column(1).to_pylist()]
+            own = [r for r, c in zip(batch.column(0).to_pylist(), per, strict=True) for _ in c]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([w for c in per for w in c], pa.string()), pa.array([n for c in per for n in c.values()], pa.int64())], ["row", "word", "n"])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,11 +268,11 @@ def _joined_ratios(docs: DataFrame, scores: DataFrame, carry: Sequence[str], tex
 
     used = materialize(tagged.select(F.col(row).alias("row"), F.col(quoted([text_col])[0]).cast("string")).mapInArrow(words, "row long, word string, n long"), "toxicity-words")
     parts = used.select("word").distinct().mapInArrow(grams, "word string, gram string").withColumn("h", F.expr(f"left(gram, {ORDER - 1})"))
-    s = scores.select("gram", F.col("llr").cast("float").cast("double").alias("llr"))
+    s = scores.select("gram", "llr")
     parts = parts.join(s, "gram", "left").join(s.select(F.col("gram").alias("h"), F.col("llr").alias("less")), "h", "left")
-    value = parts.groupBy("word").agg(F.round(F.sum(F.coalesce("llr", "less", F.lit(0.0))), 9).alias("value"))
+    value = parts.groupBy("word").agg(F.sum(F.coalesce("llr", "less", F.lit(0).cast("long"))).alias("value"))
     summed = used.join(value, "word").groupBy("row").agg(
-        F.sum(F.col("value") * F.col("n")).alias("llr"), F.sum(F.greatest(F.col("value") - HIGH, F.lit(0.0)) * F.col("n")).alias("high"), F.sum("n").alias("n_words")
+        (F.sum(F.col("value") * F.col("n")) / UNIT).alias("llr"), (F.sum(F.greatest(F.col("value") - round(most * UNIT), F.lit(0).cast("long")) * F.col("n")) / UNIT).alias("high"), F.sum("n").alias("n_words")
     )
     out = tagged.join(summed.withColumnRenamed("row", row), row, "left")
     return out.select(*quoted(carry), F.coalesce("llr", F.lit(0.0)).alias("llr"), F.coalesce("high", F.lit(0.0)).alias("high"), F.coalesce("n_words", F.lit(0).cast("long")).alias("n_words"))
@@ -298,19 +303,55 @@ def fit_curve(llr: np.ndarray, high: np.ndarray, n: np.ndarray, toxic: np.ndarra
     return np.round(w, 9).tolist()
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = BROADCAST_SCORES) -> DataFrame:
-    """``(id, held_out, score, predicted)`` for every row of ``docs``."""
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(id, text)`` of all rows, and ``(id, text, toxic, part)`` of the labelled ones outside the held-out part."""
     ship(docs.sparkSession)
     ident = F.col(quoted([id_col])[0])
     known = labels.select(ident.alias("id"), F.col(quoted([label_col])[0]).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
     known = known.where(remainder(F.col("id")) != 0).groupBy("id").agg(F.max("toxic").alias("toxic"))
     known = materialize(known.withColumn("part", remainder(F.col("id"))), "toxicity-labels")
     texts = docs.select(ident.alias("id"), F.col(quoted([text_col])[0]).cast("string").alias("text"))
-    labelled = texts.where(remainder(F.col("id")) != 0).join(small_or_shuffled(known, 24), "id")
-    scores = model(labelled.where("part >= 2").select("text", "toxic"))
-    sample = ratios(labelled.where("part = 1").select("text", "toxic", "id"), scores, ["toxic", "id"], limit=limit)
-    sample = sample.select("toxic", "llr", "high", "n_words", "id").orderBy(F.xxhash64("id"), "id", "llr", "n_words", "toxic").limit(FIT_ROWS).toPandas()
+    return texts, texts.where(remainder(F.col("id")) != 0).join(small_or_shuffled(known, 24), "id")
+
+
+def _sample(rows: DataFrame, scores: DataFrame, limit: int, high: float = HIGH):
+    """Values of a bounded sample of labelled rows, as a pandas frame."""
+    found = ratios(rows.select("text", "toxic", "id"), scores, ["toxic", "id"], limit=limit, high=high)
+    return found.select("toxic", "llr", "high", "n_words", "id").orderBy(F.xxhash64("id"), "id", "llr", "n_words", "toxic").limit(FIT_ROWS).toPandas()
+
+
+def cross_fit(docs: DataFrame, labels: DataFrame, strengths: Sequence[float], highs: Sequence[float], id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[tuple[float, float], float]:
+    """Mean log loss of every ``(strength, high)`` over remainders 1 to 4; the held-out fifth is not looked at.
+
+    Each remainder gets its values from a model of the other three, and its
+    scores from a curve that is fitted on the values of the other three.
+    """
+    _, labelled = _labelled(docs, labels, id_col, text_col, label_col)
+    labelled = materialize(labelled, "toxicity-labelled")
+    out = {}
+    for strength in strengths:
+        models = {part: model(labelled.where(F.col("part") != part).select("text", "toxic"), strength) for part in range(1, 5)}
+        for high in highs:
+            folds = {part: _sample(labelled.where(F.col("part") == part), scores, BROADCAST_SCORES, high) for part, scores in models.items()}
+            losses = []
+            for part, fold in folds.items():
+                rest = [np.concatenate([f[c].to_numpy(float) for k, f in folds.items() if k != part]) for c in ("llr", "high", "n_words", "toxic")]
+                w = np.array(fit_curve(*rest))
+                llr, most, n, toxic = (fold[c].to_numpy(float) for c in ("llr", "high", "n_words", "toxic"))
+                n = np.maximum(n, 1)
+                x = np.stack([*_features(llr, most, n, np.sqrt, lambda v: np.minimum(v, 3.0)), np.ones(len(n))], axis=1)
+                p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
+                losses.append(-np.log(np.where(toxic == 1, p, 1 - p)))
+            out[(strength, high)] = float(np.concatenate(losses).mean())
+    return out
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = BROADCAST_SCORES) -> DataFrame:
+    """``(id, held_out, score, predicted)`` for every row of ``docs``."""
+    texts, labelled = _labelled(docs, labels, id_col, text_col, label_col)
+    sample = _sample(labelled.where("part = 1"), model(labelled.where("part >= 2").select("text", "toxic")), limit)
     w = fit_curve(*(sample[c].to_numpy(float) for c in ("llr", "high", "n_words", "toxic")))
+    scores = model(labelled.select("text", "toxic"))
     out = ratios(texts, scores, ["id"], limit=limit)
     values = _features(F.col("llr"), F.col("high"), F.greatest(F.col("n_words"), F.lit(1)), F.sqrt, lambda v: F.least(v, F.lit(3.0)))
     value = sum((F.lit(a) * v for a, v in zip(w, values, strict=False)), F.lit(w[-1]))
