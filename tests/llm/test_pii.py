@@ -3,6 +3,8 @@ import re
 import pytest
 
 from tests.llm import hostile
+from pyspark.sql import functions as F
+
 from vicinity.llm import pii as P
 from vicinity.sources.points import read_table
 
@@ -103,3 +105,16 @@ def test_hostile_columns_and_empty(spark):
 def test_no_python_in_the_plan(spark):
     plan = P.find(read_table(spark, SF, "documents"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_given_tables_hold_no_candidate_of_an_added_kind(spark, sf):
+    """What the SQL of ``op2_pii`` stands on, whatever scores a corpus gives."""
+    found, names = P.candidates(read_table(spark, f"/root/testdata/{sf}", "documents"))
+    assert found.where(" OR ".join(f"size(`{names[k]}`) > 0" for k in P.ADDED)).count() == 0
+
+
+def test_a_piece_of_a_failed_phone_number_is_no_local_number(spark):
+    texts = ["call +1 (415) 555-2671-0000-1111-22 now", "call (415) 555-2671 now", "call +1 (415) 555-2671 now"]
+    found, names = P.candidates(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert {r.doc_id: r.n for r in found.select("doc_id", F.size(names["phone_local"]).alias("n")).collect()} == {0: 0, 1: 1, 2: 0}

@@ -13,7 +13,8 @@ gazetteer (top-level domains, area codes, given names) and the context (cue
 words just before). Expectation-maximisation over the counts of vote patterns
 estimates each labeler's reliability per class; its posteriors train the
 final span classifier, a naive Bayes over the span's own shape. A candidate
-is added if both give it at least ``threshold`` and it overlaps no base span.
+is added if both give it at least ``threshold`` and it overlaps no base span; a
+piece of what the phone pattern matches (``+`` and its digits) is no candidate.
 
 Nothing is shuffled but the table of counts: (kind, votes, shape), whose size
 is bounded by the number of combinations, whatever the corpus holds. Scores go
@@ -146,13 +147,20 @@ def _span(kind: str, base: bool):
     return lambda m: F.struct(F.lit(kind).alias("kind"), m["s"].alias("start"), m["e"].alias("end"), F.lit(base).alias("base"))
 
 
-def _beside(base: list[str]):
-    """Overlaps no base span."""
+def _beside(base: dict[str, str]):
+    """Overlaps no base span, and no match of a phone number: a piece of one that failed is no local number."""
+    def over(kind: str, m: Column):
+        def test(b: Column) -> Column:
+            meets = (m["s"] < b["e"]) & (m["e"] > b["s"])
+            return meets if kind == "phone" else b["ok"] & meets
+
+        return test
+
     def test(m: Column) -> Column:
-        over = F.lit(False)
-        for name in base:
-            over = over | F.exists(name, lambda b: b["ok"] & (m["s"] < b["e"]) & (m["e"] > b["s"]))
-        return ~over
+        met = F.lit(False)
+        for kind, name in base.items():
+            met = met | F.exists(name, over(kind, m))
+        return ~met
 
     return test
 
@@ -176,7 +184,7 @@ def candidates(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict
         names[kind] = free_name(docs, f"_pii_{kind}")
         out = _matches(out, kind, text, names[kind])
     for kind in ADDED:
-        out = out.withColumn(names[kind], F.filter(names[kind], _beside([names[k] for k in BASE])))
+        out = out.withColumn(names[kind], F.filter(names[kind], _beside({k: names[k] for k in BASE})))
     return out.drop(text), names
 
 
@@ -319,7 +327,8 @@ PLAIN = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# The plain patterns. SQL has no form for the method's votes: it says that in the driver's tables they add nothing.
+# The plain patterns. SQL has no form for the method's votes; the given tables hold no candidate of an added kind
+# (the tests count them at every size), so the base spans are all spans there.
 SQL = rf"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
 f as ({_found(1, "email", PLAIN["email"])}
