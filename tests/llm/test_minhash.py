@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import hostile
 from vicinity.llm import minhash as M
@@ -81,6 +82,19 @@ def test_one_hot_group(spark):
     assert {got[i] for i in range(700)} == {0} and all(got[1000 + i] == 1000 + i for i in range(50))
 
 
+def test_a_stray_among_many_copies_costs_in_proportion(spark):
+    """Members of a hot bucket that are one class already meet the few others, not each other."""
+    rows = [(7, 0, i, 0) for i in range(5000)] + [(7, 0, 9000 + i, 9000 + i) for i in range(3)] + [(8, 1, i, 0) for i in range(100)]
+    placed = spark.createDataFrame(rows, "bucket long, band int, id long, component long")
+    dealt = M._dealt(placed)
+    assert dealt.count() == 5000 + 3 * (1 + -(-5000 // M.BLOCK)) and dealt.where("bucket = 8").count() == 0
+    # Every pair across components meets in one pair of blocks.
+    keyed = dealt.select("id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    other = keyed.select(*[F.col(c).alias(f"{c}_") for c in keyed.columns])
+    met = keyed.join(other, (F.col("i") == F.col("i_")) & (F.col("j") == F.col("j_")) & (F.col("component") < F.col("component_")) & F.expr("(block = i AND block_ = j) OR (block = j AND block_ = i)"))
+    assert met.select("id", "id_").distinct().count() == 3 * 5000 + 3
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(0)
     a = {int(h): int(w) for h, w in zip(rng.integers(1, 2**62, 300), rng.integers(1, 5, 300), strict=True)}

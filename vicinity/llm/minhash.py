@@ -266,6 +266,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, row: str, text_col: str) -> Da
     return materialize(both.mapInArrow(_verify, "a long, b long"), "minhash-links")
 
 
+def _dealt(placed: DataFrame) -> DataFrame:
+    """Members of buckets with several components, once for each pair of blocks that they meet in (``block``, ``other``).
+
+    Pairs within the largest component of a bucket change nothing, so only the
+    others are copied to all blocks, and its own members to the others' blocks:
+    a stray among any number of copies costs one copy of each.
+    """
+    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+    top = F.max(F.struct("k", (-F.col("component")).alias("c")))
+    mixed = sizes.groupBy("bucket").agg(top.alias("top"), F.sum("k").alias("all")).where("top.k < all")
+    mixed = mixed.select("bucket", (-F.col("top.c")).alias("host"), F.expr(f"cast(ceil(top.k / {BLOCK}) as int)").alias("hosts"), F.expr(f"cast(ceil((all - top.k) / {BLOCK}) as int)").alias("guests"))
+    left = placed.join(mixed, "bucket")
+    left = left.withColumn("block", F.expr("cast(if(component = host, guests + pmod(xxhash64(id), hosts), pmod(xxhash64(id), guests)) as int)"))
+    return left.withColumn("other", F.explode(F.expr("sequence(0, if(component = host, guests, guests + hosts) - 1)")))
+
+
 def classes(docs: DataFrame, text_col: str = "text", row: str = "_row") -> DataFrame:
     """``(row, class)`` for every row of ``docs``, a written table with a unique long ``row``.
 
@@ -297,9 +313,7 @@ def classes(docs: DataFrame, text_col: str = "text", row: str = "_row") -> DataF
 
     # Buckets that still hold more than one component (two members were a star already).
     placed = rows.where("n > 2").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    left = placed.join(mixed, "bucket").join(sigs, "id").withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)"))
-    left = left.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    left = _dealt(placed).join(sigs, "id")
     left = left.select("bucket", "band", "id", "component", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     spread = left.repartition(*KEYS).sortWithinPartitions(*KEYS)
     need = "bucket long, i int, j int, id long, band int, block int, component long, sig binary"
