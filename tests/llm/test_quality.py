@@ -1,4 +1,5 @@
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -56,11 +57,22 @@ def test_cascade_goes_by_rejection_per_cost(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     order = [r.name for r in Q.plan_cascade(df, sample_rows=10_000)]
     assert order[0] == "bangs" and sorted(order) == sorted(r.name for r in Q.RULES)
-    # What rejects nothing follows, the cheapest first.
-    assert order[1] in ("dup_lines", "symbols") and order[-1] == "letter_words"
+    # What rejects nothing follows, the cheapest first: rules over counted statistics before those over bytes.
+    assert order[-1] == "letter_words"
     assert {(r.doc_id % 2, r.rejected_by) for r in Q.quality(df).collect()} == {(1, "bangs"), (0, None)}
 
 
+def test_a_slow_rule_moves_back(spark):
+    def slow(t):
+        time.sleep(0.05)
+        return t.stats["n_words"] % 2 == 0
+
+    quick = Q.Rule("quick", lambda t: t.stats["n_words"] % 2 == 0)
+    df = spark.createDataFrame([(i, " ".join(f"word{k}" for k in range(60 + i % 5))) for i in range(100)], "doc_id long, text string")
+    for rules in ((Q.Rule("slow", slow), quick), (quick, Q.Rule("slow", slow))):
+        assert [r.name for r in Q.plan_cascade(df, rules=rules, sample_rows=10_000)] == ["quick", "slow"]
+
+
 def test_verdict_does_not_depend_on_the_order(spark):
     df = read_table(spark, SF, "documents")
     kept = [sorted(r.doc_id for r in Q.quality(df, rules=rules).where("kept").collect()) for rules in (Q.RULES, Q.RULES[::-1])]
