@@ -15,6 +15,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vicinity.functions.vectors import as_array
 from vicinity.operators.cells import DEFAULT_BLOCK_ROWS, DEFAULT_MAX_CELLS, DEFAULT_SEED, CellIndex, build_index
@@ -28,13 +29,17 @@ from vicinity.operators.predict import (
     regress_predictions,
 )
 from vicinity.operators.search import SEARCH_MODES, knn_join
+from vicinity.operators.tree import TreeIndex, build_tree_index
 from vicinity.sources.points import ensure_id
 
+# "tree" is the pruned search over a centre tree.
+MODES = (*SEARCH_MODES, "tree")
+
 
 class _KNNParams(HasFeaturesCol, HasPredictionCol, HasSeed):
     k = Param(Params._dummy(), "k", "number of neighbours (>= 1)", typeConverter=TypeConverters.toInt)
     idCol = Param(Params._dummy(), "idCol", "unique row id column; added when missing", typeConverter=TypeConverters.toString)
-    search = Param(Params._dummy(), "search", "pruned | exact | single_cell", typeConverter=TypeConverters.toString)
+    search = Param(Params._dummy(), "search", "pruned | exact | single_cell | blocks | tree", typeConverter=TypeConverters.toString)
     maxCells = Param(Params._dummy(), "maxCells", "cap on k-means cells", typeConverter=TypeConverters.toInt)
     blockRows = Param(Params._dummy(), "blockRows", "points per join block", typeConverter=TypeConverters.toInt)
 
@@ -70,21 +75,30 @@ class _KNNParams(HasFeaturesCol, HasPredictionCol, HasSeed):
         k = self.getOrDefault(self.k)
         if k < 1:
             raise ValueError(f"k must be at least 1, got {k}")
-        if self.getOrDefault(self.search) not in SEARCH_MODES:
-            raise ValueError(f"search must be one of {SEARCH_MODES}")
+        if self.getOrDefault(self.search) not in MODES:
+            raise ValueError(f"search must be one of {MODES}")
+
+    def _mode(self) -> str:
+        search = self.getOrDefault(self.search)
+        return "pruned" if search == "tree" else search
 
-    def _build(self, dataset: DataFrame, label_col: str | None) -> CellIndex:
+    def _build(self, dataset: DataFrame, label_col: str | None) -> CellIndex | TreeIndex:
         """The index of the training rows; without ``idCol`` they are numbered, rows without a label are left out."""
         self._validate()
         search = self.getOrDefault(self.search)
         if label_col is not None:
             dataset = dataset.where(F.col(label_col).isNotNull())
+        if search == "tree":
+            return build_tree_index(
+                ensure_id(dataset, self.getOrDefault(self.idCol)), self.getOrDefault(self.idCol), self.getOrDefault(self.featuresCol), label_col,
+                seed=self.getOrDefault(self.seed), block_rows=self.getOrDefault(self.blockRows),
+            )
         return build_index(
             ensure_id(dataset, self.getOrDefault(self.idCol)),
             self.getOrDefault(self.idCol),
             self.getOrDefault(self.featuresCol),
             label_col,
-            centers={"exact": "single", "single_cell": "kmeans", "pruned": "auto"}[search],
+            centers={"exact": "single", "blocks": "single", "single_cell": "kmeans", "pruned": "auto"}[search],
             max_cells=self.getOrDefault(self.maxCells),
             seed=self.getOrDefault(self.seed),
             block_rows=self.getOrDefault(self.blockRows),
@@ -96,6 +110,20 @@ class _KNNModelBase(Model, _KNNParams):
         super().__init__()
         self.index = index
 
+    def _made(self) -> list[T.StructField]:
+        """The columns that ``transform`` appends."""
+        raise NotImplementedError
+
+    def transformSchema(self, schema: T.StructType) -> T.StructType:  # noqa: N802 (the name that Spark ML gives it)
+        """Schema of ``transform``'s result for a table of ``schema``, without a job."""
+        made = self._made()
+        clash = [f.name for f in made if f.name in schema.names]
+        if clash:
+            raise ValueError(f"output column(s) {clash} already exist")
+        if made and self.getOrDefault(self.featuresCol) not in schema.names:
+            raise ValueError(f"no column {self.getOrDefault(self.featuresCol)!r}")
+        return T.StructType([*schema.fields, *made])
+
     def _predict(self, dataset: DataFrame, predictions, output_cols: list[str]) -> DataFrame:
         """``dataset`` with ``output_cols`` of ``predictions(neighbours)`` after its own columns.
 
@@ -113,7 +141,7 @@ class _KNNModelBase(Model, _KNNParams):
             key = f"_{key}"
         ds = ensure_id(dataset, key)
         nn = knn_join(ds, self.index, self.getOrDefault(self.k), key, self.getOrDefault(self.featuresCol),
-                      search=self.getOrDefault(self.search))
+                      search=self._mode())
         return attach(ds, predictions(nn), key, output_cols).drop(key)
 
 
@@ -158,6 +186,10 @@ class KNNClassificationModel(_KNNModelBase, HasLabelCol):
         self._setDefault(labelCol="label", probabilityCol="", rawPredictionCol="")
         self.numClasses = num_classes
 
+    def _made(self) -> list[T.StructField]:
+        kinds = [(self.predictionCol, T.DoubleType()), (self.rawPredictionCol, T.ArrayType(T.DoubleType())), (self.probabilityCol, T.ArrayType(T.DoubleType()))]
+        return [T.StructField(self.getOrDefault(p), t) for p, t in kinds if self.getOrDefault(p)]
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         """Append the prediction, and votes and vote shares per class where their columns are named."""
         names = {"prediction": self.predictionCol, "raw": self.rawPredictionCol, "probability": self.probabilityCol}
@@ -202,6 +234,10 @@ class KNNRegressionModel(_KNNModelBase, HasLabelCol):
         super().__init__(index)
         self._setDefault(labelCol="label", exactMatch="mean", power=2.0)
 
+    def _made(self) -> list[T.StructField]:
+        name = self.getOrDefault(self.predictionCol)
+        return [T.StructField(name, T.DoubleType())] if name else []
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         pred_col = self.getOrDefault(self.predictionCol)
 
@@ -261,11 +297,15 @@ class KNNOutlierModel(_KNNModelBase):
     def getThreshold(self) -> int:
         return self.getOrDefault(self.threshold)
 
+    def _made(self) -> list[T.StructField]:
+        kinds = [(self.indegreeCol, T.LongType()), (self.predictionCol, T.DoubleType())]
+        return [T.StructField(self.getOrDefault(p), t) for p, t in kinds if self.getOrDefault(p)]
+
     def indegrees(self) -> DataFrame:
         """In-degree of every training point (``key="id"``) or distinct vector (``key="value"``)."""
         self._validate()
         return indegree(self.index, self.getOrDefault(self.k), key=self.getOrDefault(self.key),
-                        count_self=self.getOrDefault(self.countSelf), search=self.getOrDefault(self.search))
+                        count_self=self.getOrDefault(self.countSelf), search=self._mode())
 
     def detect(self) -> DataFrame:
         """Training points (or vectors) with in-degree at most ``threshold``. A pure function: call it as often as you like."""

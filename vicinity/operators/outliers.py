@@ -14,13 +14,14 @@ from pyspark.sql.window import Window
 
 from vicinity.operators.cells import CellIndex, build_index
 from vicinity.operators.search import knn_self_join
+from vicinity.operators.tree import TreeIndex, build_tree_index
 from vicinity.session import allow_group_limit, materialize
 
 KEYS = ("id", "value")
 
 
 def indegree(
-    index: CellIndex,
+    index: CellIndex | TreeIndex,
     k: int,
     key: str = "id",
     count_self: bool = False,
@@ -60,7 +61,7 @@ def indegree(
     )
 
 
-def _indegree_by_value(index: CellIndex, k: int, count_self: bool, search: str) -> DataFrame:
+def _indegree_by_value(index: CellIndex | TreeIndex, k: int, count_self: bool, search: str) -> DataFrame:
     """In-degree of distinct vectors, searched among distinct vectors.
 
     Rows of one vector have the same neighbours but for themselves, so each
@@ -81,8 +82,11 @@ def _indegree_by_value(index: CellIndex, k: int, count_self: bool, search: str)
     ids = few.groupBy("t_vec").agg(F.array_sort(F.collect_list("t_id")).alias("ids"))
     rows = pts.groupBy("t_vec").agg(F.count(F.lit(1)).alias("rows"), F.min("t_id").alias("id"))
     values = materialize(rows.join(ids, "t_vec"), "vector-values")
-    centers = [(c.cell, c.center) for c in index.cells]
-    distinct = build_index(values, "id", "t_vec", None, centers=centers, block_rows=index.block_rows)
+    if isinstance(index, TreeIndex):
+        distinct = build_tree_index(values, "id", "t_vec", None)
+    else:
+        centers = [(c.cell, c.center) for c in index.cells]
+        distinct = build_index(values, "id", "t_vec", None, centers=centers, block_rows=index.block_rows)
     # The vector itself comes first (distance 0), then up to ``places`` others.
     near = knn_self_join(distinct, places, count_self=True, search=search).select("q_id", "t_id", "d2")
     own = values.select(F.col("id").alias("q_id"), F.col("rows").alias("q_rows"))
