@@ -10,6 +10,14 @@ the next stage's ``docs``. All but the last return the columns of
 3. ``pii``: personal data is replaced by its kind, as in ``<EMAIL>``.
 4. ``mixing``: documents are repeated (the last copy cut) as the mix of sources takes them.
 5. ``bpe``: token ids, their count and digests, one row per document of the mix.
+
+Edge cases: a null or empty text has too few words, so ``quality`` drops it; a
+text without words that reaches a later stage is kept as it is by ``near_dedup``
+(a class of its own) and ``pii``, never taken by ``mixing`` (its size is 0), and
+encoded to no tokens by ``bpe``. Null ids, languages, sources and counts pass
+through; a null source is a source of its own. Of repeated rows one stays. Texts
+of any length are taken whole. Extra columns, whatever their names, go along to the last stage, which returns
+its own columns. An empty table gives empty tables.
 """
 
 from __future__ import annotations
