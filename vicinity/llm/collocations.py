@@ -397,8 +397,8 @@ def _sql() -> str:
         r"p as (select coalesce(lang, 'und') as lang, doc, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
         r"'[.,;:!?\x0A-\x0D]')) as piece from (select *, row_number() over () as doc from documents))",
         r"q as (select lang, row_number() over () as id, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p)",
-        "o as (select lang, id, unnest(range(1, len(ws) + 1)) as at, unnest(ws) as word from q where len(ws) > 0)",
-        f"x as (select lang, word as w0, {', '.join(lead)} from o window w as (partition by id order by at))",
+        "o as (select lang, id, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as word from q where len(ws) > 0)",
+        f"x as (select lang, word as w0, {', '.join(lead)} from o window w as (partition by id order by i))",
         "t as (select lang, count(*) as n from o group by lang)",
     ]
     for k in range(1, MAX_WORDS + 1):
