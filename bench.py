@@ -22,7 +22,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from vicinity import assemble, build_index, indegree, knn_join, read_table  # noqa: E402
+from vicinity import assemble, build_index, build_tree_index, indegree, knn_join, read_table  # noqa: E402
 from vicinity.plans import registry as R  # noqa: E402
 from vicinity.session import local_session  # noqa: E402
 
@@ -45,6 +45,8 @@ def lineitem_points(spark, sf):
 def lineitem_knn(spark, sf, search):
     pts = lineitem_points(spark, sf)
     queries = pts.where("id % 600 = 0")
+    if search == "tree":
+        return knn_join(queries, build_tree_index(pts), 10)
     index = build_index(pts, centers="kmeans" if search == "pruned" else "single")
     return knn_join(queries, index, 10, search=search)
 
@@ -59,6 +61,8 @@ def part_points(spark, sf):
 def part_knn(spark, sf, search):
     """part split into queries (p_partkey % 5 = 0) and training rows, k = 10, 2 wide."""
     pts = part_points(spark, sf)
+    if search == "tree":
+        return knn_join(pts.where("id % 5 = 0"), build_tree_index(pts.where("id % 5 <> 0")), 10)
     index = build_index(pts.where("id % 5 <> 0"), centers="kmeans" if search == "pruned" else "single")
     return knn_join(pts.where("id % 5 = 0"), index, 10, search=search)
 
@@ -87,6 +91,10 @@ HEADLINE = {
     "part_knn_pruned": lambda s, sf: part_knn(s, sf, "pruned"),
     "part_indegree_pruned": lambda s, sf: part_indegree(s, sf, "pruned"),
     "lineitem_knn_pruned": lambda s, sf: lineitem_knn(s, sf, "pruned"),
+    "part_knn_tree": lambda s, sf: part_knn(s, sf, "tree"),
+    "lineitem_knn_tree": lambda s, sf: lineitem_knn(s, sf, "tree"),
+    "part_knn_blocks": lambda s, sf: part_knn(s, sf, "blocks"),
+    "knn_join_blocks": lambda s, sf: R.q_knn_join_blocks(s, sf),
 }
 BASELINES = {
     "knn_join_exact": lambda s, sf: R.q_knn_join(s, sf),
