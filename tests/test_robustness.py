@@ -151,3 +151,9 @@ def test_class_count_metadata(spark):
 
 def test_read_libsvm_is_exported():
     assert callable(read_libsvm)
+
+
+def test_index_of_one_point(spark):
+    df = spark.createDataFrame([(7, [1.0, 2.0], 3.0)], "id long, features array<double>, label double")
+    index = build_index(df, centers="kmeans")
+    assert [tuple(r) for r in knn_join(df, index, 2).collect()] == [(7, 7, 3.0, 0.0, 1)]

@@ -14,6 +14,7 @@ from vicinity.operators.cells import (
     fit_centers,
     label_centers,
 )
+from vicinity.operators.graph import append_points, build_graph
 from vicinity.operators.outliers import indegree, indegree_summary, outlier_flags, outliers
 from vicinity.operators.predict import (
     attach,

@@ -276,7 +276,10 @@ def build_index(
     auto_single = isinstance(centers, str) and centers == "auto" and dim > AUTO_PRUNE_MAX_DIM
     if isinstance(centers, str) and centers == "auto":
         centers = "kmeans" if dim <= AUTO_PRUNE_MAX_DIM else "single"
-    if isinstance(centers, str) and centers == "kmeans":
+    if isinstance(centers, str) and centers == "kmeans" and n == 1:
+        # Spark's k-means fails on a single row.
+        center_list = [(0, tuple(float(x) for x in pts.first()["t_vec"]))]
+    elif isinstance(centers, str) and centers == "kmeans":
         center_list = fit_centers(pts, cell_count(n, max_cells), seed=seed, max_iter=max_iter)
     elif isinstance(centers, str) and centers == "single":
         center_list = [(0, tuple([0.0] * dim))]

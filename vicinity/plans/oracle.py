@@ -178,3 +178,5 @@ SQL.update({
         j AS (SELECT q.id AS q_id, t.id AS t_id, (q.a-t.a)*(q.a-t.a) + (q.b-t.b)*(q.b-t.b) AS d2 FROM p q, p t WHERE q.id <> t.id)
         SELECT * FROM (SELECT q_id, t_id, round(d2, 6) AS d2, row_number() OVER (PARTITION BY q_id ORDER BY d2, t_id) AS rank FROM j) WHERE rank <= {K}""",
 })
+SQL["part_self_join_append"] = SQL["part_self_join"]
+SQL["knn_indegree_append"] = SQL["knn_indegree"]

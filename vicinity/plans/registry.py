@@ -20,6 +20,7 @@ from vicinity.functions.sparse import sparse_norm, sparse_sqdist
 from vicinity.functions.vectors import fast_sqdist, norm, sqdist, sqdist_sql
 from vicinity.ml import KNNClassifier, KNNOutlierDetector, KNNRegressor
 from vicinity.operators.cells import build_index, cell_count_col, centers_sql, label_centers
+from vicinity.operators.graph import append_points, build_graph
 from vicinity.operators.outliers import indegree, indegree_summary, outlier_flags, outliers
 from vicinity.operators.predict import (
     attach,
@@ -205,6 +206,24 @@ def q_part_self_join(spark, sf):
     return knn_self_join(index, K).select("q_id", "t_id", _r("d2"), "rank")
 
 
+def q_part_self_join_append(spark, sf):
+    """The lists of ``part_self_join``, kept up while two batches of parts are appended."""
+    pts = _part_points(spark, sf)
+    graph = build_graph(pts.where("p_partkey % 5 > 1"), K, "p_partkey", "features", seed=SEED)
+    for batch in (0, 1):
+        graph = append_points(graph, pts.where(f"p_partkey % 5 = {batch}"), "p_partkey", "features")
+    return graph.neighbours().select("q_id", "t_id", _r("d2"), "rank")
+
+
+def q_knn_indegree_append(spark, sf):
+    """The in-degrees of ``knn_indegree``, kept up while two batches of vectors are appended."""
+    emb = _emb(spark, sf)
+    graph = build_graph(emb.where("vec_id % 5 > 1"), K_SELF, "vec_id", "embedding", seed=SEED)
+    for batch in (0, 1):
+        graph = append_points(graph, emb.where(f"vec_id % 5 = {batch}"), "vec_id", "embedding")
+    return graph.indegrees().select("id", "indegree")
+
+
 def q_knn_self_join(spark, sf):
     index = build_index(_emb(spark, sf), "vec_id", "embedding", "label", centers="kmeans", seed=SEED)
     return knn_self_join(index, K_SELF).select("q_id", "t_id", _r("d2"), "rank")
@@ -463,4 +482,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tree_knn_join": q_tree_knn_join,
     "tree_cells": q_tree_cells,
     "part_self_join": q_part_self_join,
+    "part_self_join_append": q_part_self_join_append,
+    "knn_indegree_append": q_knn_indegree_append,
 }
