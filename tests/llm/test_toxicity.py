@@ -127,3 +127,19 @@ def test_hostile(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in X.score_toxicity(docs, none).collect()} == {0.5}
     assert X.score_toxicity(hostile.empty(spark), labels).collect() == []
+
+
+def test_both_models_come_out_of_the_same_jobs(spark, corpus):
+    """Scoring took 89 jobs of 159 stages, and the driver kept the plans of all of them."""
+    docs, labels = corpus
+    spark.sparkContext.setJobGroup("toxicity-jobs", "jobs of one scoring")
+    try:
+        X.score_toxicity(docs, labels)
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("toxicity-jobs")) <= 65
+    texts = docs.join(labels, "doc_id").withColumn("fold", (F.col("doc_id") % 3 != 0).cast("int"))
+    both = X._models(texts, X.STRENGTH, 2)
+    for m in (0, 1):
+        alone = X.model(texts.where(F.col("fold") >= m).select("text", F.col("toxic").cast("int").alias("toxic")))
+        assert {(r.gram, r.llr) for r in X._scores_of(both, m).collect()} == {(r.gram, r.llr) for r in alone.collect()}

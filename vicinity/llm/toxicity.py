@@ -81,70 +81,90 @@ def _grams(words: Sequence[str], width: int) -> list[str]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Top-order grams with their number per class, summed over the words of many texts."""
-    seen = (Counter(), Counter())
+    """Top-order grams with their number per fold and class, summed over the words of many texts."""
+    seen = [Counter() for _ in range(4)]
 
     def flush() -> pa.RecordBatch:
-        grams = (Counter(), Counter())
-        for c in (0, 1):
-            for word, n in seen[c].items():
+        grams = [Counter() for _ in seen]
+        for own, words in zip(grams, seen, strict=True):
+            for word, n in words.items():
                 s = PAD * (ORDER - 1) + word + END
                 for i in range(len(s) - ORDER + 1):
-                    grams[c][s[i : i + ORDER]] += n
-            seen[c].clear()
-        keys = list(grams[0].keys() | grams[1].keys())
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([grams[c][k] for k in keys], pa.int64()) for c in (0, 1))], ["gram", "n0", "n1"])
+                    own[s[i : i + ORDER]] += n
+            words.clear()
+        keys = list(set().union(*grams))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([own[k] for k in keys], pa.int64()) for own in grams)], ["gram", "f0c0", "f0c1", "f1c0", "f1c1"])
 
     for batch in batches:
-        toxic = batch.column(1).to_pylist()
-        for text, label in zip(batch.column(0).to_pylist(), toxic, strict=True):
-            seen[label].update(LETTERS.findall((text or "").lower()))
-            if len(seen[0]) + len(seen[1]) > FLUSH_WORDS:
+        for text, label, fold in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            seen[2 * fold + label].update(LETTERS.findall((text or "").lower()))
+            if sum(map(len, seen)) > FLUSH_WORDS:
                 yield flush()
     yield flush()
 
 
-def model(texts: DataFrame, strength: float = STRENGTH) -> DataFrame:
-    """``(gram, llr)`` from ``(text, toxic)``, in parts of ``UNIT``: of every seen gram, and (one character shorter) of every seen context."""
-    counted = texts.select("text", "toxic").mapInArrow(_count, "gram string, n0 long, n1 long")
-    top = materialize(counted.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxicity-grams")
+def _models(texts: DataFrame, strength: float, n_models: int) -> DataFrame:
+    """``(gram, llr0, llr1)`` from ``(text, toxic, fold)``: of all rows, and (if ``n_models`` is 2) of those of fold 1.
+
+    Both models come out of the same jobs; what a model has not seen is null. Every order is written
+    before the next one reads it, so no plan holds more than one order's joins.
+    """
+    models = range(n_models)
+    counted = texts.select("text", F.col("toxic").cast("int"), F.col("fold").cast("int")).mapInArrow(_count, "gram string, f0c0 long, f0c1 long, f1c0 long, f1c1 long")
+    counts = [[F.sum(F.col(f"f0c{k}") + F.col(f"f1c{k}")).alias(f"n{k}_0") for k in (0, 1)], [F.sum(f"f1c{k}").alias(f"n{k}_1") for k in (0, 1)]]
+    top = materialize(counted.groupBy("gram").agg(*[c for m in models for c in counts[m]]), "toxicity-grams")
 
-    # Shared lower orders, from the shortest up: P(c | h) over continuation counts.
-    types = [top.select("gram")]
+    def kinds(m: int) -> Column:
+        return F.count(F.when(F.col(f"n_{m}") > 0, 1))
+
+    # Shared lower orders: continuation counts from the longest down, then P(c | h) from the shortest up.
+    types = [top.select("gram", *[(F.col(f"n0_{m}") + F.col(f"n1_{m}")).alias(f"n_{m}") for m in models])]
     for _ in range(ORDER - 1):
-        types.append(types[-1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n")).select("gram", "n"))
+        types.append(materialize(types[-1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(*[kinds(m).alias(f"n_{m}") for m in models]), "toxicity-types"))
     prob = None
     for grams in reversed(types[1:]):
         grams = grams.withColumn("h", F.expr("left(gram, char_length(gram) - 1)"))
-        context = grams.groupBy("h").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
+        context = grams.groupBy("h").agg(*[F.sum(f"n_{m}").alias(f"all_{m}") for m in models], *[kinds(m).alias(f"kinds_{m}") for m in models])
         grams = grams.join(context, "h")
         if prob is None:
             # Shortest: an even share for what was never seen (as many characters as were, and one).
-            lower = F.lit(1.0) / (F.col("kinds") + 1)
+            lower = [F.lit(1.0) / (F.col(f"kinds_{m}") + 1) for m in models]
         else:
-            grams = grams.withColumn("short", F.expr("substring(gram, 2)")).join(prob.select(F.col("gram").alias("short"), F.col("p").alias("lower")), "short")
-            lower = F.col("lower")
-        prob = grams.select("gram", ((F.col("n") - DISCOUNT + DISCOUNT * F.col("kinds") * lower) / F.col("all")).alias("p"))
-    prob = materialize(prob, "toxicity-shared")
+            grams = grams.withColumn("short", F.expr("substring(gram, 2)")).join(prob.select(F.col("gram").alias("short"), *[F.col(f"p_{m}").alias(f"lower_{m}") for m in models]), "short")
+            lower = [F.col(f"lower_{m}") for m in models]
+        share = [F.when(F.col(f"n_{m}") > 0, (F.col(f"n_{m}") - DISCOUNT + DISCOUNT * F.col(f"kinds_{m}") * lower[m]) / F.col(f"all_{m}")).alias(f"p_{m}") for m in models]
+        prob = materialize(grams.select("gram", *share), "toxicity-shared")
 
     seen = top.withColumn("h", F.expr(f"left(gram, {ORDER - 1})"))
-    sums = [F.sum(f"n{k}").alias(f"all{k}") for k in (0, 1)] + [F.sum(F.when(F.col(f"n{k}") > 0, 1).otherwise(0)).alias(f"kinds{k}") for k in (0, 1)]
-    context = materialize(seen.groupBy("h").agg(*sums, F.count(F.lit(1)).alias("kinds")), "toxicity-contexts")
-    seen = seen.join(context, "h").withColumn("short", F.expr("substring(gram, 2)")).join(prob.select(F.col("gram").alias("short"), "p"), "short")
-    pooled = (F.col("n0") + F.col("n1") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("p")) / (F.col("all0") + F.col("all1"))
+    sums = [F.sum(f"n{k}_{m}").alias(f"all{k}_{m}") for m in models for k in (0, 1)] + [F.sum(F.when(F.col(f"n{k}_{m}") > 0, 1).otherwise(0)).alias(f"kinds{k}_{m}") for m in models for k in (0, 1)]
+    either = [F.count(F.when(F.col(f"n0_{m}") + F.col(f"n1_{m}") > 0, 1)).alias(f"kinds_{m}") for m in models]
+    context = materialize(seen.groupBy("h").agg(*sums, *either), "toxicity-contexts")
+    seen = seen.join(context, "h").withColumn("short", F.expr("substring(gram, 2)")).join(prob.withColumnRenamed("gram", "short"), "short")
 
-    def left(k: int) -> Column:
+    def left(k: int, m: int) -> Column:
         """Share of the context's mass that goes to the shared part."""
-        return (strength + DISCOUNT * F.col(f"kinds{k}")) / (F.col(f"all{k}") + strength)
+        return (strength + DISCOUNT * F.col(f"kinds{k}_{m}")) / (F.col(f"all{k}_{m}") + strength)
+
+    def log_p(k: int, m: int) -> Column:
+        pooled = (F.col(f"n0_{m}") + F.col(f"n1_{m}") - DISCOUNT + DISCOUNT * F.col(f"kinds_{m}") * F.col(f"p_{m}")) / (F.col(f"all0_{m}") + F.col(f"all1_{m}"))
+        return F.log(F.greatest(F.col(f"n{k}_{m}") - DISCOUNT, F.lit(0.0)) / (F.col(f"all{k}_{m}") + strength) + left(k, m) * pooled)
+
+    def value(there: Column, llr: Column, m: int) -> Column:
+        return F.when(there, F.round(llr * UNIT).cast("long")).alias(f"llr{m}")
+
+    full = [value(F.col(f"n0_{m}") + F.col(f"n1_{m}") > 0, log_p(1, m) - log_p(0, m), m) for m in models]
+    part = [value(F.col(f"kinds_{m}") > 0, F.log(left(1, m)) - F.log(left(0, m)), m) for m in models]
+    return materialize(seen.select("gram", *full).unionAll(context.select(F.col("h").alias("gram"), *part)), "toxicity-scores")
 
-    def log_p(k: int) -> Column:
-        return F.log(F.greatest(F.col(f"n{k}") - DISCOUNT, F.lit(0.0)) / (F.col(f"all{k}") + strength) + left(k) * pooled)
 
-    def log_left(k: int) -> Column:
-        return F.log(left(k))
+def _scores_of(models: DataFrame, m: int) -> DataFrame:
+    """``(gram, llr)`` of one of the models."""
+    return models.select("gram", F.col(f"llr{m}").alias("llr")).where("llr is not null")
 
-    both = seen.select("gram", (log_p(1) - log_p(0)).alias("llr")).unionAll(context.select(F.col("h"), (log_left(1) - log_left(0))))
-    return materialize(both.select("gram", F.round(F.col("llr") * UNIT).cast("long").alias("llr")), "toxicity-scores")
+
+def model(texts: DataFrame, strength: float = STRENGTH) -> DataFrame:
+    """``(gram, llr)`` from ``(text, toxic)``, in parts of ``UNIT``: of every seen gram, and (one character shorter) of every seen context."""
+    return _scores_of(_models(texts.select("text", "toxic", F.lit(0).alias("fold")), strength, 1), 0)
 
 
 def _hashes(codes: np.ndarray, width: int) -> np.ndarray:
@@ -211,19 +231,25 @@ class Scores:
         return total(values), total(np.maximum(values - round(high * UNIT), 0)), n
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores ``(gram, llr)`` with the hashes of the grams in their place."""
+    for batch in batches:
+        grams = batch.column(0).to_pylist()
+        keys = np.zeros(len(grams), _U)
+        for width in (ORDER - 1, ORDER):
+            own = [i for i, g in enumerate(grams) if len(g) == width]
+            if own:
+                codes = np.frombuffer("".join([grams[i] for i in own]).encode("utf-32-le"), np.uint32)
+                keys[own] = _hashes(codes, width)[::width]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(1)], ["key", "llr"])
+
+
 def ratios(docs: DataFrame, scores: DataFrame, carry: Sequence[str], text_col: str = "text", limit: int = BROADCAST_SCORES, high: float = HIGH) -> DataFrame:
     """Columns ``carry`` with ``llr``, ``high`` (sums over the words) and ``n_words`` of every row."""
     spark = docs.sparkSession
     if scores.count() <= limit:
-        table = scores.toPandas()
-        by_width = [(len(g), g, v) for g, v in zip(table["gram"], table["llr"], strict=True)]
-        keys, values = [], []
-        for width in (ORDER - 1, ORDER):
-            grams = [g for w, g, _ in by_width if w == width]
-            codes = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32)
-            keys.append(_hashes(codes, width)[::width] if grams else np.empty(0, _U))
-            values.append(np.array([v for w, _, v in by_width if w == width]))
-        keys, values = np.concatenate(keys), np.concatenate(values)
+        table = scores.select("gram", "llr").mapInArrow(_hashed, "key long, llr long").toArrow()
+        keys, values = table["key"].to_numpy().view(_U), table["llr"].to_numpy()
         order = np.argsort(keys)
         sent = spark.sparkContext.broadcast((keys[order], values[order].astype(np.int64)))
 
@@ -349,9 +375,10 @@ def cross_fit(docs: DataFrame, labels: DataFrame, strengths: Sequence[float], hi
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = BROADCAST_SCORES) -> DataFrame:
     """``(id, held_out, score, predicted)`` for every row of ``docs``."""
     texts, labelled = _labelled(docs, labels, id_col, text_col, label_col)
-    sample = _sample(labelled.where("part = 1"), model(labelled.where("part >= 2").select("text", "toxic")), limit)
+    models = _models(labelled.withColumn("fold", (F.col("part") >= 2).cast("int")), STRENGTH, 2)
+    sample = _sample(labelled.where("part = 1"), _scores_of(models, 1), limit)
     w = fit_curve(*(sample[c].to_numpy(float) for c in ("llr", "high", "n_words", "toxic")))
-    scores = model(labelled.select("text", "toxic"))
+    scores = _scores_of(models, 0)
     out = ratios(texts, scores, ["id"], limit=limit)
     values = _features(F.col("llr"), F.col("high"), F.greatest(F.col("n_words"), F.lit(1)), F.sqrt, lambda v: F.least(v, F.lit(3.0)))
     value = sum((F.lit(a) * v for a, v in zip(w, values, strict=False)), F.lit(w[-1]))
