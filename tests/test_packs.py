@@ -88,3 +88,20 @@ def test_copies_do_not_swamp_a_list(spark):
     base = spark.range(3_000).select(F.col("id"), F.when(F.col("id") < 2_900, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.col("id") * 1.0, F.lit(0.0))).alias("vec"))
     kept = P._first_copies(base, 5)
     assert kept.count() == 105 and [r.id for r in kept.where("id < 2900").orderBy("id").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_few_queries_are_not_dealt_over_files_that_all_points_are_read_for():
+    """26,000 queries among 104,000 points were 48 files of 542 queries, each read with all points."""
+    q_files, t_files = P._files(26_000, 16_384, 104_000, 8 * 64 + 32, 48)
+    assert 26_000 // q_files >= P.FILE_QUERIES and q_files * t_files >= 48
+    assert P._files(500, 16_384, 104_000, 544, 48)[0] == 1
+    assert P._files(10**6, 16_384, 100, 544, 48)[0] * 16_384 >= 10**6  # a file of queries holds one packed row
+    assert P._files(10, 10, 10**9, 544, 1)[1] * P.FILE_BYTES >= 544 * 10**9
+
+
+def test_places_of_true_values():
+    rng = np.random.default_rng(5)
+    for rows, cols in ((1, 1), (3, 5), (16, 64), (33, 41), (1, 7), (5, 0)):
+        for share in (0.0, 0.001, 0.05, 0.9, 1.0):
+            mask = rng.random((rows, cols)) < share
+            assert P._true(mask).tolist() == np.flatnonzero(mask).tolist()
