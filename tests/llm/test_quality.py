@@ -77,3 +77,21 @@ def test_verdict_does_not_depend_on_the_order(spark):
     df = read_table(spark, SF, "documents")
     kept = [sorted(r.doc_id for r in Q.quality(df, rules=rules).where("kept").collect()) for rules in (Q.RULES, Q.RULES[::-1])]
     assert kept[0] == kept[1]
+
+
+def test_one_slow_run_does_not_move_a_rule_back(spark):
+    runs = []
+
+    def hiccup(t):
+        runs.append(1)
+        if len(runs) == 1:
+            time.sleep(0.2)
+        return t.stats["n_words"] % 2 == 0
+
+    def steady(t):
+        time.sleep(0.02)
+        return t.stats["n_words"] % 2 == 0
+
+    df = spark.createDataFrame([(i, "word " * (60 + i % 2)) for i in range(50)], "doc_id long, text string").coalesce(1)
+    rules = (Q.Rule("steady", steady), Q.Rule("hiccup", hiccup))
+    assert [r.name for r in Q.plan_cascade(df, rules=rules, sample_rows=10_000)] == ["hiccup", "steady"]
