@@ -105,3 +105,76 @@ def test_places_of_true_values():
         for share in (0.0, 0.001, 0.05, 0.9, 1.0):
             mask = rng.random((rows, cols)) < share
             assert P._true(mask).tolist() == np.flatnonzero(mask).tolist()
+
+
+def nearest(pack, bound=np.inf, k=5, exclude_self=True):
+    cells = {0: ((0.0,) * pack.vec.shape[1], float(pack.dist.max()), len(pack.ids), None)}
+    return P.Nearest(pack.vec, pack.ids, pack.flags, np.broadcast_to(bound, len(pack.ids)), k, k + 1, cells, "pruned", exclude_self)
+
+
+def pack_of(ids, vec):
+    dist = np.sqrt((vec * vec).sum(1))
+    order = np.argsort(dist)
+    return P.Pack(np.zeros(len(ids), "i4"), dist[order], vec[order], ids[order], np.full(len(ids), 3, "u1"), ids[order] * 1.0)
+
+
+def brute(vec, k=5):
+    d2 = np.cumsum((vec[:, None, :] - vec[None, :, :]) ** 2, axis=2)[:, :, -1]
+    np.fill_diagonal(d2, np.inf)
+    return {i: [(d2[i, j], j) for j in np.lexsort((np.arange(len(vec)), d2[i]))[:k]] for i in range(len(vec))}
+
+
+def lists_of(*states):
+    found = {}
+    for state in states:
+        ids, _, t, _, _, d2 = state.rows()
+        for i, j, d in zip(ids.tolist(), t.tolist(), d2.tolist(), strict=True):
+            found.setdefault(i, []).append((d, j))
+    return {i: sorted(x)[:5] for i, x in found.items()}
+
+
+def test_points_found_are_put_in_order_now_and_then(monkeypatch):
+    """Not once for each block of queries and ring of points: that cost more than their products."""
+    monkeypatch.setattr(P, "RING_ROWS", 20)
+    monkeypatch.setattr(P, "QUERY_ROWS", 50)
+    calls = []
+    monkeypatch.setattr(P, "_ordered", lambda *x, ordered=P._ordered: calls.append(1) or ordered(*x))
+    vec = np.random.default_rng(2).normal(0, 1, (1000, 20)).round(1)
+    vec[300:320] = vec[300]  # ties
+    pack = pack_of(np.arange(1000), vec)
+    state = nearest(pack)
+    state.take(pack)
+    assert lists_of(state) == brute(vec)
+    assert len(calls) <= 25  # of 1,000 blocks
+
+
+def test_two_packed_rows_meet_once_for_the_lists_of_both(monkeypatch):
+    vec = np.random.default_rng(3).normal(0, 1, (900, 20)).round(1)
+    vec[300:320] = vec[300]
+    ids = np.random.default_rng(4).permutation(900)
+    packs = [pack_of(i, vec[i]) for i in (ids[:400], ids[400:897], ids[897:])]  # the last fills no list
+    alone = [nearest(pack) for pack in packs]
+    for state, pack in zip(alone, packs, strict=True):
+        state.take(pack)
+        state.rows()
+    bounds = [np.sqrt(state.limit) for state in alone]
+    compared = []
+    monkeypatch.setattr(P, "_true", lambda mask, true=P._true: compared.append(mask.size) or true(mask))
+    states = list(alone)
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        left, right = nearest(packs[a], bounds[a]), nearest(packs[b], bounds[b])
+        compared.clear()
+        left.meet(packs[a], right, packs[b])
+        assert b == 2 or 0 < sum(compared) <= 400 * 497
+        states += [left, right]
+    assert lists_of(*states) == brute(vec)
+
+
+@pytest.mark.parametrize("search", ["pruned", "exact"])
+def test_packed_self_join_of_wide_copies(spark, small, search):
+    df = table(spark, 30)
+    index = build_index(df, centers="kmeans" if search == "pruned" else "single", max_cells=5, block_rows=50)
+    small(0)
+    got = rows_of(knn_self_join(index, 4, search=search))
+    small(10**12)
+    assert got == rows_of(knn_self_join(index, 4, search=search)) and len(got) == 600 * 4
