@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vicinity import build_index, knn_join, knn_self_join
 from vicinity.operators import packs as P
 from vicinity.operators import search as S
+from vicinity.operators.graph import append_points, build_graph
 
 
 def rows_of(nn):
@@ -178,3 +179,13 @@ def test_packed_self_join_of_wide_copies(spark, small, search):
     got = rows_of(knn_self_join(index, 4, search=search))
     small(10**12)
     assert got == rows_of(knn_self_join(index, 4, search=search)) and len(got) == 600 * 4
+
+
+def test_a_batch_of_a_graph_meets_itself_once(spark, small, monkeypatch):
+    df = table(spark, 20, n=300).dropDuplicates(["features"])
+    want = sorted(map(tuple, knn_self_join(build_index(df, centers="single"), 4).select("q_id", "t_id", "rank").collect()))
+    small(0)
+    met = []
+    monkeypatch.setattr(S, "packed_self_search", lambda *x, search=P.packed_self_search: met.append(x) or search(*x))
+    graph = append_points(build_graph(df.where("id % 3 > 0"), 4), df.where("id % 3 = 0"))
+    assert sorted(map(tuple, graph.neighbours().select("q_id", "t_id", "rank").collect())) == want and len(met) == 2
