@@ -1,6 +1,8 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import hostile
@@ -82,3 +84,43 @@ def test_products_beyond_64_bits(spark):
     two = spark.createDataFrame([(2, 1, 1, "x", ["a", "a"], big - 7, [big, big - 7], [big, big - 7])], one.schema)
     got = C.scored(totals, [one, two]).first()
     assert got.score == 1000 * (big - 7) * 5 * big // (big * big)
+
+
+def test_pairs_are_counted_in_packed_buckets(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(C, "COUNTED", 1000)
+    for size in (1, 40, C.ONE_KEY_IDS - 1):
+        grams = np.unique(np.append(rng.integers(0, size, 30), size - 1))
+        want, rows = Counter(), []
+        for seg in range(3):
+            pos = np.flatnonzero(rng.random(3000) < 0.8)
+            code = rng.integers(0, len(grams), len(pos))
+            rows.append((seg, np.diff(pos, prepend=0).astype("<i4").tobytes(), code.astype("<i4").tobytes(), grams.astype("<i8").tobytes()))
+            want.update(int(grams[a]) * size + int(grams[b]) for p, a, q, b in zip(pos, code, pos[1:], code[1:], strict=False) if q == p + 1)
+        batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["seg", "step", "code", "grams"])
+        dealt = pa.Table.from_batches(C._dealt_pairs(size, 7)(iter([batch])))
+        got = {}
+        for bucket in set(dealt["bucket"].to_pylist()):
+            counted = C._counted_pairs(size, 5)(dealt.filter(pa.compute.equal(dealt["bucket"], bucket)))
+            got |= dict(zip(counted["pair"].to_pylist(), counted["f"].to_pylist(), strict=True))
+        assert got == {p: f for p, f in want.items() if f >= 5} and got
+
+
+def test_frequent_pairs_go_to_the_tasks_by_their_own_size(spark, monkeypatch):
+    """Eight bytes a pair: counted at six times that, these were joined with all segments."""
+    rng = np.random.default_rng(1)
+    rows = [(" ".join(f"w{x}" for x in rng.integers(0, 20, 2000)), "x")]
+    docs, want = spark.createDataFrame(rows, "text string, lang string"), brute(rows, 2, max_words=3)
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 8 * 20 * 20)
+    monkeypatch.setattr(C, "_cogrouped", lambda first: pytest.fail("segments were joined"))
+    assert result(docs, 2, max_words=3) == want
+
+
+def test_known_words_of_one_hash(monkeypatch):
+    keys = pa.array([b"x\na", b"x\nb", b"y\na"])
+    for hashes in (None, lambda raw, starts, ends: np.zeros(len(starts), "u8")):
+        if hashes is not None:
+            monkeypatch.setattr(C.W, "span_hashes", hashes)
+        known = C._by_hash(pa.array([b"y\na", b"x\na", b"z\na"]), np.array([7, 8, 9]))
+        local, place = C._places(*C._raw(keys), *known[:2])
+        assert dict(zip(local.tolist(), known[2][place].tolist(), strict=True)) == {0: 8, 2: 7}

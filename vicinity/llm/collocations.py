@@ -20,8 +20,10 @@ two arrays: positions, ascending (kept as steps from one to the next), and phras
 consecutive positions and pieces are one position apart, so the merge-join on
 (piece, position + 1) compares neighbours in the sorted arrays. A segment gives
 one row per distinct pair with its count, which Spark sums over all segments; a
-pair has at most one row a segment, so no key is hot. For the semi-join, the
-frequent pairs go to the tasks if their counted size allows (``BROADCAST_BYTES``);
+pair has at most one row a segment, so no key is hot. Counted things are not rows of
+Spark: a task's words, and its pairs as mixed numbers, are dealt to buckets by hash, and a
+bucket's share of a task is one packed row. For the semi-join, the
+frequent words and pairs go to the tasks if their counted size allows (``BROADCAST_BYTES``);
 beyond, the segments' pairs are joined with them, and the ids that
 survive meet their segment in a co-group. Both keep the same occurrences.
 
@@ -57,6 +59,8 @@ from vicinity.sources.points import number_rows, read_table
 
 MIN_COUNT, MAX_WORDS, COVER, TOP = 100, 5, 100, 2_000
 SEGMENT_BYTES = 4 << 20
+#: Words of the segments, and occurrences of phrases, that a bucket holds about; occurrences that a task counts at once.
+BUCKET_WORDS, BUCKET_PAIRS, COUNTED = 500_000, 2_000_000, 4_000_000
 #: Frequent phrases are sent to the tasks up to this many bytes; beyond, segments are joined with them.
 BROADCAST_BYTES = 32 << 20
 UNKNOWN = "und"
@@ -100,8 +104,29 @@ def _steps(pos: np.ndarray) -> pa.Array:
     return _bytes(np.diff(pos, prepend=0), "<i4")
 
 
+#: Columns of a segment: its occurrences, the distinct keys of language and word (bytes, int32 edges, int64 counts), and words per language.
+SEGMENT = "step binary, code binary, keys binary, edges binary, n binary, kinds long, totals array<struct<lang: string, n: bigint>>"
+
+
+def _key(lang: pa.Array, word: pa.Array) -> pa.Array:
+    """Language and word as one value: no word holds a line feed."""
+    return pc.binary_join_element_wise(lang.cast(pa.binary()), word.cast(pa.binary()), b"\n")
+
+
+def _raw(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all keys end to end, and ``len(keys) + 1`` edges."""
+    _, edges, data = keys.buffers()
+    edges = np.frombuffer(edges, "<i4")[keys.offset : keys.offset + len(keys) + 1] if len(keys) else np.zeros(1, "<i4")
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return raw[edges[0] : edges[-1]], edges - edges[0]
+
+
+def _binaries(edges: np.ndarray, raw: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(np.ascontiguousarray(edges, "<i4")), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
 def _segments(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``(step, code, words)`` of every segment: occurrences and the distinct ``(lang, word)`` with counts."""
+    """``SEGMENT`` of every segment."""
 
     def segment(texts: list[pa.Array], langs: list[pa.Array]) -> pa.RecordBatch:
         data, offsets = W.utf8(pa.chunked_array(texts))
@@ -109,14 +134,18 @@ def _segments(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         lang = pa.concat_arrays(langs).dictionary_encode()
         word = found.dictionary_encode()
         n_lang = max(len(lang.dictionary), 1)
-        both = word.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n_lang + lang.indices.to_numpy(zero_copy_only=False)[owner]
+        spoken = lang.indices.to_numpy(zero_copy_only=False)[owner]
+        both = word.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n_lang + spoken
         keys, code, n = np.unique(both, return_inverse=True, return_counts=True)
         # Frequent words first: small numbers pack well.
         order = np.argsort(-n, kind="stable")
         keys, n, code = keys[order], n[order], np.argsort(order)[code]
-        items = pa.StructArray.from_arrays([lang.dictionary.take(pa.array(keys % n_lang)), word.dictionary.take(pa.array(keys // n_lang)).cast(pa.binary()), pa.array(n, pa.int64())], ["lang", "word", "n"])
-        items = pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)
-        return pa.RecordBatch.from_arrays([_steps(pos), _bytes(code, "<i4"), items], ["step", "code", "words"])
+        raw, edges = _raw(_key(lang.dictionary.take(pa.array(keys % n_lang)), word.dictionary.take(pa.array(keys // n_lang))))
+        totals = np.bincount(spoken, minlength=len(lang.dictionary))
+        totals = pa.StructArray.from_arrays([lang.dictionary, pa.array(totals[: len(lang.dictionary)], pa.int64())], ["lang", "n"])
+        columns = [_steps(pos), _bytes(code, "<i4"), _bytes(raw, "u1"), _bytes(edges, "<i4"), _bytes(n, "<i8"), pa.array([len(keys)], pa.int64())]
+        totals = pa.ListArray.from_arrays(pa.array([0, len(totals)], pa.int32()), totals)
+        return pa.RecordBatch.from_arrays([*columns, totals], [x.split()[0] for x in SEGMENT.split(", ")[:7]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, langs, size = [], [], 0
@@ -136,6 +165,64 @@ def _segments(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
+def _keys(rows: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and edges of a segment's keys."""
+    return tuple(np.frombuffer(rows.column(c)[row].as_buffer(), kind) for c, kind in (("keys", "u1"), ("edges", "<i4")))
+
+
+def _dealt_words(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A packed row ``(bucket, keys, sizes, n)`` for each segment and bucket of its keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                raw, edges = _keys(batch, k)
+                if len(edges) < 2:
+                    continue
+                bucket = ((W.span_hashes(raw, edges[:-1].astype("i8"), edges[1:].astype("i8")) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype("i4")
+                order = np.argsort(bucket, kind="stable")
+                bucket = bucket[order]
+                starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                ends = np.append(starts, len(bucket))
+                dealt, at = _raw(_binaries(edges, raw).take(pa.array(order)))
+                n = np.frombuffer(batch.column("n")[k].as_buffer(), "<i8")[order]
+                columns = [pa.array(bucket[starts]), _binaries(at[ends], dealt), _binaries(ends * 4, np.diff(at).astype("<i4").view("u1")), _binaries(ends * 8, n.view("u1"))]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "sizes", "n"])
+
+    return run
+
+
+def _parts(rows: pa.Table, name: str, kind: str) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows.column(name)])
+
+
+def _counted_words(min_count: int) -> Callable[[pa.Table], pa.Table]:
+    """The frequent ``(lang, word, f)`` of a bucket."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        sizes = _parts(rows, "sizes", "<i4")
+        coded = _binaries(np.concatenate([[0], np.cumsum(sizes, dtype="i8")]), _parts(rows, "keys", "u1")).dictionary_encode()
+        f = np.zeros(len(coded.dictionary), "i8")
+        np.add.at(f, coded.indices.to_numpy(), _parts(rows, "n", "<i8"))
+        often = np.flatnonzero(f >= min_count)
+        both = [x.rsplit(b"\n", 1) for x in coded.dictionary.take(pa.array(often)).to_pylist()]
+        lang, word = (pa.array([x[i] for x in both], pa.binary()) for i in (0, 1))
+        return pa.table({"lang": lang.view(pa.string()), "word": word, "f": pa.array(f[often])})
+
+    return run
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row ``(seg, local, key)`` for every key of the segments."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            raw, edges = _keys(batch, k)
+            n = len(edges) - 1
+            if n > 0:
+                columns = [pa.array(np.full(n, batch.column("seg")[k].as_py())), pa.array(np.arange(n)), _binaries(edges, raw)]
+                yield pa.RecordBatch.from_arrays(columns, ["seg", "local", "key"])
+
+
 def _relation(rows: pa.RecordBatch | pa.Table, row: int) -> tuple[np.ndarray, np.ndarray]:
     """``(positions, codes)`` of a segment."""
     step, code = (np.frombuffer(rows.column(c)[row].as_buffer(), "<i4") for c in ("step", "code"))
@@ -181,14 +268,91 @@ def _pairs(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
+#: Odd, so that products with it modulo a power of two can be undone.
+_MIX = 0x9E3779B97F4A7C15
+
+
+def _pair_bits(size: int) -> int:
+    return max(1, (max(size, 1) ** 2 - 1).bit_length())
+
+
+def _planes(values: np.ndarray) -> np.ndarray:
+    """First bytes, then second bytes and so on: sorted or small numbers pack well."""
+    return np.ascontiguousarray(values).view("u1").reshape(len(values), -1).T
+
+
+def _whole(raw: np.ndarray, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def _dealt_pairs(size: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A packed row ``(bucket, pairs)`` of distinct pairs with counts, for each bucket and about ``COUNTED`` occurrences of a task."""
+    bits = _pair_bits(size)
+    mask, factor = np.uint64((1 << bits) - 1), np.uint64(_MIX)
+    bounds = np.array([-(-(b << bits) // buckets) for b in range(buckets)], "u8")
+
+    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+        mixed = np.concatenate(held) * factor & mask
+        mixed.sort()
+        starts = np.flatnonzero(np.concatenate([[True], mixed[1:] != mixed[:-1]]))
+        keys, n = mixed[starts], np.diff(starts, append=len(mixed)).astype("<u4")
+        edges = np.append(np.searchsorted(keys, bounds), len(keys))
+        full = np.flatnonzero(np.diff(edges))
+        packed = [_planes(keys[edges[b] : edges[b + 1]]).tobytes() + _planes(n[edges[b] : edges[b + 1]]).tobytes() for b in full]
+        return pa.RecordBatch.from_arrays([pa.array(full.astype("i4")), pa.array(packed, pa.binary())], ["bucket", "pairs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = [], 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                pos, code = _relation(batch, k)
+                grams, at = _grams(batch, k), np.flatnonzero(np.diff(pos) == 1)
+                while len(at):
+                    some, at = at[: COUNTED - n_held], at[COUNTED - n_held :]
+                    held.append((grams[code[some]] * size + grams[code[some + 1]]).astype("u8"))
+                    n_held += len(some)
+                    if n_held == COUNTED:
+                        yield dealt(held)
+                        held, n_held = [], 0
+        if held:
+            yield dealt(held)
+
+    return run
+
+
+def _counted_pairs(size: int, min_count: int) -> Callable[[pa.Table], pa.Table]:
+    """The frequent ``(pair, f)`` of a bucket."""
+    bits = _pair_bits(size)
+    mask, back = np.uint64((1 << bits) - 1), np.uint64(pow(_MIX, -1, 1 << bits))
+
+    def run(rows: pa.Table) -> pa.Table:
+        keys, n = [], []
+        for x in rows.column("pairs"):
+            raw = np.frombuffer(x.as_buffer(), "u1")
+            m = len(raw) // 12
+            keys.append(_whole(raw[: 8 * m], "<u8"))
+            n.append(_whole(raw[8 * m :], "<u4"))
+        keys, n = np.concatenate(keys), np.concatenate(n)
+        order = np.argsort(keys)
+        keys = keys[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        f = np.add.reduceat(n[order], starts, dtype="i8")
+        often = f >= min_count
+        return pa.table({"pair": pa.array((keys[starts[often]] * back & mask).astype("i8")), "f": pa.array(f[often])})
+
+    return run
+
+
 def _kept(seg: int, pos: np.ndarray, code: np.ndarray, local: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
     """R of the occurrences whose group ``code`` is among the surviving ones ``local``, with their new ids."""
     order = np.argsort(local)
     local, ids = local[order], ids[order]
-    place = np.searchsorted(local, code)
-    hit = np.zeros(len(code), bool)
-    inside = place < len(local)
-    hit[inside] = local[place[inside]] == code[inside]
+    if not len(local) or not len(code):
+        return None
+    of = np.full(max(int(local[-1]), int(code.max())) + 1, -1, np.int32)
+    of[local] = np.arange(len(local), dtype=np.int32)
+    place = of[code]
+    hit = place >= 0
     if not hit.any():
         return None
     return pa.RecordBatch.from_arrays([pa.array([seg], pa.int64()), _steps(pos[hit]), _bytes(place[hit], "<i4"), _bytes(ids, "<i8")], ["seg", "step", "code", "grams"])
@@ -217,51 +381,59 @@ def _cogrouped(first: bool) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     return run
 
 
+def _by_hash(keys: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """``(hashes, keys, ids)`` in order of the hashes."""
+    raw, edges = _raw(keys)
+    hashes = W.span_hashes(raw, edges[:-1].astype("i8"), edges[1:].astype("i8"))
+    order = np.argsort(hashes)
+    return hashes[order], keys.take(pa.array(order)), ids[order]
+
+
+def _places(raw: np.ndarray, edges: np.ndarray, hashes: np.ndarray, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(local, place)``: the keys that are known, and where; ``known`` is in order of its ``hashes``."""
+    keys = _binaries(edges, raw)
+    if not len(hashes) or not len(keys):
+        return np.zeros(0, "i8"), np.zeros(0, "i8")
+    if (hashes[1:] == hashes[:-1]).any():  # known keys of one hash
+        place = pc.index_in(keys, known)
+        return np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False)), place.drop_null().to_numpy()
+    mine = W.span_hashes(raw, edges[:-1].astype("i8"), edges[1:].astype("i8"))
+    at = np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)
+    local = np.flatnonzero(hashes[at] == mine)
+    same = pc.equal(keys.take(pa.array(local)), known.take(pa.array(at[local]))).to_numpy(zero_copy_only=False)
+    return local[same], at[local[same]]
+
+
 def _first_in_place(frequent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """R_1 of the segments, with all frequent words at hand."""
 
-    def key(lang: pa.Array, word: pa.Array) -> pa.Array:
-        return pc.binary_join_element_wise(lang.cast(pa.binary()), word.cast(pa.binary()), b"\n")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lang, word, ids = frequent.value
-        known = key(lang, word)
+        hashes, known, ids = frequent.value
         for batch in batches:
             for k in range(batch.num_rows):
-                items = batch.column("words")[k].values
-                place = pc.index_in(key(items.field("lang"), items.field("word")), known)
-                local = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
-                out = _kept(batch.column("seg")[k].as_py(), *_relation(batch, k), local, ids[place.drop_null().to_numpy()])
+                local, place = _places(*_keys(batch, k), hashes, known)
+                out = _kept(batch.column("seg")[k].as_py(), *_relation(batch, k), local, ids[place])
                 if out is not None:
                     yield out
 
     return run
 
 
-def _next_in_place(frequent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """R_{k+1} of the segments from their R_k, with all frequent pairs at hand."""
-
-    def rank(among: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Place of each value in the sorted ``among``, -1 if it is not there."""
-        at = np.minimum(np.searchsorted(among, values), len(among) - 1)
-        return np.where(among[at] == values, at, -1)
+def _next_in_place(frequent: Broadcast, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """R_{k+1} of the segments from their R_k, with all frequent pairs at hand, sorted: a pair's id is its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, tail, ids = frequent.value
-        heads, tails = np.unique(head), np.unique(tail)
-        both = np.searchsorted(heads, head) * len(tails) + np.searchsorted(tails, tail)
-        order = np.argsort(both)
-        both, ids = both[order], ids[order]
+        often = frequent.value
         for batch in batches:
             for k in range(batch.num_rows):
                 grams = _grams(batch, k)
                 pos, code, keys = _groups(batch, k)
                 if not len(keys):
                     continue
-                h, t = rank(heads, grams)[keys // len(grams)], rank(tails, grams)[keys % len(grams)]
-                at = np.where((h >= 0) & (t >= 0), rank(both, h * len(tails) + t), -1)
-                local = np.flatnonzero(at >= 0)
-                out = _kept(batch.column("seg")[k].as_py(), pos, code, local, ids[at[local]])
+                pair = grams[keys // len(grams)] * size + grams[keys % len(grams)]
+                at = np.minimum(np.searchsorted(often, pair), len(often) - 1)
+                local = np.flatnonzero(often[at] == pair)
+                out = _kept(batch.column("seg")[k].as_py(), pos, code, local, at[local])
                 if out is not None:
                     yield out
 
@@ -290,34 +462,41 @@ def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_coun
     ship(df.sparkSession)
     lang = F.coalesce(F.col(quoted([lang_col])[0]).cast("string"), F.lit(UNKNOWN))
     spark = df.sparkSession
-    segments = df.select(F.col(quoted([text_col])[0]).cast("string").alias("text"), lang.alias("lang")).mapInArrow(
-        _segments(SEGMENT_BYTES), "step binary, code binary, words array<struct<lang: string, word: binary, n: bigint>>"
-    )
+    segments = df.select(F.col(quoted([text_col])[0]).cast("string").alias("text"), lang.alias("lang")).mapInArrow(_segments(SEGMENT_BYTES), SEGMENT)
     segments = _written(segments.select(F.monotonically_increasing_id().alias("seg"), "*"), "setm-words")
-    words = segments.select("seg", F.posexplode("words").alias("local", "w")).select("seg", "local", "w.*")
-    counted = materialize(words.groupBy("lang", "word").agg(F.sum("n").alias("f")), "setm-counts")
-    totals = materialize(counted.groupBy("lang").agg(F.sum("f").alias("n")), "setm-totals")
-    first = number_rows(counted.where(F.col("f") >= min_count), ["lang", "word"], "id", 0).select(
+    totals = segments.select(F.inline("totals")).where("n > 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = materialize(totals, "setm-totals")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    kinds = segments.agg(F.sum("kinds")).first()[0] or 0
+    words = segments.select("keys", "edges", "n").mapInArrow(_dealt_words(max(parts, -(-kinds // BUCKET_WORDS))), "bucket int, keys binary, sizes binary, n binary")
+    counted = words.groupBy("bucket").applyInArrow(_counted_words(min_count), "lang string, word binary, f long")
+    first = number_rows(counted, ["lang", "word"], "id", 0).select(
         "id", F.lit(None).cast("long").alias("head"), F.lit(None).cast("long").alias("tail"),
         "lang", F.array(F.col("word").cast("string")).alias("words"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"), "word",
     )
     first = materialize(first, "setm-frequent")
-    size = first.agg(F.sum(F.length("word") + F.octet_length("lang") + 32)).first()[0] or 0
+    size = first.agg(F.sum(F.length("word") + F.octet_length("lang") + 21)).first()[0] or 0
     if size <= BROADCAST_BYTES:
-        t = first.select("lang", "word", "id").toArrow()
-        sent = spark.sparkContext.broadcast((t.column(0).combine_chunks(), t.column(1).combine_chunks(), t.column(2).to_numpy()))
-        relation = segments.mapInArrow(_first_in_place(sent), RELATION)
+        t = first.select("lang", "word", "id").toArrow().combine_chunks()
+        known = _key(*(pa.concat_arrays(t.column(c).chunks) if t.num_rows else pa.array([], pa.binary()) for c in (0, 1)))
+        sent = spark.sparkContext.broadcast(_by_hash(known, t.column(2).to_numpy()))
+        relation = segments.select("seg", "step", "code", "keys", "edges").mapInArrow(_first_in_place(sent), RELATION)
     else:
-        survivors = _survivors(words, first, ["lang", "word"])
+        words = segments.select("seg", "keys", "edges").mapInArrow(_word_rows, "seg long, local long, key binary")
+        survivors = _survivors(words, first.withColumn("key", F.concat(F.col("lang").cast("binary"), F.lit(b"\n"), "word")), ["key"])
         relation = segments.select("seg", "step", "code").groupBy("seg").cogroup(survivors.groupBy("seg")).applyInArrow(_cogrouped(True), RELATION)
+    buckets = max(parts, -(-int(totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_PAIRS))
     frequent, n = [first.drop("word")], first.count()
     for _ in range(2, max_words + 1):
         relation = _written(relation, "setm-relation")
         keys = _pair_keys(n)
         pairs = relation.mapInArrow(_pairs(n), "seg long, local int, n int, " + ", ".join(f"{c} long" for c in keys))
-        groups = pairs.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
         if keys == ["pair"]:
+            dealt = relation.select("step", "code", "grams").mapInArrow(_dealt_pairs(n, buckets), "bucket int, pairs binary")
+            groups = dealt.groupBy("bucket").applyInArrow(_counted_pairs(n, min_count), "pair long, f long")
             groups = groups.select("pair", F.expr(f"pair div {max(n, 1)}").alias("head"), F.expr(f"pair % {max(n, 1)}").alias("tail"), "f")
+        else:
+            groups = pairs.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
         before = frequent[-1]
         heads = before.select(F.col("id").alias("head"), "lang", F.col("words").alias("_first"), "heads")
         tails = before.select(F.col("id").alias("tail"), F.element_at("words", -1).alias("_last"), "tails")
@@ -327,13 +506,13 @@ def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_coun
         )
         found = materialize(number_rows(found, ["head", "tail"], "id", 0), "setm-frequent")
         frequent.append(found)
-        n = found.count()
+        before_n, n = n, found.count()
         if len(frequent) == max_words or not n:
             break
-        if n * 48 <= BROADCAST_BYTES:
-            t = found.select("head", "tail", "id").toArrow()
-            sent = spark.sparkContext.broadcast(tuple(c.to_numpy() for c in t.columns))
-            relation = relation.mapInArrow(_next_in_place(sent), RELATION)
+        if keys == ["pair"] and n * 8 <= BROADCAST_BYTES:
+            t = found.select("head", "tail").toArrow()
+            sent = spark.sparkContext.broadcast(np.sort(t.column(0).to_numpy() * before_n + t.column(1).to_numpy()))
+            relation = relation.mapInArrow(_next_in_place(sent, before_n), RELATION)
         else:
             survivors = _survivors(pairs, found, keys)
             relation = relation.groupBy("seg").cogroup(survivors.groupBy("seg")).applyInArrow(_cogrouped(False), RELATION)
