@@ -87,3 +87,21 @@ def test_edges(spark):
     with pytest.raises(ValueError):
         build_graph(empty, 0)
     assert G.MAX_SEGMENTS >= 1
+
+
+def test_old_and_new_points_are_compared_once_for_both(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    k, rows = 3, [(int(i), rng.integers(0, 3, 20).astype(float).tolist()) for i in rng.permutation(90)]
+    rows[-1] = (rows[-1][0], rows[0][1])  # a vector that is there already
+    monkeypatch.setattr(S, "PACKED_PAIRS", 1)
+    met = []
+    monkeypatch.setattr(G, "packed_cross_search", lambda *x, search=G.packed_cross_search: met.append(x) or search(*x))
+    monkeypatch.setattr(G, "_reverse", lambda *x: pytest.fail("pairs are compared a second time"))
+    graph, have = build_graph(spark.createDataFrame(rows[:2], SCHEMA), k), rows[:2]
+    for batch in (rows[2:50], rows[50:51], rows[51:]):
+        graph = append_points(graph, spark.createDataFrame(batch, SCHEMA))
+        have = have + batch
+        want = plain(have, k)
+        assert lists(graph) == want
+        assert {r.id: r.indegree for r in graph.degrees.collect()} == degrees_of(want, have)
+    assert len(met) == 3
