@@ -86,3 +86,41 @@ def test_rings_cut_the_pairs_that_leave_the_join(spark):
     finally:
         T.RING_ROWS = T_RING
     assert after * 3 < before, (before, after)
+
+
+def test_the_first_bound_does_not_measure_whole_cells(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.random((20_000, 2)))], "id long, features array<double>")
+    index = T.build_tree_index(t, label_col=None, n_cells=2)  # 10,000 points a cell, and a query measured most of them
+    seen = []
+    pairs = T._pairs
+    monkeypatch.setattr(T, "_pairs", lambda cand, ix: seen.append(pairs(cand, ix).count()) or pairs(cand, ix))
+    q = t.where("id % 100 = 0")
+    near = as_lists(knn_join(q, index, 4))
+    assert seen[0] <= 200 * 2 * T.FIRST_POINTS
+    assert near == brute(*_np(q), *_np(t), 4)
+
+
+def test_nothing_is_written_that_grows_with_the_groups(spark, monkeypatch):
+    written = {}
+    plain = T.materialize
+    monkeypatch.setattr(T, "materialize", lambda df, name="table", *a: written.setdefault(name, df.columns) and plain(df, name, *a))
+    df = _part(spark)
+    knn_join(df, T.build_tree_index(df, n_cells=30), 3).collect()
+    assert written["tree-queries"] == ["q_id", "q_vec", "_whole", "group"]
+    assert written["tree-bounds"] == ["q_id", "q_vec", "_u", "group", "_cell", "_dc"]
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    seen = []
+
+    def shuffles():
+        return int(spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size())
+
+    at = shuffles()
+    for _ in range(3):
+        T.materialize(spark.range(1000).repartition(3, "id"), "left").count()
+        seen.append(shuffles())
+    assert seen[-1] <= at + 3 and spark.conf.get(key, None) == before  # a count's own one may stay

@@ -54,7 +54,7 @@ from pyspark.sql.window import Window
 
 from vicinity.llm import words as W
 from vicinity.llm.common import quoted, ship, small_or_shuffled
-from vicinity.session import GROUP_LIMIT_CONF, allow_group_limit, materialize, scratch_path
+from vicinity.session import DROP_SHUFFLES, GROUP_LIMIT_CONF, allow_group_limit, materialize, scratch_path, session_conf
 from vicinity.sources.points import number_rows, read_table
 
 MIN_COUNT, MAX_WORDS, COVER, TOP = 100, 5, 100, 2_000
@@ -444,7 +444,8 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     """Like :func:`materialize`, for rows that hold megabytes: their size is looked at row by row."""
     path = scratch_path(df.sparkSession, name)
     sizes = {"parquet.page.size.row.check.min": "1", "parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1"}
-    df.write.options(compression="zstd", **sizes).parquet(path)
+    with session_conf(df.sparkSession, DROP_SHUFFLES):
+        df.write.options(compression="zstd", **sizes).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
